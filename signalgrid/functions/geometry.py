@@ -14,25 +14,33 @@ def inside(lon: Column, lat: Column, west, south, east, north) -> Column:
     return lon.between(west, east) & lat.between(south, north)
 
 
-def first_box(lon: Column, lat: Column, boxes: Sequence[Box]) -> Column:
+def first_box(boxes: Sequence[Box], lon: str = "lon", lat: str = "lat") -> Column:
     """Code of the best-priority box that holds the point, or NULL.
 
-    One expression inside the scan's stage: no join and no shuffle.
+    One CASE expression inside the scan's stage: no join and no shuffle.
     """
-    tests = [
-        F.when(inside(lon, lat, b.west, b.south, b.east, b.north), F.lit(b.code))
+    tests = " ".join(
+        f"WHEN {_holds(b, lon, lat)} THEN '{_quoted(b.code)}'"
         for b in sorted(boxes, key=lambda b: b.priority)
-    ]
-    return F.coalesce(*tests)
+    )
+    return F.expr(f"CASE {tests} END")
 
 
-def boxes_holding(lon: Column, lat: Column, boxes: Sequence[Box]) -> Column:
+def boxes_holding(boxes: Sequence[Box], lon: str = "lon", lat: str = "lat") -> Column:
     """Array with the codes of all boxes that hold the point."""
-    tests = [
-        F.when(inside(lon, lat, b.west, b.south, b.east, b.north), F.lit(b.code))
-        for b in boxes
-    ]
-    return F.array_compact(F.array(*tests))
+    tests = ", ".join(
+        f"CASE WHEN {_holds(b, lon, lat)} THEN '{_quoted(b.code)}' END" for b in boxes
+    )
+    return F.expr(f"array_compact(array({tests}))")
+
+
+def _holds(box: Box, lon: str, lat: str) -> str:
+    return (f"{lon} BETWEEN {float(box.west)!r}D AND {float(box.east)!r}D"
+            f" AND {lat} BETWEEN {float(box.south)!r}D AND {float(box.north)!r}D")
+
+
+def _quoted(code: str) -> str:
+    return code.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def cell(coordinate: Column, size) -> Column:

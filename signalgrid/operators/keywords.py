@@ -35,12 +35,14 @@ def attribute_dictionary(
 ) -> DataFrame:
     """Code per text for a large dictionary of single words.
 
-    The cost does not grow with the number of words: each distinct word of a text
-    is looked up once.  Only texts with a hit are returned; their few hits are
-    combined per partition before the shuffle on ``key``.
+    The cost does not grow with the number of words: each word of a text is looked
+    up once.  Only texts with a hit are returned, and the hits of a text combine
+    within its own partition before the shuffle on ``key``.
     ``dictionary`` has code, priority and word (single lower-case ASCII words).
     """
-    words = df.select(key, F.explode(words_of(text)).alias("word"))
+    # Lower-cased after cutting, so that no accented letter turns into an ASCII one.
+    words = df.select(key, F.explode(words_of(text)).alias("word")).withColumn(
+        "word", F.lower("word"))
     side = F.broadcast(dictionary) if fits_broadcast(dictionary) else dictionary
     hits = words.join(side, "word")
     best = hits.groupBy(key).agg(F.min(F.struct("priority", "code")).alias("best"))

@@ -26,7 +26,7 @@ def seed_signals(spark) -> DataFrame:
     return seeds.select(
         "id", "lat", "lon", "name",
         F.round(F.col("severity") * 100).cast("bigint").alias("count"),
-        first_box(F.col("lon"), F.col("lat"), SUBJECT_BOXES).alias("nation"),
+        first_box(SUBJECT_BOXES).alias("nation"),
         "severity",
         F.lit(fv.SOURCE_SEED).alias("source"),
         F.lit(2).alias("source_rank"),

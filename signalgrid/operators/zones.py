@@ -16,114 +16,186 @@ from pyspark.sql import DataFrame, functions as F
 
 from signalgrid.dims import Box
 from signalgrid.functions.geometry import boxes_holding, cell, first_box, inside
-from signalgrid.session import fits_broadcast
 
 INLINE_BOXES = 64
+BROADCAST_ZONES = 50_000
+BROADCAST_CELLS = 1_000_000
 WORLD = 360.0
-FINEST_LEVEL = 12
+FINEST_LEVEL = 14
+CELLS_PER_EXTENT = 2  # in powers of two: a zone is at most four cells wide
+CELL = ["level", "cell_x", "cell_y"]
 
 
 def clip_to_theaters(points: DataFrame, theaters: Sequence[Box]) -> DataFrame:
     """One row per point and theater whose box holds it; others are dropped."""
-    found = boxes_holding(F.col("lon"), F.col("lat"), theaters)
-    return points.withColumn("theater", F.explode(found))
+    if len(theaters) > INLINE_BOXES:
+        raise ValueError(f"more than {INLINE_BOXES} boxes: use match_zone_table")
+    return points.withColumn("theater", F.explode(boxes_holding(theaters)))
 
 
 def attribute_boxes(points: DataFrame, boxes: Sequence[Box], out: str = "code") -> DataFrame:
     """Add the code of the first box, by priority, that holds each point."""
     if len(boxes) > INLINE_BOXES:
         raise ValueError(f"more than {INLINE_BOXES} boxes: use attribute_zone_table")
-    return points.withColumn(out, first_box(F.col("lon"), F.col("lat"), boxes))
+    return points.withColumn(out, first_box(boxes))
 
 
-def zone_cells(zones: DataFrame) -> DataFrame:
-    """One row per zone and grid cell it touches.
+def zone_cells(zones: DataFrame, level: int | None = None) -> DataFrame:
+    """One row per zone and grid cell it touches; ``full`` if it covers the cell.
 
-    Each zone uses the grid level whose cells are at least as large as the zone,
-    so it touches at most two cells per axis whatever its size.
+    Without ``level`` each zone uses the grid level that fits its size, so it
+    touches a bounded number of cells whatever that size is.
     """
-    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
-    fitting = F.when(extent > 0, F.floor(F.log2(F.lit(WORLD) / extent)))
-    level = F.greatest(
-        F.lit(0), F.least(F.lit(FINEST_LEVEL), F.coalesce(fitting, F.lit(FINEST_LEVEL)))
-    ).cast("int")
-    size = F.lit(WORLD) / F.pow(F.lit(2.0), F.col("level"))
+    size = F.col("cell_size")
+
+    def span(low: str, high: str):
+        return F.explode(F.sequence(cell(F.col(low), size), cell(F.col(high), size)))
+
+    # A hair of slack, so that rounding at a cell's edge cannot make a cell look covered.
+    slack = size * 1e-9
+    full = (
+        (F.col("west") <= F.col("cell_x") * size - slack)
+        & (F.col("east") >= (F.col("cell_x") + 1) * size + slack)
+        & (F.col("south") <= F.col("cell_y") * size - slack)
+        & (F.col("north") >= (F.col("cell_y") + 1) * size + slack)
+    )
     return (
-        zones.withColumn("level", level)
-        .withColumn("cell_size", size)
-        .withColumn("cell_x", F.explode(F.sequence(
-            cell(F.col("west"), F.col("cell_size")), cell(F.col("east"), F.col("cell_size")))))
-        .withColumn("cell_y", F.explode(F.sequence(
-            cell(F.col("south"), F.col("cell_size")), cell(F.col("north"), F.col("cell_size")))))
+        zones.withColumn("level", _level() if level is None else F.lit(level))
+        .withColumn("cell_size", F.lit(WORLD) / F.pow(F.lit(2.0), F.col("level")))
+        .withColumn("cell_x", span("west", "east"))
+        .withColumn("cell_y", span("south", "north"))
+        .withColumn("full", full)
         .drop("cell_size")
     )
 
 
+def contenders(cells: DataFrame) -> DataFrame:
+    """Zone cells that can still be a first match.
+
+    A zone that covers a whole cell wins there over every zone of worse priority,
+    so those are dropped; this keeps crowded cells short without changing results.
+    """
+    cutoff = cells.filter("full").groupBy(*CELL).agg(F.min("priority").alias("cutoff"))
+    kept = cells.join(cutoff, CELL, "left")
+    return kept.filter(
+        F.col("cutoff").isNull() | (F.col("priority") <= F.col("cutoff"))
+    ).drop("cutoff", "full")
+
+
 def attribute_zone_table(
-    points: DataFrame, zones: DataFrame, key: str, out: str = "code"
+    points: DataFrame,
+    zones: DataFrame,
+    key: str,
+    out: str = "code",
+    broadcast_zones: int = BROADCAST_ZONES,
 ) -> DataFrame:
     """First-match attribution against a table of zones of any size.
 
     ``zones`` has code, priority, west, south, east and north; ``key`` is unique
     per point and is needed only when the zone table is too large to broadcast.
     """
-    cells = zone_cells(zones)
-    # At most FINEST_LEVEL + 1 values.
-    levels = sorted(r.level for r in cells.select("level").distinct().collect())
-    if fits_broadcast(zones):
+    grid = _measure(zones)
+    if not grid.zones:
+        return points.withColumn(out, F.lit(None).cast("string"))
+    levels, cells = _gridded(zones, grid)
+    cells = contenders(cells)
+    if grid.zones <= broadcast_zones:
         return _by_candidate_lists(points, cells, levels, out)
-    return _by_pairs(points, cells, levels, key, out)
+    best = (
+        _pairs(points.select(key, "lon", "lat"), cells, levels)
+        .groupBy(key).agg(F.min(F.struct("priority", "zone")).alias("_best"))
+    )
+    return points.join(best, key, "left").select(
+        *points.columns, F.col("_best.zone").alias(out)
+    )
+
+
+def match_zone_table(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """One row per point and zone that holds it, with the zone's code as ``zone``."""
+    grid = _measure(zones)
+    if not grid.zones:
+        return points.withColumn("zone", F.lit(None).cast("string")).limit(0)
+    levels, cells = _gridded(zones, grid)
+    return _pairs(points, cells.drop("full"), levels).drop("priority")
+
+
+def _level():
+    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    fitting = F.when(extent > 0, F.floor(F.log2(F.lit(WORLD) / extent)) + CELLS_PER_EXTENT)
+    return F.greatest(F.lit(0), F.least(
+        F.lit(FINEST_LEVEL), F.coalesce(fitting, F.lit(FINEST_LEVEL)))).cast("int")
+
 
+def _measure(zones: DataFrame):
+    """One row: grid levels in use, number of zones, and their summed size."""
+    width, height = F.col("east") - F.col("west"), F.col("north") - F.col("south")
+    return zones.select(
+        _level().alias("level"), (width * height).alias("area"), (width + height).alias("rim")
+    ).agg(
+        F.sort_array(F.collect_set("level")).alias("levels"),
+        F.count("*").alias("zones"), F.sum("area").alias("area"), F.sum("rim").alias("rim"),
+    ).first()
 
-def _level_keys(points: DataFrame, level: int) -> DataFrame:
+
+def _gridded(zones: DataFrame, grid) -> tuple[list[int], DataFrame]:
+    """Levels to look up and the zone cells on them.
+
+    If all zones together touch few enough cells of the finest level, that level
+    alone will do and each point is looked up once.
+    """
+    finest = grid.levels[-1]
+    size = WORLD / 2**finest
+    touched = grid.area / size**2 + 2 * grid.rim / size + 4 * grid.zones
+    if touched <= BROADCAST_CELLS:
+        return [finest], zone_cells(zones, finest)
+    return grid.levels, zone_cells(zones)
+
+
+def _cell_key(level, cell_x, cell_y):
+    """One number per level and cell; NULL off the globe."""
+    half = 1 << 23
+    on_globe = F.abs(cell_x).between(0, half - 1) & F.abs(cell_y).between(0, half - 1)
+    return F.when(on_globe, (level * (2 * half) + cell_x + half) * (2 * half) + cell_y + half)
+
+
+def _point_key(level: int):
     size = WORLD / 2**level
-    return points.withColumn("_x", cell(F.col("lon"), size)).withColumn(
-        "_y", cell(F.col("lat"), size)
-    )
+    return _cell_key(F.lit(level).cast("bigint"), cell(F.col("lon"), size), cell(F.col("lat"), size))
+
+
+def _zone_key():
+    return _cell_key(F.col("level").cast("bigint"), F.col("cell_x"), F.col("cell_y"))
 
 
 def _by_candidate_lists(points, cells, levels, out):
     zone = F.struct("priority", "code", "west", "south", "east", "north")
-    lists = cells.groupBy("level", "cell_x", "cell_y").agg(
-        F.sort_array(F.collect_list(zone)).alias("zones")
+    # The same side serves every level, so it is computed and broadcast once.
+    side = F.broadcast(
+        cells.groupBy(_zone_key().alias("_key")).agg(
+            F.sort_array(F.collect_list(zone)).alias("_zones"))
     )
-    matches = []
-    columns = points.columns
+    columns, matches = points.columns, []
     for level in levels:
         name = f"_zones_{level}"
-        side = lists.filter(F.col("level") == level).select(
-            F.col("cell_x").alias("_x"), F.col("cell_y").alias("_y"),
-            F.col("zones").alias(name),
-        )
-        points = _level_keys(points, level).join(F.broadcast(side), ["_x", "_y"], "left")
-        points = points.drop("_x", "_y")
-        holding = F.filter(name, lambda z: inside(
-            F.col("lon"), F.col("lat"), z["west"], z["south"], z["east"], z["north"]))
-        first = F.try_element_at(holding, F.lit(1))
-        matches.append(F.when(
-            first.isNotNull(), F.struct(first["priority"].alias("priority"),
-                                        first["code"].alias("code"))))
-    if not matches:
-        return points.withColumn(out, F.lit(None).cast("string"))
+        points = points.withColumn("_key", _point_key(level)).join(side, "_key", "left")
+        points = points.withColumnRenamed("_zones", name).drop("_key")
+        first = F.try_element_at(F.filter(name, lambda z: inside(
+            F.col("lon"), F.col("lat"), z["west"], z["south"], z["east"], z["north"])), F.lit(1))
+        matches.append(F.when(first.isNotNull(), F.struct(
+            first["priority"].alias("priority"), first["code"].alias("code"))))
     best = F.array_min(F.array(*matches))
     return points.select(*columns, best["code"].alias(out))
 
 
-def _by_pairs(points, cells, levels, key, out):
-    pairs = None
-    for level in levels:
-        side = cells.filter(F.col("level") == level).select(
-            F.col("cell_x").alias("_x"), F.col("cell_y").alias("_y"),
-            "priority", F.col("code").alias("_code"), "west", "south", "east", "north",
-        )
-        slim = _level_keys(points.select(key, "lon", "lat"), level)
-        holding = inside(F.col("lon"), F.col("lat"), F.col("west"), F.col("south"),
-                         F.col("east"), F.col("north"))
-        found = slim.join(side, ["_x", "_y"]).filter(holding).select(key, "priority", "_code")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    if pairs is None:
-        return points.withColumn(out, F.lit(None).cast("string"))
-    best = pairs.groupBy(key).agg(F.min(F.struct("priority", "_code")).alias("_best"))
-    return points.join(best, key, "left").select(
-        *points.columns, F.col("_best._code").alias(out)
+def _pairs(points, cells, levels):
+    """Points and the zones that hold them, joined once per level on the cell."""
+    side = cells.select(
+        _zone_key().alias("_key"), "priority", F.col("code").alias("zone"),
+        F.col("west").alias("_w"), F.col("south").alias("_s"),
+        F.col("east").alias("_e"), F.col("north").alias("_n"))
+    holding = inside(F.col("lon"), F.col("lat"), F.col("_w"), F.col("_s"), F.col("_e"), F.col("_n"))
+    keys = F.array(*[_point_key(level) for level in levels])
+    return (
+        points.withColumn("_key", F.explode(keys)).join(side, "_key").filter(holding)
+        .drop("_key", "_w", "_s", "_e", "_n")
     )

@@ -15,12 +15,13 @@ from signalgrid.functions.scoring import severity_by_fatalities
 from signalgrid.operators.merge import union_sources
 from signalgrid.operators.pressure import add_share_severity
 from signalgrid.operators.zones import clip_to_theaters
+from signalgrid.schemas import TABLES
 
 AS_OF = "2024-01-30 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def place(key: Column) -> tuple[Column, Column]:
@@ -73,7 +74,7 @@ def geo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select(
         F.concat_ws("-", F.lit("gd"), "event_id").alias("id"), "lat", "lon",
         F.col("event_type").alias("name"), "count",
-        first_box(F.col("lon"), F.col("lat"), SUBJECT_BOXES).alias("nation"),
+        first_box(SUBJECT_BOXES).alias("nation"),
         "severity", F.lit(fv.SOURCE_GEO).alias("source"), F.lit(1).alias("source_rank"),
         F.lit(0).alias("subject_priority"), F.col("event_id").alias("pos"),
         F.col("ts").alias("observed_at"),
@@ -83,7 +84,7 @@ def geo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conflict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as conflict signals."""
     points = order_points(spark, sf_dir)
-    nation = first_box(F.col("lon"), F.col("lat"), SUBJECT_BOXES)
+    nation = first_box(SUBJECT_BOXES)
     priority = F.coalesce(*[
         F.when(F.col("nation") == b.code, F.lit(b.priority)) for b in SUBJECT_BOXES
     ], F.lit(len(SUBJECT_BOXES)))

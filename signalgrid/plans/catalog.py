@@ -19,7 +19,7 @@ from signalgrid.plans.bindings import (
 )
 from signalgrid.schemas import (
     ARTICLE_DOCUMENT, BOUNDARY_DOCUMENT, CONFLICT_DOCUMENT, GEO_DOCUMENT,
-    REPORT_DOCUMENT, TIMELINE_DOCUMENT,
+    REPORT_DOCUMENT, TABLES, TIMELINE_DOCUMENT,
 )
 from signalgrid.session import work_folder
 from signalgrid.sources import boundaries, feeds, landing, sinks
@@ -431,8 +431,7 @@ SPAN = "60 days"
 
 
 def _event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    stream = ingest.file_stream(spark, sf_dir, schema, glob="events.parquet")
+    stream = ingest.file_stream(spark, sf_dir, TABLES["events"], glob="events.parquet")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -40,7 +40,7 @@ def geo_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFr
         signal_id(F.lit(fv.SOURCE_GEO), F.col("origin"), F.col("pos")).alias("id"),
         "origin", F.col("pos").cast("bigint").alias("pos"), "lat", "lon", "name",
         F.col("count").cast("bigint").alias("count"),
-        first_box(F.col("lon"), F.col("lat"), zones).alias("nation"),
+        first_box(zones).alias("nation"),
         severity_by_share(F.col("count"), F.col("peak")).alias("severity"),
         F.lit(fv.SOURCE_GEO).alias("source"),
     )
@@ -74,7 +74,7 @@ def conflict_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> D
         "origin", F.col("pos").cast("bigint").alias("pos"), "lat", "lon",
         F.concat_ws(" — ", kind, place).alias("name"),
         (1 + F.col("toll")).cast("bigint").alias("count"),
-        first_box(F.col("lon"), F.col("lat"), zones).alias("nation"),
+        first_box(zones).alias("nation"),
         severity_by_fatalities(F.col("toll")).alias("severity"),
         F.lit(fv.SOURCE_CONFLICT).alias("source"),
         F.col("r.event_date").try_cast("date").alias("event_date"),
