@@ -601,8 +601,8 @@ def boundary_subset(spark, sf_dir):
         F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("code"))
     kept = boundaries.boundary_features(_documents(bodies, BOUNDARY_DOCUMENT), wanted)
     return kept.select(
-        "code", "name", F.col("geometry.type").alias("kind"),
-        F.col("geometry.coordinates").alias("coordinates"))
+        "code", "name", F.variant_get("geometry", "$.type", "string").alias("kind"),
+        F.variant_get("geometry", "$.coordinates[0][0]", "double").alias("lon"))
 
 
 # --- Answers -----------------------------------------------------------------

@@ -382,12 +382,12 @@ FROM p WHERE lang <> 'es' AND text <> ''""",
     "timeline_scan": f"""WITH {DAILY.format(where='')}
 SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS pos,
   strftime(t, {ISO}) AS t, round(CASE WHEN count >= 2 THEN tone ELSE 0 END, 6) AS v FROM daily""",
-    "quarantine": """SELECT 'page-' || page_id AS origin, CASE WHEN trim(html) = '' THEN 'empty'
+    "quarantine": """SELECT 'page-' || page_id AS origin, CASE WHEN NOT regexp_matches(html, '\\S') THEN 'empty'
   WHEN regexp_matches(html, '^\\s*<') THEN 'markup' ELSE 'malformed' END AS reason FROM pages
-UNION ALL SELECT 'doc-' || doc_id, CASE WHEN trim(text) = '' THEN 'empty'
+UNION ALL SELECT 'doc-' || doc_id, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'empty'
   WHEN regexp_matches(text, '^\\s*<') THEN 'markup' ELSE 'malformed' END FROM documents""",
     "boundary_subset": """SELECT n_name AS code, s_name AS name, 'LineString' AS kind,
-  '[[' || s_suppkey || '.0,1.0]]' AS coordinates
+  CAST(s_suppkey AS DOUBLE) AS lon
 FROM supplier JOIN nation ON s_suppkey = n_nationkey""",
     "payload_events": f"""WITH {SIGNALS}, {THEATER_STATE},
 top AS (SELECT * FROM ranked WHERE rank <= 250),

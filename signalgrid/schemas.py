@@ -21,8 +21,7 @@ REPORT_DOCUMENT = (
     "date:struct<created:string>,country:array<struct<name:string>>>>>"
 )
 BOUNDARY_DOCUMENT = (
-    "features array<struct<id:string,properties:struct<name:string>,"
-    "geometry:struct<type:string,coordinates:string>>>"
+    "features array<struct<id:string,properties:struct<name:string>,geometry:variant>>"
 )
 CORRUPT = "_corrupt_record"
 

@@ -17,25 +17,23 @@ def boundary_features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return features.join(wanted, "id").select("code", "name", "geometry")
 
 
-def feature_json(features: DataFrame) -> DataFrame:
-    """One JSON feature per row, ready for a line-delimited sink."""
-    feature = F.struct(
+def _feature():
+    return F.struct(
         F.lit("Feature").alias("type"),
         F.struct("code", "name").alias("properties"),
         "geometry",
     )
-    return features.select(F.to_json(feature).alias("value"))
+
+
+def feature_json(features: DataFrame) -> DataFrame:
+    """One JSON feature per row, ready for a line-delimited sink."""
+    return features.select(F.to_json(_feature()).alias("value"))
 
 
 def feature_collection(features: DataFrame) -> DataFrame:
     """All features as one document; meant for the few boundaries of a dashboard."""
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct("code", "name").alias("properties"),
-        "geometry",
-    )
     document = F.struct(
         F.lit("FeatureCollection").alias("type"),
-        F.collect_list(feature).alias("features"),
+        F.collect_list(_feature()).alias("features"),
     )
     return features.agg(F.to_json(document).alias("value"))

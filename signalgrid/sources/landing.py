@@ -16,7 +16,7 @@ def read_bodies(spark: SparkSession, path: str, per_file: bool = True) -> DataFr
 
     A zero-byte file has no row; find it with ``missing_keys`` over a manifest.
     """
-    text = spark.read.option("wholetext", per_file).text(path)
+    text = spark.read.text(path, wholetext=per_file)
     return text.select(F.col("_metadata.file_name").alias("origin"), F.col("value").alias("body"))
 
 
@@ -25,7 +25,7 @@ def parse_bodies(bodies: DataFrame, schema: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     doc = F.from_json("body", f"{schema}, {CORRUPT} string", options)
     reason = (
-        F.when(F.coalesce(F.trim("body"), F.lit("")) == "", F.lit("empty"))
+        F.when(~F.coalesce(F.col("body").rlike(r"\S"), F.lit(False)), F.lit("empty"))
         .when(F.col("body").rlike(r"^\s*<"), F.lit("markup"))
         .when(F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull(), F.lit("malformed"))
     )
