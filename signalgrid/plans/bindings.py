@@ -39,22 +39,13 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_points(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Orders as conflict records; the toll grows with the price."""
     lon, lat = place(F.col("o_orderkey"))
     toll = F.floor(F.col("o_totalprice") / 100000)
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderdate", toll.alias("fatalities"),
-        lon.alias("lon"), lat.alias("lat"),
-    )
-
-
-def order_nations(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Orders with the key of their customer's nation."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", *columns)
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).drop(
-        "o_custkey", "c_custkey"
+        lon.alias("lon"), lat.alias("lat"), *columns,
     )
 
 

@@ -15,7 +15,7 @@ from signalgrid.operators import (
 from signalgrid.plans import payloads
 from signalgrid.plans.bindings import (
     AS_OF, conflict_rows, document_items, event_points, geo_rows, nation_members,
-    order_nations, order_points, table, theater_signals,
+    order_points, table, theater_signals,
 )
 from signalgrid.schemas import (
     ARTICLE_DOCUMENT, BOUNDARY_DOCUMENT, CONFLICT_DOCUMENT, GEO_DOCUMENT,
@@ -251,10 +251,17 @@ def _spoiled_stamp():
 
 def _situation(spark, sf_dir):
     members = nation_members(spark, sf_dir)
-    reports = order_nations(spark, sf_dir, "o_orderkey", "o_orderdate").join(
+    # No order beyond its customer's newest ones can be among its nation's newest, so
+    # a customer with very many orders shrinks before the join, whose shuffle this is.
+    newest = ranking.top_k_per_group(
+        table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"),
+        ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")],
+        fv.REPORT_CAP_PER_SUBJECT)
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    items = newest.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
         members.select("nationkey", F.col("code").alias("nation")),
         F.col("c_nationkey") == F.col("nationkey"))
-    items = reports.select(
+    items = items.select(
         F.col("o_orderkey").alias("id"), "nation", F.col("o_orderdate").alias("seen"))
     return payloads.situation_items(items, members)
 
@@ -284,6 +291,20 @@ def event_dossier(spark, sf_dir):
         display.coordinate(F.col("lon")).alias("lon"))
 
 
+def subject_dossier(spark, sf_dir):
+    """Pressure of every subject of every theater, with its name plate."""
+    points = pressure.add_share_severity(event_points(spark, sf_dir))
+    placed = zones.clip_to_theaters(zones.attribute_boxes(points, SUBJECT_BOXES), THEATER_BOXES)
+    scored = pressure.pressure_index(
+        pressure.tally(placed.filter(F.col("code").isNotNull()), ["theater", "code"]),
+        dims.theater_subject(spark))
+    plate = dims.dim_subject(spark).select(
+        "code", "name", "callsign", F.upper("capital").alias("capital"))
+    return scored.join(plate, "code").select(
+        "theater", "code", "name", "callsign", "capital", "events", _six("score"),
+        F.round(display.bar_width(F.col("score"), 4), 4).alias("bar"), "threat")
+
+
 # --- Look-back and timelines -------------------------------------------------
 
 def lookback(spark, sf_dir):
@@ -303,6 +324,18 @@ def conflict_lookback(spark, sf_dir):
     return rows.select("o_orderkey", clock.iso_text(F.col("o_orderdate")).alias("day"))
 
 
+def conflict_recent(spark, sf_dir):
+    """Newest conflict records per subject inside the look-back, up to the cap."""
+    recent = conflict_rows(spark, sf_dir).filter(
+        clock.since_date(F.col("observed_at"), "2001-07-15", fv.CONFLICT_LOOKBACK_DAYS, NTZ)
+        & F.col("nation").isNotNull())
+    best = ranking.top_k_per_group(
+        recent, ["nation"], [F.desc("observed_at"), F.asc("pos")], fv.CONFLICT_CAP,
+        spread=["id"])
+    return best.select(
+        "nation", "rank", "id", "name", clock.iso_text(F.col("observed_at")).alias("day"))
+
+
 def _tone_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         "event_id", "ts", "event_type", (F.lit(10.0) - F.col("value") / 10).alias("tone"))
@@ -437,8 +470,10 @@ def _event_stream(spark, sf_dir):
 
 def stream_signals(spark, sf_dir):
     folder = work_folder(spark, "signals")
-    stream = ingest.unique_within(_event_stream(spark, sf_dir), ["event_id"], "ts", SPAN)
-    coded = stream.select("event_id", "event_type", F.col("value").alias("value"), "ts")
+    polled = _event_stream(spark, sf_dir).select(
+        "event_id", "event_type", "value", "ts", F.col("_metadata.file_path").alias("file"))
+    stream = ingest.unique_within(polled, ["event_id"], "ts", SPAN, spread=F.col("file"))
+    coded = stream.select("event_id", "event_type", "value", "ts")
     ingest.start_append(coded, f"{folder}/table", f"{folder}/state").awaitTermination()
     return spark.read.schema(coded.schema).parquet(f"{folder}/table").select(
         "event_id", "event_type", "value")
@@ -498,9 +533,7 @@ def geo_scan(spark, sf_dir):
 
 
 def conflict_scan(spark, sf_dir):
-    points = order_points(spark, sf_dir).join(
-        table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"),
-        "o_orderkey")
+    points = order_points(spark, sf_dir, "o_orderstatus", "o_orderpriority")
     low = F.col("o_orderpriority") == "5-LOW"
     record = F.struct(
         F.when(F.col("o_orderstatus") == "P", F.when(low, F.lit("abc")).otherwise(F.lit("")))
@@ -730,8 +763,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         source_union, top_signals, strongest_signals, seed_fallback,
         hottest_per_subject, tension_arcs, arc_rails,
         keyword_filter, keyword_attribution, keyword_dictionary, url_domain, compact_ts,
-        situation_feed, ticker_report, event_dossier,
-        lookback, conflict_lookback, timeline_volume, timeline_tone, timeline_stats,
+        situation_feed, ticker_report, event_dossier, subject_dossier,
+        lookback, conflict_lookback, conflict_recent, timeline_volume, timeline_tone, timeline_stats,
         tone_now, tone_gauge,
         fetch_freshness, last_known_good, feed_status, missing_keys,
         insert_if_absent, domain_check,

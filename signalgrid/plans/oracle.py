@@ -280,11 +280,30 @@ FROM items ORDER BY seen DESC, items.id LIMIT 24""",
 SELECT id, coalesce(s.name, '—') AS subject, count AS mentions,
   round(greatest(5e0, severity * 100), 4) AS bar, round(lat, 3) AS lat, round(lon, 3) AS lon
 FROM g LEFT JOIN subj s ON s.code = g.nation""",
+    "subject_dossier": f"""WITH {SUBJ}, {THEATER}, {MEMBER}, {SCORED}, {CODED},
+plate(code, callsign, capital) AS (VALUES ('IR', 'PERSIA', 'TEHRAN'), ('IL', 'SHIELD', 'JERUSALEM'),
+  ('UA', 'TRIDENT', 'KYIV'), ('RU', 'BEAR', 'MOSCOW')),
+t AS (SELECT d.theater, h.code, count(*) AS n, avg(s.severity) AS mean FROM scored s
+  JOIN hit h USING (event_id) JOIN theater_dim d
+    ON s.lon BETWEEN d.west AND d.east AND s.lat BETWEEN d.south AND d.north GROUP BY 1, 2),
+j AS (SELECT m.theater, m.code, coalesce(n, 0) AS events, coalesce(mean, 0e0) AS mean
+  FROM member m LEFT JOIN t ON t.theater = m.theater AND t.code = m.code),
+p AS (SELECT *, least(1e0, 0.55e0 * events / greatest(1, max(events) OVER (PARTITION BY theater))
+  + 0.45e0 * mean) AS score FROM j)
+SELECT theater, p.code, s.name, callsign, plate.capital, events, round(score, 6) AS score,
+  round(greatest(4e0, score * 100), 4) AS bar, {BANDS.format(x='score')} AS threat
+FROM p JOIN subj s ON s.code = p.code JOIN plate ON plate.code = p.code""",
     "lookback": f"""SELECT event_id, event_type, ts >= {AS_OF} - INTERVAL 1 DAY AS in_events,
   ts >= {AS_OF} - INTERVAL 2 DAY AS in_articles
 FROM events WHERE ts >= {AS_OF} - INTERVAL 14 DAY""",
     "conflict_lookback": f"""SELECT o_orderkey, strftime(o_orderdate, {ISO}) AS day FROM orders
 WHERE CAST(o_orderdate AS DATE) >= DATE '2001-07-15' - INTERVAL 14 DAY AND o_orderstatus = 'O'""",
+    "conflict_recent": f"""WITH {SIGNALS}, r AS (
+  SELECT c.nation, c.id, 'Event — ' || c.nation AS name, o.o_orderdate AS d, row_number() OVER (
+    PARTITION BY c.nation ORDER BY o.o_orderdate DESC, c.pos) AS rank
+  FROM conflict c JOIN orders o ON o.o_orderkey = c.pos
+  WHERE c.nation IS NOT NULL AND o.o_orderdate >= TIMESTAMP '2001-07-01 00:00:00')
+SELECT nation, rank, id, name, strftime(d, {ISO}) AS day FROM r WHERE rank <= 400""",
     "timeline_volume": f"""WITH {DAILY.format(where='')}
 SELECT strftime(t, {ISO}) AS t, subject, count, round(volume, 6) AS volume FROM shared""",
     "timeline_tone": f"""WITH {DAILY.format(where='')}

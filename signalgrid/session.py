@@ -22,6 +22,9 @@ def build_session(app: str = "signalgrid", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Stream state on local disk, so it may outgrow executor memory.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **{k: str(v) for k, v in conf.items()},
     }
     for key, value in settings.items():

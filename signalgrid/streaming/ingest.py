@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -29,12 +29,27 @@ def file_stream(
     return reader.load(path)
 
 
-def unique_within(stream: DataFrame, keys: Sequence[str], stamp: str, delay: str) -> DataFrame:
+def unique_within(
+    stream: DataFrame,
+    keys: Sequence[str],
+    stamp: str,
+    delay: str,
+    spread: Column | None = None,
+    salts: int = 32,
+) -> DataFrame:
     """Drop repeats of records that overlapping polls fetch again.
 
     ``delay`` is how late a record may come; state older than that is released.
+    ``spread`` differs between copies of one record, such as the file they came
+    in.  With it, copies first meet in ``salts`` tasks per record and only their
+    survivors in one, so a record repeated very often does not fill one task.
     """
-    return stream.withWatermark(stamp, delay).dropDuplicatesWithinWatermark(list(keys))
+    marked = stream.withWatermark(stamp, delay)
+    if spread is not None:
+        salt = F.pmod(F.xxhash64(spread), F.lit(salts))
+        marked = marked.withColumn("_salt", salt).dropDuplicatesWithinWatermark(
+            [*keys, "_salt"]).drop("_salt")
+    return marked.dropDuplicatesWithinWatermark(list(keys))
 
 
 def start_append(
@@ -75,6 +90,14 @@ def latest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
     return newest.select(*keys, "row.*")
 
 
+def compact(spark: SparkSession, out: str, keys: Sequence[str], target: str) -> None:
+    """Write the newest version of every key to a new table of one version.
+
+    Readers move to ``target`` once it is complete; run it while no query upserts.
+    """
+    latest(spark, out, keys).write.mode("overwrite").parquet(f"{target}/version=0")
+
+
 def _write_version(out: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")

@@ -40,6 +40,20 @@ def test_repeats_are_dropped_across_restarts(spark, tmp_path, landing):
     assert table.exceptAll(rows(spark, 0, 600)).count() == 0
 
 
+def test_copies_spread_over_files_are_dropped(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
+    for _ in range(4):
+        copies = rows(spark, 0, 50).unionByName(rows(spark, 7, 8)).unionByName(rows(spark, 7, 8))
+        copies.coalesce(1).write.mode("append").parquet(folder)
+        stream = ingest.file_stream(spark, folder, SCHEMA, files_per_trigger=1).select(
+            "*", F.col("_metadata.file_path").alias("file"))
+        unique = ingest.unique_within(stream, ["id"], "at", "30 days", spread=F.col("file"))
+        ingest.start_append(unique, out, state).awaitTermination()
+    table = spark.read.parquet(out).drop("file")
+    assert table.count() == 50
+    assert table.exceptAll(rows(spark, 0, 50)).count() == 0
+
+
 def test_volume_after_upsert_equals_batch(spark, tmp_path, landing):
     folder, poll = landing
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
@@ -79,3 +93,6 @@ def test_writing_a_version_again_replaces_it(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
     got = ingest.latest(spark, out, ["k"]).collect()
     assert sorted(map(tuple, got)) == [("a", 7), ("b", 2)]
+    ingest.compact(spark, out, ["k"], str(tmp_path / "compact"))
+    table = spark.read.parquet(str(tmp_path / "compact"))
+    assert sorted((r.k, r.v) for r in table.collect()) == [("a", 7), ("b", 2)]
