@@ -26,9 +26,9 @@ def geo_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFr
     """
     counts = F.transform("doc.features", lambda f: f["properties"]["count"])
     peak = F.coalesce(F.array_max(F.filter(counts, lambda c: c > 0)), F.lit(1.0))
-    features = docs.select(
-        "origin", peak.alias("peak"), F.posexplode("doc.features").alias("pos", "f")
-    )
+    # The peak is taken per document, before the features become rows.
+    peaked = docs.select("origin", peak.alias("peak"), F.col("doc.features").alias("features"))
+    features = peaked.select("origin", "peak", F.posexplode("features").alias("pos", "f"))
     rows = features.select(
         "origin", "pos", "peak",
         F.try_element_at("f.geometry.coordinates", F.lit(1)).alias("lon"),

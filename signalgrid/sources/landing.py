@@ -29,7 +29,10 @@ def parse_bodies(bodies: DataFrame, schema: str) -> DataFrame:
         .when(F.col("body").rlike(r"^\s*<"), F.lit("markup"))
         .when(F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull(), F.lit("malformed"))
     )
-    return bodies.withColumn("doc", doc).withColumn("reason", reason)
+    # Exploding a one-element array keeps the parse in one place: a later filter on
+    # its result would otherwise be pushed below it and parse every body again.
+    parsed = bodies.select("*", F.explode(F.array(doc)).alias("doc"))
+    return parsed.withColumn("reason", reason)
 
 
 def good_documents(parsed: DataFrame) -> DataFrame:
