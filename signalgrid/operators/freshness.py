@@ -24,15 +24,16 @@ def freshness(
 
 
 def last_known_good(
-    log: DataFrame, key: str, at: str, ok: Column, bucket: str = "1 hour"
+    log: DataFrame, key: str, at: str, ok: Column, bucket: str = "hour"
 ) -> DataFrame:
     """For every fetch, the time of the newest success so far for its key.
 
     A plain running window would put a whole key in one task.  Here each key is
-    cut into time buckets: rows only look back inside their own bucket, and the
-    best earlier success comes from a per-bucket summary joined back on.
+    cut into calendar buckets: rows only look back inside their own bucket, and the
+    best earlier success comes from a per-bucket summary joined back on.  Fetches
+    without a time are kept, with no answer.
     """
-    stamped = log.withColumn("_bucket", F.window(at, bucket)["start"]).withColumn(
+    stamped = log.withColumn("_bucket", F.date_trunc(bucket, at)).withColumn(
         "_good", F.when(ok, F.col(at))
     )
     per_bucket = stamped.groupBy(key, "_bucket").agg(F.max("_good").alias("_bucket_good"))

@@ -20,13 +20,15 @@ def insert_if_absent(
     """Rows to append: the first row per new key.
 
     Copies of a key collapse to one row per partition before the shuffle, and the
-    anti-join reuses that shuffle's partitioning.
+    lookup of existing keys reuses that shuffle's partitioning.  It is an outer join
+    because Spark would move an anti-join ahead of the grouping, where a key with
+    very many copies would still be whole.
     """
     first = incoming.groupBy(key).agg(
         F.min_by(F.struct(*incoming.columns), F.struct(*order)).alias("row")
     )
-    fresh = first.join(existing.select(key), key, "left_anti")
-    return fresh.select("row.*")
+    known = existing.select(key, F.lit(True).alias("_known"))
+    return first.join(known, key, "left").filter(F.col("_known").isNull()).select("row.*")
 
 
 def check_domain(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:

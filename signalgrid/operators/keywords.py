@@ -38,12 +38,15 @@ def attribute_dictionary(
     The cost does not grow with the number of words: each word of a text is looked
     up once.  Only texts with a hit are returned, and the hits of a text combine
     within its own partition before the shuffle on ``key``.
-    ``dictionary`` has code, priority and word (single lower-case ASCII words).
+    ``dictionary`` has code, priority and word (single lower-case ASCII words); each
+    code has its own priority.
     """
     # Lower-cased after cutting, so that no accented letter turns into an ASCII one.
     words = df.select(key, F.explode(words_of(text)).alias("word")).withColumn(
         "word", F.lower("word"))
     side = F.broadcast(dictionary) if fits_broadcast(dictionary) else dictionary
-    hits = words.join(side, "word")
-    best = hits.groupBy(key).agg(F.min(F.struct("priority", "code")).alias("best"))
-    return best.select(key, F.col("best.code").alias(out))
+    # A number per text hashes well; its code is looked up once the hits are combined.
+    best = words.join(side.select("word", "priority"), "word").groupBy(key).agg(
+        F.min("priority").alias("priority"))
+    codes = dictionary.select("priority", F.col("code").alias(out)).distinct()
+    return best.join(codes, "priority").select(key, out)
