@@ -12,14 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from signalgrid.dims import Box
 from signalgrid.functions.geometry import boxes_holding, cell, first_box, inside
 
 INLINE_BOXES = 64
 BROADCAST_ZONES = 50_000
-BROADCAST_CELLS = 1_000_000
+LEAST_CELLS = 20_000
+CELLS_PER_ZONE = 32
+SHARED_SPAN = 4  # in powers of two: zones down to a quarter of a shared cell
 WORLD = 360.0
 FINEST_LEVEL = 14
 CELLS_PER_EXTENT = 2  # in powers of two: a zone is at most four cells wide
@@ -40,7 +42,7 @@ def attribute_boxes(points: DataFrame, boxes: Sequence[Box], out: str = "code")
     return points.withColumn(out, first_box(boxes))
 
 
-def zone_cells(zones: DataFrame, level: int | None = None) -> DataFrame:
+def zone_cells(zones: DataFrame, level: Column | None = None) -> DataFrame:
     """One row per zone and grid cell it touches; ``full`` if it covers the cell.
 
     Without ``level`` each zone uses the grid level that fits its size, so it
@@ -60,7 +62,7 @@ def zone_cells(zones: DataFrame, level: int | None = None) -> DataFrame:
         & (F.col("north") >= (F.col("cell_y") + 1) * size + slack)
     )
     return (
-        zones.withColumn("level", _level() if level is None else F.lit(level))
+        zones.withColumn("level", _level() if level is None else level)
         .withColumn("cell_size", F.lit(WORLD) / F.pow(F.lit(2.0), F.col("level")))
         .withColumn("cell_x", span("west", "east"))
         .withColumn("cell_y", span("south", "north"))
@@ -140,15 +142,20 @@ def _measure(zones: DataFrame):
 def _gridded(zones: DataFrame, grid) -> tuple[list[int], DataFrame]:
     """Levels to look up and the zone cells on them.
 
-    If all zones together touch few enough cells of the finest level, that level
-    alone will do and each point is looked up once.
+    One shared level serves all zones that are not much smaller than its cells: the
+    finest level on which the zones touch few enough cells.  Much smaller zones keep
+    the level that fits them, so they do not crowd a cell.
     """
-    finest = grid.levels[-1]
-    size = WORLD / 2**finest
-    touched = grid.area / size**2 + 2 * grid.rim / size + 4 * grid.zones
-    if touched <= BROADCAST_CELLS:
-        return [finest], zone_cells(zones, finest)
-    return grid.levels, zone_cells(zones)
+    budget = LEAST_CELLS + CELLS_PER_ZONE * grid.zones
+    shared = 0
+    for level in range(grid.levels[-1] + 1):
+        size = WORLD / 2**level
+        if grid.area / size**2 + 2 * grid.rim / size + 4 * grid.zones <= budget:
+            shared = level
+    levels = sorted({
+        shared if level <= shared + SHARED_SPAN else level for level in grid.levels})
+    level = F.when(_level() <= shared + SHARED_SPAN, F.lit(shared)).otherwise(_level())
+    return levels, zone_cells(zones, level)
 
 
 def _cell_key(level, cell_x, cell_y):

@@ -466,7 +466,8 @@ SPAN = "60 days"
 
 
 def _event_stream(spark, sf_dir):
-    stream = ingest.file_stream(spark, sf_dir, TABLES["events"], glob="events.parquet")
+    # A pattern, because the table may be one file or a folder of files.
+    stream = ingest.file_stream(spark, f"{sf_dir}/events.parque[t]", TABLES["events"])
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -31,11 +31,12 @@ def brute_force(points, boxes):
     return wanted
 
 
-@pytest.mark.parametrize("one_level", [True, False])
+@pytest.mark.parametrize("cells", [1_000_000, 3_000, 0])
 @pytest.mark.parametrize("broadcast_zones", [50_000, 0])
-def test_zone_table_equals_brute_force(spark, monkeypatch, broadcast_zones, one_level):
-    if not one_level:
-        monkeypatch.setattr(zones, "BROADCAST_CELLS", 0)
+def test_zone_table_equals_brute_force(spark, monkeypatch, broadcast_zones, cells):
+    monkeypatch.setattr(zones, "LEAST_CELLS", cells)
+    monkeypatch.setattr(zones, "CELLS_PER_ZONE", 5)
+    monkeypatch.setattr(zones, "SHARED_SPAN", 2)
     points, table = random_points(spark), random_zones(spark)
     wanted = brute_force(points.collect(), table.collect())
     found = zones.attribute_zone_table(points, table, "id", broadcast_zones=broadcast_zones)
