@@ -47,8 +47,8 @@ def words_of(text: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """Host part of a URL, NULL if the URL is malformed."""
-    return F.try_parse_url(url, F.lit("HOST"))
+    """Host part of a URL in lower case, NULL if the URL is malformed."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
 def present(*columns: Column) -> Column:

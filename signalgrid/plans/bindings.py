@@ -55,7 +55,7 @@ def nation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("r_name").alias("theater"), F.col("n_name").alias("code"),
-        F.col("n_nationkey").alias("nationkey"),
+        F.col("n_nationkey").alias("nationkey"), F.col("n_nationkey").alias("position"),
     )
 
 
@@ -102,7 +102,7 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as feed items; a later key was seen later."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
-        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"),
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.col("doc_id").alias("pos"),
         F.col("text").alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"),
         F.col("source").alias("domain"), F.col("lang").alias("country"),

@@ -262,7 +262,8 @@ def _situation(spark, sf_dir):
         members.select("nationkey", F.col("code").alias("nation")),
         F.col("c_nationkey") == F.col("nationkey"))
     items = items.select(
-        F.col("o_orderkey").alias("id"), "nation", F.col("o_orderdate").alias("seen"))
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pos"), "nation",
+        F.col("o_orderdate").alias("seen"))
     return payloads.situation_items(items, members)
 
 
@@ -273,7 +274,7 @@ def situation_feed(spark, sf_dir):
 
 def ticker_report(spark, sf_dir):
     items = ranking.top_k(
-        document_items(spark, sf_dir), [F.desc("seen"), F.asc("id")], fv.TICKER_CAP)
+        document_items(spark, sf_dir), payloads.newest_first(), fv.TICKER_CAP)
     return items.select(
         "id", F.upper("domain").alias("domain"), display.short_title(F.col("title")).alias("title"),
         text.first_keyword(F.concat_ws(" ", "country", "title"), WORD_LISTS).alias("code"))

@@ -134,12 +134,12 @@ shared AS (
   SELECT *, count::DOUBLE / sum(count) OVER (PARTITION BY t) AS volume FROM daily)"""
 
 SITUATION = """a AS (
-  SELECT r_name AS theater, n_name AS nation, o_orderkey AS id, o_orderdate AS seen,
+  SELECT r_name AS theater, n_name AS nation, n_nationkey, o_orderkey AS id, o_orderdate AS seen,
          row_number() OVER (PARTITION BY n_name ORDER BY o_orderdate DESC, o_orderkey) AS r1
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey
   JOIN region ON r_regionkey = n_regionkey),
 b AS (
-  SELECT *, row_number() OVER (PARTITION BY theater ORDER BY seen DESC, id) AS rank
+  SELECT *, row_number() OVER (PARTITION BY theater ORDER BY seen DESC, n_nationkey, id) AS rank
   FROM a WHERE r1 <= 12)"""
 
 ITEMS = """items AS (
@@ -258,7 +258,8 @@ SELECT theater, arc_id, code, adversary, from_lon, from_lat, to_lon, to_lat, lab
     "keyword_attribution": f"SELECT doc_id, {WORDS.format(t='text')} AS code FROM documents",
     "keyword_dictionary": f"SELECT * FROM (SELECT doc_id, {WORDS.format(t='text')} AS code "
                           "FROM documents) WHERE code IS NOT NULL",
-    "url_domain": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS domain FROM pages",
+    "url_domain": "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS domain "
+                  "FROM pages",
     "compact_ts": f"""WITH raw AS (SELECT o_orderkey, CASE o_orderkey % 7
     WHEN 0 THEN strftime(o_orderdate, '%Y%m%dT%H%M%SZ') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d')
     WHEN 2 THEN strftime(o_orderdate, '%Y%m%d%H%M%S') || '99'

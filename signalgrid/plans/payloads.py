@@ -31,6 +31,11 @@ def signal_order() -> list[Column]:
     ]
 
 
+def newest_first() -> list[Column]:
+    """Newest first; ties keep input order."""
+    return [F.desc("seen"), F.asc("pos"), F.asc("id")]
+
+
 def nested(df: DataFrame, key: str, order: str, fields: Sequence[str], out: str) -> DataFrame:
     """Rows of a capped table as one ordered array per key."""
     entry = F.struct(F.col(order).alias("_order"), *fields)
@@ -107,9 +112,7 @@ def feed_items(
 ) -> DataFrame:
     """Newest articles per theater whose query they match, attributed to subjects."""
     routed = route_by_mention(articles, F.col("title"), routes, "theater")
-    newest = top_k_per_group(
-        routed, ["theater"], [F.desc("seen"), F.asc("id")], cap, spread=["id"]
-    )
+    newest = top_k_per_group(routed, ["theater"], newest_first(), cap, spread=["id"])
     own = first_keyword(F.concat_ws(" ", "country", "title"), keywords)
     return newest.withColumn("nation", F.coalesce(own, F.col("nation")))
 
@@ -120,11 +123,12 @@ def situation_items(
     per_subject: int = fv.REPORT_CAP_PER_SUBJECT,
     cap: int = fv.REPORT_CAP,
 ) -> DataFrame:
-    """Newest reports per subject, then per theater."""
-    order = [F.desc("seen"), F.asc("id")]
-    newest = top_k_per_group(reports, ["nation"], order, per_subject, spread=["id"]).drop("rank")
-    placed = newest.join(members.select("theater", F.col("code").alias("nation")), "nation")
-    return top_k_per_group(placed, ["theater"], order, cap)
+    """Newest reports per subject, then per theater; ties follow the subjects' order."""
+    newest = top_k_per_group(
+        reports, ["nation"], newest_first(), per_subject, spread=["id"]).drop("rank")
+    member = members.select("theater", F.col("code").alias("nation"), "position")
+    order = [F.desc("seen"), F.asc("position"), F.asc("pos"), F.asc("id")]
+    return top_k_per_group(newest.join(member, "nation"), ["theater"], order, cap)
 
 
 def items_payload(

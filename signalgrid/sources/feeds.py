@@ -18,6 +18,8 @@ from signalgrid.functions.geometry import first_box
 from signalgrid.functions.scoring import severity_by_fatalities, severity_by_share
 from signalgrid.functions.text import host_of, present
 
+DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def geo_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFrame:
     """Density features as signals; severity is relative to the document's peak.
@@ -52,7 +54,9 @@ def _usable(name: str) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.trim(text).try_cast("double")
+    """A decimal number, NULL for anything else, such as ``12d`` or a blank."""
+    plain = F.trim(text)
+    return F.when(plain.rlike(DECIMAL), plain.try_cast("double"))
 
 
 def conflict_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFrame:

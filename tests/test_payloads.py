@@ -71,7 +71,7 @@ def articles(spark, n):
         F.concat(F.lit("a"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"),
         F.when(F.col("id") % 4 == 0, "Talks in Russia").otherwise("Iran and Israel").alias("title"),
         F.lit("u").alias("url"), F.lit("d").alias("domain"), F.lit("—").alias("country"),
-        F.timestamp_seconds(1706500000 + F.col("id")).alias("seen"),
+        F.timestamp_seconds(1706500000 + F.col("id")).alias("seen"), F.col("id").alias("pos"),
         F.lit(None).cast("string").alias("nation"))
 
 
@@ -114,6 +114,15 @@ def test_situation_caps(spark):
     assert seen == sorted(seen, reverse=True)
 
 
+def test_situation_ties_follow_subject_and_input_order(spark):
+    reports = local_table(
+        spark, [("z", 0, "IL"), ("y", 1, "IL"), ("b", 0, "IR"), ("a", 1, "IR")],
+        "id string, pos int, nation string").withColumn("seen", now())
+    items = payloads.situation_items(reports, dims.theater_subject(spark))
+    rows = items.filter("theater = 'middle-east'").orderBy("rank").collect()
+    assert [r.id for r in rows] == ["b", "a", "z", "y"]
+
+
 def test_pulse_answer(spark):
     series = local_table(
         spark, [("IR", "volume", 1, 0.5), ("IR", "volume", 0, 0.25), ("IR", "tone", 1, -2.0),

@@ -158,7 +158,7 @@ def test_keyword_attribution_golden(spark):
 
 def test_hosts(spark):
     got = column(
-        spark, ["https://m.example.net/en/25#top", "http://[bad", "nonsense"], text.host_of, "string")
+        spark, ["https://M.Example.net:81/en/25#top", "http://[bad", "nonsense"], text.host_of, "string")
     assert got == ["m.example.net", None, None]
 
 

@@ -63,13 +63,15 @@ def test_conflict_document(spark):
         record(longitude="NaN"), record(longitude="Infinity"),
         record(latitude=" 50.45 ", fatalities="many", location=""),
         record(fatalities="-5", event_date="2024-01-20"),
+        record(latitude="50d"), record(latitude="+5.045e1", fatalities="2f"),
     ]}, asked="Ukraine")
     rows = {r.pos: r for r in feeds.conflict_signals(docs).collect()}
-    assert sorted(rows) == [0, 1, 7, 8]
+    assert sorted(rows) == [0, 1, 7, 8, 10]
     assert [rows[p].name for p in sorted(rows)] == [
-        "Armed clash — Kyiv", "Battles — Ukraine", "Event — ", "Event — Ukraine"]
-    assert [rows[p]["count"] for p in sorted(rows)] == [10, 1, 1, 1]
-    assert [rows[p].severity for p in sorted(rows)] == pytest.approx([0.95, 0.45, 0.45, 0.45])
+        "Armed clash — Kyiv", "Battles — Ukraine", "Event — ", "Event — Ukraine",
+        "Event — Ukraine"]
+    assert [rows[p]["count"] for p in sorted(rows)] == [10, 1, 1, 1, 1]
+    assert [rows[p].severity for p in sorted(rows)] == pytest.approx([0.95] + [0.45] * 4)
     assert {r.nation for r in rows.values()} == {"UA"}
     assert str(rows[8].event_date) == "2024-01-20"
 
