@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from signalgrid import fixed_values as fv
 from signalgrid.dims import SUBJECT_BOXES
@@ -36,13 +36,27 @@ def seed_signals(spark) -> DataFrame:
 
 
 def with_fallback(live: DataFrame, fallback: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """Live rows, plus all fallback rows for every group that has no live row.
-
-    ``fallback`` is a short fixed list; it reaches the silent groups as one array.
-    """
+    """Live rows, plus all fallback rows for every group that has no live row."""
     silent = groups.select(key).join(live.select(key).distinct(), key, "left_anti")
+    return _tagged(live, _filler(fallback, silent, key))
+
+
+def with_fallback_capped(
+    live: DataFrame, fallback: DataFrame, groups: DataFrame, key: str
+) -> DataFrame:
+    """The same for live rows that are capped per group, reading them only once."""
+    both = _tagged(live, _filler(fallback, groups, key))
+    any_live = F.max("live").over(Window.partitionBy(key))
+    return both.withColumn("_any", any_live).filter(F.col("live") == F.col("_any")).drop("_any")
+
+
+def _filler(fallback: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """All fallback rows, a short fixed list, for each group."""
     listed = fallback.agg(F.collect_list(F.struct(*fallback.columns))).scalar()
-    filler = silent.select(key, F.explode(listed).alias("row")).select(key, "row.*")
+    return groups.select(key, F.explode(listed).alias("row")).select(key, "row.*")
+
+
+def _tagged(live: DataFrame, filler: DataFrame) -> DataFrame:
     return live.withColumn("live", F.lit(True)).unionByName(
         filler.withColumn("live", F.lit(False)), allowMissingColumns=True
     )

@@ -15,9 +15,10 @@ from signalgrid.dims import SUBJECT_KEYWORDS, THEATER_QUERIES, Keywords
 from signalgrid.functions.text import first_keyword
 from signalgrid.operators.arcs import adversary_pairs, tension_arcs
 from signalgrid.operators.keywords import route_by_mention
-from signalgrid.operators.merge import with_fallback
+from signalgrid.operators.merge import with_fallback_capped
 from signalgrid.operators.pressure import pressure_index, tally
 from signalgrid.operators.ranking import hottest, last_by_position, top_k_per_group
+from signalgrid.session import written
 
 EVENT_FIELDS = ("id", "lat", "lon", "name", "count", "nation", "severity", "source")
 ITEM_FIELDS = ("id", "title", "url", "domain", "country", "seen", "nation")
@@ -55,12 +56,12 @@ def events_picture(
 ) -> DataFrame:
     """The strongest live signals per theater, or the reference hotspots if none.
 
-    At most ``cap`` rows per theater.  It feeds several parts of the answer, so it
-    is kept once computed.
+    At most ``cap`` rows per theater.  Several parts of the answer read it, so it is
+    written once.
     """
     capped = top_k_per_group(live, ["theater"], signal_order(), cap, spread=["id"])
     placed = seeds.withColumn("rank", F.col("pos") + 1)
-    return with_fallback(capped, placed, theaters, "theater").persist()
+    return written(with_fallback_capped(capped, placed, theaters, "theater"), "picture")
 
 
 def events_payload(

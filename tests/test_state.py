@@ -98,10 +98,11 @@ def test_domain_check_names_the_first_broken_rule(spark):
     assert ([r.id for r in accepted.collect()], rejected.count()) == ([1], 3)
 
 
-def test_fallback_only_for_silent_theaters(spark):
+@pytest.mark.parametrize("fill", [merge.with_fallback, merge.with_fallback_capped])
+def test_fallback_only_for_silent_theaters(spark, fill):
     live = local_table(
         spark, [("global", "x1", 50.0, 30.0)], "theater string, id string, lat double, lon double")
-    rows = merge.with_fallback(
+    rows = fill(
         live, merge.seed_signals(spark), dims.dim_theater(spark), "theater").collect()
     count = {}
     for r in rows:
