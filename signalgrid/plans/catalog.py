@@ -520,7 +520,8 @@ def _documents(bodies: DataFrame, schema: str) -> DataFrame:
     return landing.good_documents(landing.parse_bodies(bodies, schema))
 
 
-def geo_scan(spark, sf_dir):
+def _geo_bodies(spark, sf_dir):
+    """Events as pages of density features, some without place, name or count."""
     points = event_points(spark, sf_dir)
     kind = F.col("event_type")
     both, one = F.array("lon", "lat"), F.array("lon")
@@ -531,11 +532,32 @@ def geo_scan(spark, sf_dir):
         F.when(kind != "view", kind).alias("name"),
         F.when(kind != "click", F.col("count")).alias("count"))
     feature = F.struct(geometry.alias("geometry"), properties.alias("properties"))
-    bodies = _paged(points, "event_id", feature, lambda e: e.alias("features"))
-    rows = feeds.geo_signals(_documents(bodies, GEO_DOCUMENT))
+    return _paged(points, "event_id", feature, lambda e: e.alias("features"))
+
+
+def geo_scan(spark, sf_dir):
+    rows = feeds.geo_signals(_documents(_geo_bodies(spark, sf_dir), GEO_DOCUMENT))
     return rows.select("origin", "pos", "id", "name", "count", "nation", _six("severity"))
 
 
+def stream_landing(spark, sf_dir):
+    """Density pages and web pages arriving as files, one body per line."""
+    folder = work_folder(spark, "landing")
+    pages = table(spark, sf_dir, "pages").select(
+        F.regexp_replace("html", r"[\r\n]+", " ").alias("body"))
+    arriving = _geo_bodies(spark, sf_dir).select("body").unionByName(pages)
+    arriving.write.text(f"{folder}/files")
+    ingest.start_landing(
+        ingest.body_stream(spark, f"{folder}/files", per_file=False), GEO_DOCUMENT,
+        feeds.geo_signals, f"{folder}/signals", f"{folder}/aside", f"{folder}/state",
+    ).awaitTermination()
+    good = spark.read.parquet(f"{folder}/signals").select(
+        F.lit("signal").alias("part"), "name", "count", "nation", _six("severity"))
+    aside = spark.read.parquet(f"{folder}/aside").select(
+        F.lit("aside").alias("part"), F.col("reason").alias("name"))
+    return good.unionByName(aside, allowMissingColumns=True)
+
+
 def conflict_scan(spark, sf_dir):
     points = order_points(spark, sf_dir, "o_orderstatus", "o_orderpriority")
     low = F.col("o_orderpriority") == "5-LOW"
@@ -772,7 +794,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tone_now, tone_gauge,
         fetch_freshness, last_known_good, feed_status, missing_keys,
         insert_if_absent, domain_check,
-        stream_signals, stream_volume, stream_fetch_state,
+        stream_signals, stream_volume, stream_fetch_state, stream_landing,
         geo_scan, conflict_scan, article_scan, report_scan, timeline_scan,
         quarantine, boundary_subset,
         payload_events, payload_sink, payload_feed, payload_situation, payload_pulse,

@@ -180,6 +180,15 @@ FROM w"""
 NUMBERED = """CAST(floor({k} / 50) AS BIGINT) AS origin,
   row_number() OVER (PARTITION BY floor({k} / 50) ORDER BY {k}) - 1 AS pos"""
 
+GEO_PAGES = f"""{SUBJ}, {POINTS}, {CODED},
+n AS (SELECT *, {NUMBERED.format(k='event_id')},
+  CASE WHEN event_type <> 'click' THEN count ELSE 0 END AS c FROM points),
+m AS (SELECT *, coalesce(max(CASE WHEN c > 0 THEN c END) OVER (PARTITION BY origin), 1) AS peak FROM n),
+geo_rows AS (
+  SELECT origin, pos, CASE WHEN event_type = 'view' THEN 'Unknown' ELSE event_type END AS name,
+    c AS count, code AS nation, round(least(1e0, sqrt(c::DOUBLE / peak)), 6) AS severity
+  FROM m LEFT JOIN hit USING (event_id) WHERE event_type NOT IN ('error', 'signup'))"""
+
 ORACLE: dict[str, str] = {
     "pressure_index": PRESSURE
     + f"SELECT theater, code, events, round(score, 6) AS score, {BANDS.format(x='score')} AS threat FROM p",
@@ -360,14 +369,14 @@ SELECT c_custkey, role, CASE WHEN email IS NULL THEN 'email is null'
     "stream_fetch_state": f"""SELECT user_id,
   strftime(max(ts) FILTER (event_type <> 'error'), {ISO}) AS last_ok,
   count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1""",
-    "geo_scan": f"""WITH {SUBJ}, {POINTS}, {CODED},
-n AS (SELECT *, {NUMBERED.format(k='event_id')},
-  CASE WHEN event_type <> 'click' THEN count ELSE 0 END AS c FROM points),
-m AS (SELECT *, coalesce(max(CASE WHEN c > 0 THEN c END) OVER (PARTITION BY origin), 1) AS peak FROM n)
-SELECT origin, pos, sha256('gdelt|' || origin || '|' || pos) AS id,
-  CASE WHEN event_type = 'view' THEN 'Unknown' ELSE event_type END AS name, c AS count,
-  code AS nation, round(least(1e0, sqrt(c::DOUBLE / peak)), 6) AS severity
-FROM m LEFT JOIN hit USING (event_id) WHERE event_type NOT IN ('error', 'signup')""",
+    "geo_scan": f"""WITH {GEO_PAGES}
+SELECT origin, pos, sha256('gdelt|' || origin || '|' || pos) AS id, name, count, nation, severity
+FROM geo_rows""",
+    "stream_landing": f"""WITH {GEO_PAGES}
+SELECT 'signal' AS part, name, count, nation, severity FROM geo_rows
+UNION ALL SELECT 'aside', CASE WHEN NOT regexp_matches(html, '\\S') THEN 'empty'
+  WHEN regexp_matches(html, '^\\s*<') THEN 'markup' ELSE 'malformed' END, NULL, NULL, NULL
+FROM pages""",
     "conflict_scan": f"""WITH {SUBJ},
 p AS (SELECT *, {NUMBERED.format(k='o_orderkey')}, o_orderpriority = '5-LOW' AS low,
   21e0 + ((o_orderkey * 7919) % 4900) / 1e2 AS lon,

@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from signalgrid.sources.landing import good_documents, parse_bodies, quarantined
+
 
 def file_stream(
     spark: SparkSession,
@@ -29,6 +31,46 @@ def file_stream(
     return reader.load(path)
 
 
+def body_stream(
+    spark: SparkSession, path: str, per_file: bool = True, files_per_trigger: int | None = None
+) -> DataFrame:
+    """New landing files as a stream of bodies: one per file, or one per line."""
+    reader = spark.readStream
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    text = reader.text(path, wholetext=per_file)
+    return text.select(F.col("_metadata.file_name").alias("origin"), F.col("value").alias("body"))
+
+
+def start_landing(
+    bodies: DataFrame,
+    schema: str,
+    normalise: Callable[[DataFrame], DataFrame],
+    out: str,
+    aside: str,
+    checkpoint: str,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Turn landing bodies into canonical rows, setting bad bodies aside.
+
+    ``normalise`` is one of the feed functions. A bad body costs itself only. Each
+    batch owns a folder in both tables, so writing a batch again replaces it.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse_bodies(batch, schema).persist()
+        try:
+            rows = normalise(good_documents(parsed))
+            rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            quarantined(parsed).write.mode("overwrite").parquet(f"{aside}/batch={batch_id}")
+        finally:
+            parsed.unpersist()
+
+    return (
+        bodies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every)).start()
+    )
+
+
 def unique_within(
     stream: DataFrame,
     keys: Sequence[str],

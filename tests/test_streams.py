@@ -1,7 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from signalgrid.operators import freshness
+from signalgrid.schemas import GEO_DOCUMENT
+from signalgrid.sources import feeds
 from signalgrid.streaming import ingest, views
 
 SCHEMA = "id bigint, at timestamp, subject string, ok boolean, tone double"
@@ -83,6 +87,30 @@ def test_failures_never_erase_the_last_success(spark, tmp_path, landing):
     assert got == {r.subject: r.last_ok for r in wanted.collect()}
 
 
+def test_landing_files_become_signals_poll_by_poll(spark, tmp_path):
+    files = tmp_path / "files"
+    files.mkdir()
+    out, aside, state = (str(tmp_path / n) for n in ("out", "aside", "state"))
+
+    def poll(**bodies):
+        for name, body in bodies.items():
+            (files / f"{name}.json").write_text(body)
+        ingest.start_landing(
+            ingest.body_stream(spark, str(files)), GEO_DOCUMENT, feeds.geo_signals,
+            out, aside, state).awaitTermination()
+
+    def document(*names):
+        return json.dumps({"features": [
+            {"geometry": {"coordinates": [51.4, 35.7]}, "properties": {"name": n, "count": 1}}
+            for n in names]}, indent=1)
+
+    poll(one=document("a", "b"), bad="<html>busy</html>")
+    poll(two=document("c"), cut='{"features": [')
+    assert sorted(r.name for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    reasons = {r.origin: r.reason for r in spark.read.parquet(aside).collect()}
+    assert reasons == {"bad.json": "markup", "cut.json": "malformed"}
+
+
 def test_writing_a_version_again_replaces_it(spark, tmp_path):
     out = str(tmp_path / "out")
     write = ingest._write_version(out)
