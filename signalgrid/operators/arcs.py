@@ -47,7 +47,12 @@ def tension_arcs(pairs: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def arc_rails(arcs: DataFrame, steps: int = fv.RAIL_POINTS) -> DataFrame:
-    """Points along each arc's great circle, ends included.
+    """Paths of tension arcs, at the density a map draws them."""
+    return great_circle(arcs, steps)
+
+
+def great_circle(arcs: DataFrame, steps: int = fv.ARC_POINTS) -> DataFrame:
+    """Points along the great circle of each row, ends included.
 
     Ends that coincide give just the two ends.  Opposite points of the globe have
     no single path: their inner points are NULL and ``defined`` is false.

@@ -26,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def place(key: Column) -> tuple[Column, Column]:
     """Longitude and latitude of a key, spread over the widest theater."""
-    lon = F.lit(21.0) + F.pmod(key * 7919, F.lit(4900)) / F.lit(100.0)
-    lat = F.lit(24.0) + F.pmod(key * 104729, F.lit(4650)) / F.lit(100.0)
+    # The key is reduced first, so that the product cannot overflow.
+    lon = F.lit(21.0) + F.pmod(F.pmod(key, F.lit(4900)) * 7919, F.lit(4900)) / F.lit(100.0)
+    lat = F.lit(24.0) + F.pmod(F.pmod(key, F.lit(4650)) * 104729, F.lit(4650)) / F.lit(100.0)
     return lon, lat
 
 
@@ -107,6 +108,6 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"),
         F.col("source").alias("domain"), F.col("lang").alias("country"),
         (F.lit("2024-01-01").cast("timestamp_ntz")
-         + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("seen"),
+         + F.expr("INTERVAL '1' MINUTE") * F.col("doc_id")).alias("seen"),
         F.lit(None).cast("string").alias("nation"),
     )

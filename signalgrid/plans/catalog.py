@@ -15,7 +15,7 @@ from signalgrid.operators import (
 from signalgrid.plans import payloads
 from signalgrid.plans.bindings import (
     AS_OF, conflict_rows, document_items, event_points, geo_rows, nation_members,
-    order_points, table, theater_signals,
+    order_points, place, table, theater_signals,
 )
 from signalgrid.schemas import (
     ARTICLE_DOCUMENT, BOUNDARY_DOCUMENT, CONFLICT_DOCUMENT, GEO_DOCUMENT,
@@ -113,8 +113,7 @@ def geofence_bucketed(spark, sf_dir):
 
 def geofence_zone_table(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier")
-    lon = F.lit(21.0) + F.pmod(F.col("s_suppkey") * 7919, F.lit(4900)) / F.lit(100.0)
-    lat = F.lit(24.0) + F.pmod(F.col("s_suppkey") * 104729, F.lit(4650)) / F.lit(100.0)
+    lon, lat = place(F.col("s_suppkey"))
     half = F.lit(0.25) + F.col("s_nationkey") / F.lit(8.0)
     areas = supplier.select(
         F.col("s_name").alias("code"), F.col("s_suppkey").alias("priority"),

@@ -41,7 +41,7 @@ def geo_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFr
     return rows.select(
         signal_id(F.lit(fv.SOURCE_GEO), F.col("origin"), F.col("pos")).alias("id"),
         "origin", F.col("pos").cast("bigint").alias("pos"), "lat", "lon", "name",
-        F.col("count").cast("bigint").alias("count"),
+        F.col("count").try_cast("bigint").alias("count"),
         first_box(zones).alias("nation"),
         severity_by_share(F.col("count"), F.col("peak")).alias("severity"),
         F.lit(fv.SOURCE_GEO).alias("source"),
@@ -77,7 +77,7 @@ def conflict_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> D
         signal_id(F.lit(fv.SOURCE_CONFLICT), F.col("origin"), F.col("pos")).alias("id"),
         "origin", F.col("pos").cast("bigint").alias("pos"), "lat", "lon",
         F.concat_ws(" — ", kind, place).alias("name"),
-        (1 + F.col("toll")).cast("bigint").alias("count"),
+        (1 + F.col("toll")).try_cast("bigint").alias("count"),
         first_box(zones).alias("nation"),
         severity_by_fatalities(F.col("toll")).alias("severity"),
         F.lit(fv.SOURCE_CONFLICT).alias("source"),

@@ -61,6 +61,13 @@ def test_great_circle(spark):
     assert all(r.defined for r in path.values())
 
 
+def test_default_density(spark):
+    one = local_table(spark, [(0.0, 0.0, 90.0, 0.0)], ARC)
+    path = {r.step: r for r in arcs.great_circle(one).collect()}
+    assert len(path) == 49
+    assert (path[24].lon, path[24].lat) == pytest.approx((45.0, 0.0))
+
+
 def test_path_steps_are_even(spark):
     one = local_table(spark, [(10.0, -20.0, 100.0, 60.0)], ARC)
     path = sorted(arcs.arc_rails(one, steps=12).collect(), key=lambda r: r.step)

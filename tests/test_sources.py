@@ -40,7 +40,8 @@ def test_geo_document(spark):
         feature(name="no count"),
         {"geometry": {"type": "Point", "coordinates": [51.4, 35.7]}},
         feature((10.0, 10.0), name="nowhere", count=400),
-    ]}, {"features": [feature(count=9)]}, {"features": []}, {})
+    ]}, {"features": [feature(count=9)]}, {"features": []}, {},
+        {"features": [feature(count=1e300, name="huge")]})
     rows = feeds.geo_signals(docs).collect()
     first = {r.pos: r for r in rows if r.origin == "b0"}
     assert sorted(first) == [0, 3, 4, 5, 6]
@@ -48,6 +49,7 @@ def test_geo_document(spark):
     assert (first[3].name, first[4]["count"], first[5].name) == ("Unknown", 0, "Unknown")
     assert [first[p].nation for p in (0, 5, 6)] == ["UA", "IR", None]
     assert [r.severity for r in rows if r.origin == "b1"] == [1.0]
+    assert [(r.severity, r["count"]) for r in rows if r.origin == "b4"] == [(1.0, None)]
     assert len({r.id for r in rows}) == len(rows)
     assert {r.source for r in rows} == {fv.SOURCE_GEO}
 
