@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def write_payload(payload: DataFrame, path: str, key: str, fmt: str = "json") -> None:
@@ -10,6 +10,14 @@ def write_payload(payload: DataFrame, path: str, key: str, fmt: str = "json") ->
     payload.write.mode("overwrite").partitionBy(key).format(fmt).save(path)
 
 
-def write_landing(signals: DataFrame, path: str, *partitions: str) -> None:
-    """Canonical rows as Parquet, partitioned for pruning by source and day."""
+def write_landing(
+    signals: DataFrame, path: str, *partitions: str, stamp: str | None = None
+) -> None:
+    """Append canonical rows as Parquet, in folders that later reads can skip.
+
+    ``stamp`` names a time column; its day ``dt`` becomes the last folder level.
+    """
+    if stamp:
+        signals = signals.withColumn("dt", F.col(stamp).cast("date"))
+        partitions = (*partitions, "dt")
     signals.write.mode("append").partitionBy(*partitions).parquet(path)

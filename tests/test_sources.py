@@ -183,9 +183,19 @@ def test_boundaries(spark, tmp_path):
     assert sorted(f["properties"]["code"] for f in lines) == ["IR", "UA"]
 
 
-def test_landing_table_prunes_by_source(spark, tmp_path):
+def test_landing_table_is_pruned_by_source_and_day(spark, tmp_path, capsys):
     docs = documents(spark, GEO_DOCUMENT, {"features": [feature(count=1), feature(count=2)]})
-    sinks.write_landing(feeds.geo_signals(docs), str(tmp_path / "signals"), "source")
-    back = spark.read.parquet(str(tmp_path / "signals"))
-    assert back.filter(F.col("source") == fv.SOURCE_GEO).count() == 2
+    day = F.when(F.col("pos") == 0, F.lit("2024-01-15 09:00:00")).otherwise(
+        F.lit("2024-01-16 00:00:00")).cast("timestamp")
+    signals = feeds.geo_signals(docs).withColumn("observed_at", day)
+    path = str(tmp_path / "signals")
+    sinks.write_landing(signals, path, "source", stamp="observed_at")
+    sinks.write_landing(signals.limit(0), path, "source", stamp="observed_at")
+    back = spark.read.parquet(path)
+    assert back.count() == 2
     assert back.filter(F.col("source") == fv.SOURCE_SEED).count() == 0
+    recent = back.filter((F.col("source") == fv.SOURCE_GEO) & (F.col("dt") >= "2024-01-16"))
+    assert recent.count() == 1
+    recent.explain("formatted")
+    text = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(source" in text and "dt" in text
