@@ -445,8 +445,8 @@ SELECT r.theater, coalesce(s.status, 'degraded') AS status, strftime({AS_OF}, {I
 FROM rows_ r LEFT JOIN theater_state s USING (theater)""",
     "payload_sink": f"""WITH {SIGNALS}, {THEATER_STATE}
 SELECT r.theater, coalesce(any_value(s.status), 'degraded') AS status, count(*) AS events,
-  CASE r.theater WHEN 'global' THEN 4 ELSE 2 END AS arcs,
-  CASE r.theater WHEN 'global' THEN 4 ELSE 2 END AS nations,
+  CAST(CASE r.theater WHEN 'global' THEN 4 ELSE 2 END AS BIGINT) AS arcs,
+  CAST(CASE r.theater WHEN 'global' THEN 4 ELSE 2 END AS BIGINT) AS nations,
   round(sum(severity), 6) AS severity_sum
 FROM ranked r LEFT JOIN theater_state s USING (theater) WHERE rank <= 250 GROUP BY r.theater""",
     "payload_feed": f"""WITH {ITEMS}, {THEATER_STATE},

@@ -16,6 +16,8 @@ from signalgrid.session import build_session  # noqa: E402
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+SQL_TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 
 def normal(value):
     if isinstance(value, float):
@@ -33,9 +35,10 @@ def sql_rows(sf_dir: str, sql: str):
     for name in TABLES:
         connection.execute(
             f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    types = {row[0]: row[1] for row in connection.execute(f"DESCRIBE {sql}").fetchall()}
     cursor = connection.execute(sql)
     columns = [d[0] for d in cursor.description]
-    return columns, cursor.fetchall()
+    return columns, cursor.fetchall(), types
 
 
 def compare(spark, sf_dir: str, name: str) -> tuple[bool, str]:
@@ -46,9 +49,10 @@ def compare(spark, sf_dir: str, name: str) -> tuple[bool, str]:
     sql = spark_entry.oracle_sql().get(name)
     if sql is None:
         return True, f"{len(got)} rows, no SQL, {took:.2f}s"
-    columns, wanted = sql_rows(sf_dir, sql)
-    if sorted(columns) != sorted(frame.columns):
-        return False, f"columns {sorted(frame.columns)} != {sorted(columns)}"
+    columns, wanted, types = sql_rows(sf_dir, sql)
+    ours = {f.name: SQL_TYPES[f.dataType.simpleString()] for f in frame.schema}
+    if ours != types:
+        return False, f"columns {ours} != {types}"
     a, b = rows_of(frame.columns, got), rows_of(columns, wanted)
     if a == b:
         return True, f"{len(a)} rows, {took:.2f}s"
