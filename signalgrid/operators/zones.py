@@ -18,7 +18,7 @@ from signalgrid.dims import Box
 from signalgrid.functions.geometry import boxes_holding, cell, first_box, inside
 
 INLINE_BOXES = 64
-BROADCAST_ZONES = 50_000
+BROADCAST_ZONES = 20_000
 LEAST_CELLS = 20_000
 CELLS_PER_ZONE = 32
 SHARED_SPAN = 4  # in powers of two: zones down to a quarter of a shared cell
@@ -96,6 +96,7 @@ def attribute_zone_table(
     ``zones`` has code, priority, west, south, east and north; ``key`` is unique
     per point and is needed only when the zone table is too large to broadcast.
     """
+    zones = _proper(zones)
     grid = _measure(zones)
     if not grid.zones:
         return points.withColumn(out, F.lit(None).cast("string"))
@@ -114,6 +115,7 @@ def attribute_zone_table(
 
 def match_zone_table(points: DataFrame, zones: DataFrame) -> DataFrame:
     """One row per point and zone that holds it, with the zone's code as ``zone``."""
+    zones = _proper(zones)
     grid = _measure(zones)
     if not grid.zones:
         return points.withColumn("zone", F.lit(None).cast("string")).limit(0)
@@ -121,6 +123,12 @@ def match_zone_table(points: DataFrame, zones: DataFrame) -> DataFrame:
     return _pairs(points, cells.drop("full"), levels).drop("priority")
 
 
+def _proper(zones: DataFrame) -> DataFrame:
+    """Boxes that can hold a point; one turned inside out never does."""
+    return zones.filter(
+        (F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north")))
+
+
 def _level():
     extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
     fitting = F.when(extent > 0, F.floor(F.log2(F.lit(WORLD) / extent)) + CELLS_PER_EXTENT)

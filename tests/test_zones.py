@@ -78,6 +78,17 @@ def test_forms_agree_on_events(spark, sf_dir):
         assert other.exceptAll(inline).count() == 0
 
 
+def test_boxes_turned_inside_out_hold_nothing(spark):
+    table = local_table(
+        spark, [("turned", 0, 170.0, -10.0, -170.0, 10.0), ("null", 1, None, 0.0, 1.0, 1.0),
+                ("good", 2, 0.0, 0.0, 5.0, 5.0)],
+        "code string, priority int, west double, south double, east double, north double")
+    points = local_table(spark, [(1, 175.0, 0.0), (2, 1.0, 1.0)], "id int, lon double, lat double")
+    got = {r.id: r.code for r in zones.attribute_zone_table(points, table, "id").collect()}
+    assert got == {1: None, 2: "good"}
+    assert [r.zone for r in zones.match_zone_table(points, table).collect()] == ["good"]
+
+
 def test_empty_zone_table(spark):
     points, table = random_points(spark, 10), random_zones(spark, 5).limit(0)
     assert {r.code for r in zones.attribute_zone_table(points, table, "id").collect()} == {None}
