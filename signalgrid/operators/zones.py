@@ -51,7 +51,7 @@ def zone_cells(zones: DataFrame, level: Column | None = None) -> DataFrame:
     size = F.col("cell_size")
 
     def span(low: str, high: str):
-        return F.explode(F.sequence(cell(F.col(low), size), cell(F.col(high), size)))
+        return F.explode(F.sequence(cell(_edge(low), size), cell(_edge(high), size)))
 
     # A hair of slack, so that rounding at a cell's edge cannot make a cell look covered.
     slack = size * 1e-9
@@ -129,8 +129,13 @@ def _proper(zones: DataFrame) -> DataFrame:
         (F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north")))
 
 
+def _edge(name: str):
+    """A box edge kept on the globe, so that an open-ended box has a size."""
+    return F.greatest(F.lit(-WORLD), F.least(F.lit(WORLD), F.col(name)))
+
+
 def _level():
-    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    extent = F.greatest(_edge("east") - _edge("west"), _edge("north") - _edge("south"))
     fitting = F.when(extent > 0, F.floor(F.log2(F.lit(WORLD) / extent)) + CELLS_PER_EXTENT)
     return F.greatest(F.lit(0), F.least(
         F.lit(FINEST_LEVEL), F.coalesce(fitting, F.lit(FINEST_LEVEL)))).cast("int")
@@ -138,7 +143,7 @@ def _level():
 
 def _measure(zones: DataFrame):
     """One row: grid levels in use, number of zones, and their summed size."""
-    width, height = F.col("east") - F.col("west"), F.col("north") - F.col("south")
+    width, height = _edge("east") - _edge("west"), _edge("north") - _edge("south")
     return zones.select(
         _level().alias("level"), (width * height).alias("area"), (width + height).alias("rim")
     ).agg(

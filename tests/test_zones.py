@@ -89,6 +89,20 @@ def test_boxes_turned_inside_out_hold_nothing(spark):
     assert [r.zone for r in zones.match_zone_table(points, table).collect()] == ["good"]
 
 
+def test_open_ended_boxes(spark):
+    inf = float("inf")
+    table = local_table(
+        spark, [("rest", 9, -inf, -inf, inf, inf), ("east", 1, 30.0, -90.0, inf, 90.0)],
+        "code string, priority int, west double, south double, east double, north double")
+    points = local_table(
+        spark, [(1, -179.9, -89.0), (2, 30.0, 0.0), (3, 180.0, 90.0), (4, 29.99, 10.0)],
+        "id int, lon double, lat double")
+    for limit in (10, 0):
+        found = zones.attribute_zone_table(points, table, "id", broadcast_zones=limit)
+        assert {r.id: r.code for r in found.collect()} == {
+            1: "rest", 2: "east", 3: "east", 4: "rest"}
+
+
 def test_empty_zone_table(spark):
     points, table = random_points(spark, 10), random_zones(spark, 5).limit(0)
     assert {r.code for r in zones.attribute_zone_table(points, table, "id").collect()} == {None}
