@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -62,21 +60,22 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared folder that the cluster names.
+    """A new folder below the shared folder that the cluster names; it goes when the session ends.
 
-    Only a local session without that setting falls back to a temporary folder.
+    A local session without that setting uses its warehouse folder; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = spark.conf.get("spark.sql.warehouse.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = _local_folder()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="signalgrid-")
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the folder's own file system remove it when the session's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -87,4 +86,5 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = work_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,8 +5,9 @@ import pytest
 from signalgrid import session
 
 
-def fake(setting, master):
-    conf = SimpleNamespace(get=lambda key, default=None: setting or default)
+def fake(setting, master, warehouse="/house"):
+    named = {"spark.checkpoint.dir": setting, "spark.sql.warehouse.dir": warehouse}
+    conf = SimpleNamespace(get=lambda key, default=None: named.get(key) or default)
     return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
 
 
@@ -19,7 +20,9 @@ def test_work_folder_uses_the_shared_folder():
 def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(RuntimeError):
         session.work_folder(fake(None, "yarn"), "state")
-    assert "/signalgrid-" in session.work_folder(fake(None, "local[8]"), "state")
+    assert session.work_folder(fake(None, "local[8]"), "state").startswith("/house/state-")
+    with pytest.raises(RuntimeError):
+        session.work_folder(fake(None, "local[8]", None), "state")
 
 
 def test_local_tables_have_known_size(spark, capsys):
