@@ -22,4 +22,24 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links,
 FROM e LEFT JOIN found f ON f.id = e.vec_id LEFT JOIN n ON n.id = e.vec_id
 """
 
-ORACLE = {"op1_embedding_dedup": OP1}
+# The template doubles backslashes and puts one inside every control string.
+_ESCAPED = """replace(replace(replace(replace(replace(replace(replace(replace({0}, '\\', '\\\\'),
+  '<|', '<\\|'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'),
+  '<<SYS>>', '<\\<SYS>>'), '<</SYS>>', '<\\</SYS>>')"""
+
+OP3 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+       sum(length('<|turn|><|text|><|end|>') + 1 + length({_ESCAPED.format("role")})
+           + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+ORACLE = {"op1_embedding_dedup": OP1, "op3_chat_formatting": OP3}

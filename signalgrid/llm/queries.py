@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from signalgrid.llm import chat, embedding_dedup, quality, token_counts
 from signalgrid.llm.common import table
-from signalgrid.llm.embedding_dedup import vector_links
 
 
 def op1_embedding_dedup(spark, sf_dir):
-    return vector_links(table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.vector_links(table(spark, sf_dir, "embeddings"))
+
+
+def op2_quality_classifier(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(documents, table(spark, sf_dir, "labels"), keep_text=False)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_chat_formatting(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.format_turns(rows.unionByName(more))).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op4_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup,)}
+QUERIES = {f.__name__: f for f in (
+    op1_embedding_dedup, op2_quality_classifier, op3_chat_formatting, op4_token_counts)}
