@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from signalgrid.llm.common import crc32_of
 from signalgrid.llm.words import BASE, U, buffers, mix, row_ranges, span_keys, word_spans
@@ -180,7 +180,8 @@ def score(documents: DataFrame, weights: np.ndarray, keep_text: bool = True) ->
                 [*(batch[c] for c in names), pa.array(good), pa.array((good >= 0.5).astype(np.int32))],
                 names=[*names, "score", "predicted"])
 
-    schema = plain.select(names).schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*plain.select(names).schema, T.StructField("score", T.DoubleType()),
+                           T.StructField("predicted", T.IntegerType())])
     return plain.mapInArrow(task, schema)
 
 

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 LIMIT = 1_024
-CACHED = 600_000
+CACHED = 500_000
 LONGEST_CACHED = 48
 
 _PIECES = regex.compile(
