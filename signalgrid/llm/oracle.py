@@ -42,4 +42,14 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-ORACLE = {"op1_embedding_dedup": OP1, "op3_chat_formatting": OP3}
+OP5 = """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, ''))::BIGINT AS size FROM pages
+), t AS (SELECT digest, size, max(page_id) AS target FROM p WHERE size >= 1000 GROUP BY ALL)
+SELECT p.page_id, p.size AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN p.page_id < t.target THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < t.target THEN t.target END AS refers_to
+FROM p LEFT JOIN t USING (digest, size)
+"""
+
+ORACLE = {"op1_embedding_dedup": OP1, "op3_chat_formatting": OP3, "op5_warc": OP5}

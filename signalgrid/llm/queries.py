@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from signalgrid.llm import chat, embedding_dedup, quality, token_counts
+from signalgrid.llm import chat, embedding_dedup, packing, quality, token_counts, warc
 from signalgrid.llm.common import table
 
 
@@ -30,5 +28,16 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_embedding_dedup, op2_quality_classifier, op3_chat_formatting, op4_token_counts)}
+    op1_embedding_dedup, op2_quality_classifier, op3_chat_formatting, op4_token_counts, op5_warc,
+    op7_packing)}
