@@ -252,7 +252,8 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
         starts, ["length", "block"]).withColumn("rank", F.col("rank") + F.col("below")).drop("below", "block")
     table = np.array(sorted(places), np.int64).reshape(-1, 6)
     held = spark.sparkContext.broadcast(table)
-    names = [*cut.columns, "sequence_id", "offset"]
+    kept = cut.columns
+    names = [*kept, "sequence_id", "offset"]
 
     def task(batches):
         place = held.value
@@ -261,7 +262,7 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
             length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
             at = place[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
             nth = rank - at[:, 1]
-            columns = {c: batch[c] for c in cut.columns}
+            columns = {c: batch[c] for c in kept}
             columns["sequence_id"] = pa.array(at[:, 4] + nth // at[:, 3])
             columns["offset"] = pa.array(at[:, 5] + nth % at[:, 3] * length)
             yield pa.RecordBatch.from_pydict(columns)
