@@ -21,7 +21,7 @@ END_ID = 1
 CACHED = 700_000
 LONGEST_WORD = 20
 WORDS_AT_ONCE = 4_096
-ROWS_A_BLOCK = 200_000
+LEAST_ROWS_A_BLOCK, MOST_ROWS_A_BLOCK, BLOCKS = 256, 200_000, 1_024
 
 # A word of plain or western letters with signs after it; all else goes through the library.
 _LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -233,15 +233,16 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most ``window`` ids.
 
     The driver sees only the histogram of lengths, at most ``window`` rows. A piece's rank among
-    those of its length leads to its place; ranks are counted in blocks of about
-    200,000 rows, so a length that most pieces have is spread over tasks. A sequence holds each
+    those of its length leads to its place; ranks are counted in blocks of a thousandth of all
+    rows, within limits, so a length that most pieces have is spread over tasks. A sequence holds each
     place once and has no gap from offset 0 on.
     """
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = plan(histogram, window)
+    rows = min(max(sum(histogram.values()) // BLOCKS, LEAST_ROWS_A_BLOCK), MOST_ROWS_A_BLOCK)
     blocks = spark.createDataFrame(
-        [(n, -(-c // ROWS_A_BLOCK)) for n, c in histogram.items()], "length long, blocks long")
+        [(n, -(-c // rows)) for n, c in histogram.items()], "length long, blocks long")
     dealt = cut.join(F.broadcast(blocks), "length").withColumn(
         "block", F.pmod(F.xxhash64("doc_id", "start"), F.col("blocks"))).drop("blocks")
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signalgrid.llm import chat, embedding_dedup, packing, quality, token_counts, warc
+from signalgrid.llm import chat, embedding_dedup, language_model, packing, quality, token_counts, warc
 from signalgrid.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op10_language_model(spark, sf_dir):
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_quality_classifier, op3_chat_formatting, op4_token_counts, op5_warc,
-    op7_packing)}
+    op7_packing, op10_language_model)}
