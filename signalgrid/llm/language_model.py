@@ -20,7 +20,7 @@ from signalgrid.session import remove_at_exit, work_folder
 DISCOUNT = 0.75
 LEAST_COUNT = 2
 PAIRS_A_SHARD = 2_000_000
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 1_000_000
 STEP = 1 / 4_096
 # Word keys are cut to 62 bits, the most that a coded sequence holds with its sums.
 KEY_BITS = 62
@@ -280,6 +280,8 @@ def train(texts: DataFrame, discount: float = DISCOUNT, least: int = LEAST_COUNT
     firsts = tuple(int(x) for x in np.cumsum([0, *sizes[:-1]]))
     documents = rows.count()
     level = Model(folder, files, firsts, (), tokens, sum(sizes), documents)
+    if level.vocabulary >= 1 << 32:
+        raise ValueError("pairs hold word numbers of 32 bits")
     parts = max(1, math.ceil(tokens / PAIRS_A_SHARD))
 
     def count_pairs(batches):
@@ -313,8 +315,6 @@ def train(texts: DataFrame, discount: float = DISCOUNT, least: int = LEAST_COUNT
 
     second = {r["shard"]: r["file"] for r in by_runs(
         rows.mapInArrow(count_pairs, GATHERED), ["shard"], build_pairs, "shard int, file string").collect()}
-    if level.vocabulary >= 1 << 32:
-        raise ValueError("pairs hold word numbers of 32 bits")
     return Model(folder, files, firsts, tuple(second.get(k, "") for k in range(parts)), tokens, sum(sizes), documents)
 
 

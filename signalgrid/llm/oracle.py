@@ -52,4 +52,23 @@ SELECT p.page_id, p.size AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN t USING (digest, size)
 """
 
-ORACLE = {"op1_embedding_dedup": OP1, "op3_chat_formatting": OP3, "op5_warc": OP5}
+OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)
+), reach AS (SELECT a AS id, a AS c FROM links UNION SELECT l.a, r.c FROM reach r JOIN links l ON l.b = r.id),
+found AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(f.c, n.doc_id)::BIGINT AS component_id,
+       coalesce(f.c, n.doc_id) = n.doc_id AS kept
+FROM n LEFT JOIN found f ON f.id = n.doc_id
+"""
+
+ORACLE = {"op1_embedding_dedup": OP1, "op3_chat_formatting": OP3, "op5_warc": OP5, "op6_minhash_dedup": OP6}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signalgrid.llm import chat, embedding_dedup, language_model, packing, quality, token_counts, warc
+from signalgrid.llm import chat, embedding_dedup, language_model, minhash_dedup, packing, quality, token_counts, warc
 from signalgrid.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -44,4 +48,4 @@ def op10_language_model(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_quality_classifier, op3_chat_formatting, op4_token_counts, op5_warc,
-    op7_packing, op10_language_model)}
+    op6_minhash_dedup, op7_packing, op10_language_model)}
