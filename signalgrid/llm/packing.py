@@ -20,7 +20,7 @@ WINDOW = 2_048
 END_ID = 1
 CACHED = 700_000
 LONGEST_WORD = 20
-WORDS_AT_ONCE = 4_096
+WORDS_AT_ONCE, TEXT_BYTES = 4_096, 4_000_000
 LEAST_ROWS_A_BLOCK, MOST_ROWS_A_BLOCK, BLOCKS = 256, 200_000, 1_024
 
 # A word of plain or western letters with signs after it; all else goes through the library.
@@ -159,7 +159,7 @@ def pieces(documents: DataFrame, name: str = "word_bpe_49k.json", window: int =
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             _, at = buffers(batch["text"])
-            for first, last in row_ranges(at):
+            for first, last in row_ranges(at, TEXT_BYTES):
                 made: list[tuple] = []
                 texts = [t or "" for t in batch["text"].slice(first, last - first).to_pylist()]
                 for doc, data in zip(ids[first:last], own.texts(texts)):

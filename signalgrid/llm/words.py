@@ -15,7 +15,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(int(BASE), -1, 2**64))
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 # What separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 _SEPARATES = np.zeros(256, bool)
