@@ -18,7 +18,7 @@ ROWS, BANDS = 5, 50
 BITS = 1_024
 # Pairs that the sketch puts below this similarity are not checked: five deviations under 0.75.
 LEAST_ESTIMATE = 0.58
-BLOCK = 512
+BLOCK = 2_048
 TEXTS_A_RUN = 64
 SHINGLES_AT_ONCE = 512
 
@@ -144,7 +144,7 @@ def _across(mixed: DataFrame, best_only: bool) -> DataFrame:
     """Plausible pairs of different components within a bucket, in blocks; no pair with the hub.
 
     ``mixed`` has key, rep, hub, component, n and sketch. A bucket of m rows makes groups of
-    two blocks of about 512 rows. With ``best_only`` a group gives each two components' closest pair alone.
+    two blocks of about 2,048 rows. With ``best_only`` a group gives each two components' closest pair alone.
     """
     size = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = mixed.join(size, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
