@@ -1,4 +1,59 @@
+"""From raw documents to packed training sequences; each stage works on what the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from signalgrid.llm import decontaminate, minhash_dedup, packing, quality
+from signalgrid.llm.common import broadcast_if_small, stored, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from those that are labelled."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = docs.select("doc_id", "text", *([F.struct(*others).alias("_carried")] if others else []))
+    scored = quality.classify(carried, table(spark, sf_dir, "labels")).where("predicted = 1")
+    back = {c: F.col("_carried").getField(c).alias(c) for c in others}
+    return scored.select([back.get(c, F.col(c)) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id.
+
+    Documents without words or doc_id are in no group and stay, and rows that share an id stay together.
+    """
+    found = minhash_dedup.near_duplicates(docs).where("doc_id IS NOT NULL AND NOT kept")
+    gone = stored(found.select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    gone = stored(found.select(F.col("text_key").alias("_key")).distinct(), "gone")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return keyed.join(broadcast_if_small(gone), "_key", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of at most 2,048 ids."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+# SQL can neither fit the classifier nor run the tokenizer.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result is written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from signalgrid.llm.license_scan import template_grams
+
 OP1 = """
 WITH RECURSIVE e AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
@@ -71,4 +73,38 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(f.c, n.doc_id)::BIGINT AS c
 FROM n LEFT JOIN found f ON f.id = n.doc_id
 """
 
-ORACLE = {"op1_embedding_dedup": OP1, "op3_chat_formatting": OP3, "op5_warc": OP5, "op6_minhash_dedup": OP6}
+_GRAMS = ", ".join(f"('{label}', '{a}', '{b}', {i}, {n}, {base})" for label, a, b, i, n, base in template_grams())
+
+OP9 = f"""
+WITH w AS (
+  SELECT row_number() OVER () AS key, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), g(label, a, b, place, grams, base) AS (VALUES {_GRAMS}),
+p AS (SELECT key, w, unnest(range(1, len(w))) AS i FROM w),
+v AS (SELECT p.key, g.*, p.i - 1 - g.place AS d FROM p JOIN g ON g.a = p.w[p.i] AND g.b = p.w[p.i + 1]),
+d AS (
+  SELECT key, label, base, grams, d, count(*) AS n, min(place) AS low, max(place) AS high FROM v GROUP BY ALL
+), o AS (
+  SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY key, label ORDER BY d) <= 3 THEN 0 ELSE 1 END AS new
+  FROM d WHERE NOT base AND n >= least(3, grams)
+), s AS (SELECT *, sum(new) OVER (PARTITION BY key, label ORDER BY d) AS span FROM o),
+spans AS (
+  SELECT key, label, grams, sum(n) AS n, min(d + low) AS first, max(d + high + 1) AS last FROM s GROUP BY key, label, grams, span
+), f AS (
+  SELECT key, label, d AS at, 1.0::DOUBLE AS share, base FROM d WHERE base AND n = grams
+  UNION ALL SELECT key, label, first, least(1.0, n / grams)::DOUBLE, false FROM spans
+  WHERE n >= 0.5 * grams AND last - first + 1 <= 2 * (grams + 1)
+)
+SELECT w.doc_id, len(any_value(w.w))::BIGINT AS n_words, count(*) FILTER (f.base)::BIGINT AS n_base,
+       (min(f.at) FILTER (f.base))::BIGINT AS first_word, (max(f.at) FILTER (f.base))::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(list(DISTINCT f.label) FILTER (f.base)), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list(DISTINCT f.label) FILTER (f.label IS NOT NULL)), ','), '') AS labels,
+       coalesce(max(f.share), 0)::DOUBLE AS score
+FROM w LEFT JOIN f ON f.key = w.key GROUP BY w.key, w.doc_id
+"""
+
+ORACLE = {
+    "op1_embedding_dedup": OP1, "op3_chat_formatting": OP3, "op5_warc": OP5, "op6_minhash_dedup": OP6,
+    "op9_license_scan": OP9,
+}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from signalgrid.llm import chat, embedding_dedup, language_model, minhash_dedup, packing, quality, token_counts, warc
+from signalgrid.llm import (
+    chat, decontaminate, embedding_dedup, language_model, license_scan, minhash_dedup, packing, quality,
+    token_counts, warc,
+)
 from signalgrid.llm.common import table
 
 
@@ -42,10 +45,18 @@ def op7_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_license_scan(spark, sf_dir):
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_language_model(spark, sf_dir):
     return language_model.scored(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_quality_classifier, op3_chat_formatting, op4_token_counts, op5_warc,
-    op6_minhash_dedup, op7_packing, op10_language_model)}
+    op6_minhash_dedup, op7_packing, op8_decontamination, op9_license_scan, op10_language_model)}
