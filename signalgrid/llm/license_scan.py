@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from signalgrid.llm.common import ascii_lower
+from signalgrid.llm.common import ascii_lower, stored
 from signalgrid.session import local_table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,8 +79,8 @@ def license_scan(documents: DataFrame) -> DataFrame:
     # Equal rows vote for the same; a place counts once.
     votes = seen.join(grams, ["a", "b"]).select(
         "key", "label", "base", "grams", (F.col("p") - F.col("place")).alias("diagonal"), "place").distinct()
-    diagonals = votes.groupBy("key", "label", "base", "grams", "diagonal").agg(
-        F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"))
+    diagonals = stored(votes.groupBy("key", "label", "base", "grams", "diagonal").agg(
+        F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high")), "diagonals")
     phrases = diagonals.where("base AND n = grams").select(
         "key", "label", F.col("diagonal").alias("at"), F.lit(1.0).alias("share"), "base")
     order = Window.partitionBy("key", "label").orderBy("diagonal")
