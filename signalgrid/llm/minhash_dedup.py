@@ -212,7 +212,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     parts = components(links)
     found = classes.join(parts, F.col("rep") == F.col("id"), "left").where("copies > 1 OR id IS NOT NULL").select(
         "class", F.coalesce("component", "rep").alias("component"))
-    return known.select("doc_id", "n_shingles", "class").join(found, "class", "left").select(
+    own = F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")
+    return known.select("doc_id", "n_shingles", own).join(found, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
