@@ -18,7 +18,7 @@ from signalgrid.llm.words import buffers, row_ranges
 
 WINDOW = 2_048
 END_ID = 1
-CACHED = 700_000
+CACHED = 400_000
 LONGEST_WORD = 20
 WORDS_AT_ONCE, TEXT_BYTES = 4_096, 4_000_000
 LEAST_ROWS_A_BLOCK, MOST_ROWS_A_BLOCK, BLOCKS = 256, 200_000, 1_024
@@ -64,6 +64,10 @@ class WordIds:
             self._learn(new)
         return [self._whole(t) if s is None else b"".join([known[c] for c in s]) for t, s in zip(texts, split)]
 
+    def forget(self) -> None:
+        """Give back what a task has learned; Python workers live on with other work."""
+        self.runs, self.words = {}, {}
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -156,6 +160,12 @@ def pieces(documents: DataFrame, name: str = "word_bpe_49k.json", window: int =
 
     def task(batches):
         own = word_ids(vocabulary(name))
+        try:
+            yield from cut(own, batches)
+        finally:
+            own.forget()
+
+    def cut(own, batches):
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             _, at = buffers(batch["text"])

@@ -66,6 +66,10 @@ class PrefixCounter:
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, int] = {}
 
+    def forget(self) -> None:
+        """Give back what a task has learned of pieces; Python workers live on with other work."""
+        self.pieces, self.chunks = {}, {}
+
     def neighbours(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b leaves the border between them.
 
@@ -221,6 +225,12 @@ def token_counts(documents: DataFrame, name: str = "byte_bpe_50k.json", limit: i
 
     def task(batches):
         own = counter(vocabulary(name))
+        try:
+            yield from counted(own, batches)
+        finally:
+            own.forget()
+
+    def counted(own, batches):
         for batch in batches:
             texts = batch["text"].to_pylist()
             n = [own.count(t) for t in texts]
