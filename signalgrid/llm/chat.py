@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from signalgrid.llm.common import lean
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 # Strings that this template or others give a meaning; none may stand in a text as it is.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -115,6 +117,7 @@ def format_turns(messages: DataFrame) -> DataFrame:
     parts = F.col("parts").cast(f"array<{PART}>") if "parts" in messages.columns else F.lit(None).cast(f"array<{PART}>")
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", parts.alias("parts"))
 
+    @lean
     def task(batches):
         for batch in batches:
             made = []
@@ -166,6 +169,7 @@ def read_back(segments: DataFrame) -> DataFrame:
     names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars",
              "n_attachments", "expanded_tokens")
 
+    @lean
     def task(batches):
         now, state = None, None
         for batch in batches:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from signalgrid.llm.common import by_runs, components, stored
+from signalgrid.llm.common import by_runs, components, lean, stored
 from signalgrid.llm.words import mix
 
 COSINE = 0.98
@@ -78,6 +78,7 @@ def _normalised(v: pa.Array, dim: int) -> np.ndarray:
 
 def _hashed(first: DataFrame, tables: int, projections: int, width: float) -> DataFrame:
     """Adds ``buckets``: the vector's bucket in each table."""
+    @lean
     def task(batches):
         drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from signalgrid.llm.common import by_runs, crc32_of, file_system, local_path
+from signalgrid.llm.common import by_runs, crc32_of, file_system, lean, local_path
 from signalgrid.llm.elias_fano import Sequence, encode
 from signalgrid.llm.words import U, blocks
 from signalgrid.session import remove_at_exit, work_folder
@@ -244,6 +244,7 @@ def train(texts: DataFrame, discount: float = DISCOUNT, least: int = LEAST_COUNT
     shards = 1 << max(0, (max(1, rows.rdd.getNumPartitions()) - 1).bit_length())
     shift = U(KEY_BITS - (shards - 1).bit_length())
 
+    @lean
     def count_words(batches):
         held, size = [], 0
 
@@ -284,6 +285,7 @@ def train(texts: DataFrame, discount: float = DISCOUNT, least: int = LEAST_COUNT
         raise ValueError("pairs hold word numbers of 32 bits")
     parts = max(1, math.ceil(tokens / PAIRS_A_SHARD))
 
+    @lean
     def count_pairs(batches):
         own = reader(level)
         held, size = [], 0
@@ -360,6 +362,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """
     rows = documents.select(F.col("doc_id").cast("long"), "text")
 
+    @lean
     def task(batches):
         own = reader(model)
         for batch in batches:

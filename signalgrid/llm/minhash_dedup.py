@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalgrid.llm.common import broadcast_if_small, by_runs, components, stored
+from signalgrid.llm.common import broadcast_if_small, by_runs, components, lean, stored
 from signalgrid.llm.words import BASE, U, blocks, mix, shingles
 
 WORDS = 5
@@ -63,6 +63,7 @@ def sketches(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
+    @lean
     def task(batches):
         for batch in batches:
             for block in blocks(batch["text"]):

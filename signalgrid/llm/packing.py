@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from signalgrid.llm.common import stored
+from signalgrid.llm.common import lean, stored
 from signalgrid.llm.token_counts import byte_letters, vocabulary
 from signalgrid.llm.words import buffers, row_ranges
 
@@ -158,6 +158,7 @@ def pieces(documents: DataFrame, name: str = "word_bpe_49k.json", window: int =
              "doc_tokens": pa.int64()} | ({"ids": pa.list_(pa.uint32())} if keep_ids else {})
     end, wide = np.array([END_ID], "<u4").tobytes(), 4 * window
 
+    @lean
     def task(batches):
         own = word_ids(vocabulary(name))
         try:
@@ -266,6 +267,7 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     kept = cut.columns
     names = [*kept, "sequence_id", "offset"]
 
+    @lean
     def task(batches):
         place = held.value
         keys = (place[:, 0] << 44) + place[:, 1]

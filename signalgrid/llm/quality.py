@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from signalgrid.llm.common import crc32_of
+from signalgrid.llm.common import crc32_of, lean
 from signalgrid.llm.words import BASE, U, buffers, mix, row_ranges, span_keys, word_spans
 
 PER_CLASS = 6_000
@@ -111,13 +111,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, cost: float =
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ones = (sign > 0).mean()
     most = cost * np.where(sign > 0, share / ones, (1 - share) / (1 - ones))
-    scale = [ratio[x] for x in rows]
-    diagonal = np.array([float(r @ r) + 1.0 for r in scale])
+    diagonal = np.array([float((ratio[x] ** 2).sum()) + 1.0 for x in rows])
     weights, offset, dual = np.zeros(SIZE), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(1)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            x, r = rows[i], scale[i]
+            x = rows[i]
+            r = ratio[x]
             slope = sign[i] * (float(weights[x] @ r) + offset) - 1.0
             moved = min(max(dual[i] - slope / diagonal[i], 0.0), most[i])
             step = (moved - dual[i]) * sign[i]
@@ -142,6 +142,7 @@ def model(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
               for q in (0, 1)]
     sample = documents.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
 
+    @lean
     def numbers(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
@@ -149,13 +150,14 @@ def model(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
                  pa.array([x.astype(np.int32) for x in features(batch["text"])], pa.list_(pa.int32()))],
                 names=["doc_id", "quality", "x"])
 
+    @lean
     def train(batches):
         ids, y, x = [], [], []
         for batch in batches:
             ids += batch["doc_id"].to_pylist()
             y += batch["quality"].to_pylist()
-            at, flat = batch["x"].offsets.to_numpy(), batch["x"].values.to_numpy()
-            x += [flat[a:b].copy() for a, b in zip(at[:-1], at[1:])]
+            at, flat = batch["x"].offsets.to_numpy(), batch["x"].values.to_numpy().copy()
+            x += [flat[a:b] for a, b in zip(at[:-1], at[1:])]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], len(x[i])))
         out = fit([x[i] for i in order], np.array([y[i] for i in order]), share)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["weights"])
@@ -171,6 +173,7 @@ def score(documents: DataFrame, weights: np.ndarray, keep_text: bool = True) ->
     plain = documents.drop("score", "predicted")
     names = [c for c in plain.columns if keep_text or c != "text"]
 
+    @lean
     def task(batches):
         w = held.value
         for batch in batches:

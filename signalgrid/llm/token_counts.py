@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from signalgrid.llm.common import lean
+
 LIMIT = 1_024
 CACHED = 500_000
 LONGEST_CACHED = 48
@@ -223,6 +225,7 @@ def token_counts(documents: DataFrame, name: str = "byte_bpe_50k.json", limit: i
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     more = ", prefix_counts array<int>" if prefixes else ""
 
+    @lean
     def task(batches):
         own = counter(vocabulary(name))
         try:
@@ -250,6 +253,7 @@ def truncated(documents: DataFrame, budget: int, name: str = "byte_bpe_50k.json"
     """doc_id and the longest prefix of each text within ``budget`` tokens."""
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
+    @lean
     def task(batches):
         own = counter(vocabulary(name))
         for batch in batches:

@@ -13,7 +13,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from signalgrid.llm.common import broadcast_if_small, file_system, stored
+from signalgrid.llm.common import broadcast_if_small, file_system, lean, stored
 from signalgrid.session import remove_at_exit, work_folder
 
 LEAST_REVISIT = 1_000
@@ -91,6 +91,7 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes:
     folder = work_folder(spark, "warc")
     remove_at_exit(spark, folder)
 
+    @lean
     def task(batches):
         store, path = file_system(folder)
         store.create_dir(path, recursive=True)
@@ -145,6 +146,7 @@ def read_records(chosen: DataFrame, range_bytes: int = RANGE_BYTES, gap: int = G
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
     names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
 
+    @lean
     def task(batches):
         for batch in batches:
             entries = list(zip(*(batch[c].to_pylist() for c in ("file", "offset", "length"))))
