@@ -17,14 +17,14 @@ def apply_defaults(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
 def insert_if_absent(
     existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]
 ) -> DataFrame:
-    """Rows to append: the first row per new key.
+    """Rows to append: the first row per new key; rows without a key are never appended.
 
     Copies of a key collapse to one row per partition before the shuffle, and the
     lookup of existing keys reuses that shuffle's partitioning.  It is an outer join
     because Spark would move an anti-join ahead of the grouping, where a key with
     very many copies would still be whole.
     """
-    first = incoming.groupBy(key).agg(
+    first = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(
         F.min_by(F.struct(*incoming.columns), F.struct(*order)).alias("row")
     )
     known = existing.select(key, F.lit(True).alias("_known"))

@@ -48,7 +48,7 @@ def _six(name: str):
 # --- Pressure and severity ---------------------------------------------------
 
 def _order_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    orders = table(spark, sf_dir, "orders")
     # Orders shrink to one row per customer and partition before the first shuffle,
     # whose partitioning the customer join then reuses.
     parts = pressure.share_parts(orders, ["o_custkey"], "o_totalprice")
@@ -280,10 +280,9 @@ def ticker_report(spark, sf_dir):
 
 
 def event_dossier(spark, sf_dir):
-    best = ranking.top_k(geo_rows(spark, sf_dir), payloads.signal_order(), fv.SIGNAL_CAP)
     names = dims.dim_subject(spark).select(
         F.col("code").alias("nation"), F.col("name").alias("subject"))
-    return best.join(names, "nation", "left").select(
+    return geo_rows(spark, sf_dir).join(names, "nation", "left").select(
         "id", F.coalesce("subject", F.lit(fv.UNKNOWN_COUNTRY)).alias("subject"),
         F.col("count").alias("mentions"),
         F.round(display.bar_width(F.col("severity"), 5), 4).alias("bar"),

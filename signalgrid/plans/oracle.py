@@ -59,7 +59,7 @@ BANDS = """CASE WHEN {x} >= 0.92 THEN 'critical' WHEN {x} >= 0.75 THEN 'severe'
      WHEN {x} >= 0.55 THEN 'high' WHEN {x} >= 0.38 THEN 'elevated'
      WHEN {x} >= 0.2 THEN 'guarded' ELSE 'low' END"""
 
-PRESSURE = f"""WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'F'),
+PRESSURE = f"""WITH f AS (SELECT * FROM orders),
 s AS (
   SELECT c_nationkey AS nationkey,
          least(1e0, sqrt(o_totalprice / (SELECT max(o_totalprice) FROM f))) AS severity
@@ -285,8 +285,7 @@ SELECT id, upper(domain) AS domain,
   CASE WHEN length(title) > 90 THEN substr(title, 1, 90) || '…' ELSE title END AS title,
   {WORDS.format(t="(country || ' ' || title)")} AS code
 FROM items ORDER BY seen DESC, items.id LIMIT 24""",
-    "event_dossier": f"""WITH {SIGNALS}, g AS (
-  SELECT * FROM geo ORDER BY severity DESC, source_rank, subject_priority, pos, id LIMIT 250)
+    "event_dossier": f"""WITH {SIGNALS}, g AS (SELECT * FROM geo)
 SELECT id, coalesce(s.name, '—') AS subject, count AS mentions,
   round(greatest(5e0, severity * 100), 4) AS bar, round(lat, 3) AS lat, round(lon, 3) AS lon
 FROM g LEFT JOIN subj s ON s.code = g.nation""",
