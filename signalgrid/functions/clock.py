@@ -16,13 +16,15 @@ def moment(as_of: str, like: str = "timestamp") -> Column:
 
 
 def within_days(stamp: Column, as_of: str, days: int, like: str = "timestamp") -> Column:
-    """Rows not older than ``days``; the column stays bare so the test is pushed down."""
-    return stamp >= moment(as_of, like) - F.expr(f"INTERVAL {int(days)} DAYS")
+    """Rows up to ``as_of`` and not older than ``days``; the bare column is pushed down."""
+    oldest = moment(as_of, like) - F.expr(f"INTERVAL {int(days)} DAYS")
+    return (stamp >= oldest) & (stamp <= moment(as_of, like))
 
 
 def since_date(stamp: Column, as_of: str, days: int, like: str = "timestamp") -> Column:
-    """Inclusive lower bound by calendar date, written so that it is pushed down."""
-    return stamp >= F.date_sub(F.lit(as_of).cast("date"), days).cast(like)
+    """Up to ``as_of``, with an inclusive lower bound by calendar date; pushed down."""
+    oldest = F.date_sub(F.lit(as_of).cast("date"), days).cast(like)
+    return (stamp >= oldest) & (stamp <= moment(as_of, like))
 
 
 def compact_timestamp(raw: Column) -> Column:

@@ -17,8 +17,8 @@ def _age_limit(stamp: Column, seconds: int) -> Column:
 def freshness(
     log: DataFrame, key: str, at: str, ok: Column, as_of: Column, ttl_seconds: int
 ) -> DataFrame:
-    """Time of the last success per key and whether it still counts as fresh."""
-    last = log.groupBy(key).agg(F.max(F.when(ok, F.col(at))).alias("last_ok"))
+    """Time of the last success up to ``as_of`` per key and whether it still counts as fresh."""
+    last = log.groupBy(key).agg(F.max(F.when(ok & (F.col(at) <= as_of), F.col(at))).alias("last_ok"))
     fresh = as_of <= _age_limit(F.col("last_ok"), ttl_seconds)
     return last.withColumn("fresh", F.coalesce(fresh, F.lit(False)))
 
@@ -67,10 +67,11 @@ def feed_state(
 ) -> DataFrame:
     """Status per key: ok, degraded, or ``otherwise`` when nothing is on hand.
 
-    Failures never erase the last good answer.
+    Failures never erase the last good answer. Fetches after ``as_of`` count for nothing.
     """
-    newest = F.max_by(F.struct(at, rows), F.when(ok, F.struct(at, *ties)))
-    state = log.groupBy(*keys).agg(newest.alias("good"), F.count_if(~ok).alias("failures"))
+    known = F.col(at) <= as_of
+    newest = F.max_by(F.struct(at, rows), F.when(ok & known, F.struct(at, *ties)))
+    state = log.groupBy(*keys).agg(newest.alias("good"), F.count_if(~ok & known).alias("failures"))
     live = F.coalesce(F.col(f"good.{rows}") > 0, F.lit(False))
     fresh = F.coalesce(
         as_of <= _age_limit(F.col(f"good.{at}"), ttl_seconds), F.lit(False)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signalgrid.dims import Keywords
-from signalgrid.functions.text import first_keyword, lists_mentioned, mentions, words_of
+from signalgrid.functions.text import (
+    first_keyword, lists_mentioned, mentions, phrases_of, spaced_words,
+)
 from signalgrid.session import fits_broadcast
 
 
@@ -33,20 +35,23 @@ def attribute_keywords(
 def attribute_dictionary(
     df: DataFrame, text: Column, key: str, dictionary: DataFrame, out: str = "code"
 ) -> DataFrame:
-    """Code per text for a large dictionary of single words.
+    """Code per key for a large dictionary of words and phrases, null without a hit.
 
-    The cost does not grow with the number of words: each word of a text is looked
-    up once.  Only texts with a hit are returned, and the hits of a text combine
-    within its own partition before the shuffle on ``key``.
-    ``dictionary`` has code, priority and word (single lower-case ASCII words); each
-    code has its own priority.
+    The cost does not grow with the number of entries: each word of a text, and each run of
+    as many words as some phrase has, is looked up once, and the hits of a text combine within
+    its own partition before the shuffle on ``key``. Texts of one key count as one.
+    ``dictionary`` has code, priority and word (lower-case ASCII words, one space between
+    them); each code has its own priority.
     """
+    words = F.size(F.split("word", " "))
+    lengths = [r[0] for r in dictionary.select(words).distinct().collect()]  # as few as there are lengths
     # Lower-cased after cutting, so that no accented letter turns into an ASCII one.
-    words = df.select(key, F.explode(words_of(text)).alias("word")).withColumn(
-        "word", F.lower("word"))
+    cut = df.select(key, spaced_words(text).alias("cut"))
+    runs = F.array_distinct(F.flatten(F.array(*[phrases_of(F.col("cut"), n) for n in lengths])))
+    found = cut.select(key, F.explode_outer(runs).alias("word")).withColumn("word", F.lower("word"))
     side = F.broadcast(dictionary) if fits_broadcast(dictionary) else dictionary
     # A number per text hashes well; its code is looked up once the hits are combined.
-    best = words.join(side.select("word", "priority"), "word").groupBy(key).agg(
+    best = found.join(side.select("word", "priority"), "word", "left").groupBy(key).agg(
         F.min("priority").alias("priority"))
     codes = dictionary.select("priority", F.col("code").alias(out)).distinct()
-    return best.join(codes, "priority").select(key, out)
+    return best.join(codes, "priority", "left").select(key, out)

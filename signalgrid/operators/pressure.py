@@ -58,9 +58,8 @@ def merge_share_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def finish_share_tally(parts: DataFrame) -> DataFrame:
-    """Turn parts (one row per subject by now) into a tally."""
-    everything = Window.partitionBy(F.lit(0))
-    peak = F.coalesce(F.max("peak").over(everything), F.lit(1.0))
+    """Turn parts into a tally; the peak comes in as a scalar subquery."""
+    peak = parts.agg(F.coalesce(F.max("peak"), F.lit(1.0)).alias("peak")).scalar()
     return parts.withColumn("severity_sum", F.col("root_sum") / F.sqrt(peak)).drop(
         "root_sum", "peak"
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from signalgrid import dims, fixed_values as fv
-from signalgrid.dims import SUBJECT_BOXES, THEATER_BOXES, Keywords
+from signalgrid.dims import SUBJECT_BOXES, THEATER_BOXES, Box, Keywords
 from signalgrid.functions import clock, display, scoring, text
 from signalgrid.operators import (
     arcs, freshness, heat, keyed, keywords, merge, pressure, ranking, timeline, zones,
@@ -21,7 +21,7 @@ from signalgrid.schemas import (
     ARTICLE_DOCUMENT, BOUNDARY_DOCUMENT, CONFLICT_DOCUMENT, GEO_DOCUMENT,
     REPORT_DOCUMENT, TABLES, TIMELINE_DOCUMENT,
 )
-from signalgrid.session import work_folder
+from signalgrid.session import remove_at_exit, work_folder
 from signalgrid.sources import boundaries, feeds, landing, sinks
 from signalgrid.streaming import ingest, views
 
@@ -38,6 +38,8 @@ ROUTES = (
     Keywords("eastern-europe", ("the", "que")),
     Keywords("global", ("der", "la", "the", "que")),
 )
+PHRASES = (Keywords("P", ("de la", "in the")), *WORD_LISTS)
+SILENT = Box("southern-ocean", -60.0, -70.0, 0.0, -50.0, len(THEATER_BOXES))
 PAGE = 50
 
 
@@ -158,16 +160,12 @@ def strongest_signals(spark, sf_dir):
     return best.select("id", "source", "count", "nation", _six("severity"))
 
 
-def _northern_signals(spark, sf_dir):
-    """Signals while the feed south of 40.5 degrees is down."""
-    north = geo_rows(spark, sf_dir).filter(F.col("lat") > 40.5)
-    return zones.clip_to_theaters(north, THEATER_BOXES)
-
-
 def seed_fallback(spark, sf_dir):
+    """All events, and one theater more whose box holds none of them."""
+    watched = (*THEATER_BOXES, SILENT)
     rows = merge.with_fallback(
-        _northern_signals(spark, sf_dir), merge.seed_signals(spark),
-        dims.dim_theater(spark), "theater")
+        zones.clip_to_theaters(geo_rows(spark, sf_dir), watched), merge.seed_signals(spark),
+        dims.boxes(spark, watched).select(F.col("code").alias("theater")), "theater")
     return rows.select("theater", "id", "source", "nation", _six("severity"), "live")
 
 
@@ -217,7 +215,7 @@ def keyword_attribution(spark, sf_dir):
 def keyword_dictionary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return keywords.attribute_dictionary(
-        docs, F.col("text"), "doc_id", dims.keyword_words(spark, WORD_LISTS))
+        docs, F.col("text"), "doc_id", dims.keyword_words(spark, PHRASES))
 
 
 def url_domain(spark, sf_dir):
@@ -556,6 +554,17 @@ def stream_landing(spark, sf_dir):
     return good.unionByName(aside, allowMissingColumns=True)
 
 
+def landing_ids(spark, sf_dir):
+    """Signals and their distinct ids, from bodies that share lines' files and files' names."""
+    folder = work_folder(spark, "bodies")
+    remove_at_exit(spark, folder)
+    halves = _geo_bodies(spark, sf_dir).select("body", F.pmod("origin", F.lit(2)).alias("half"))
+    halves.repartition(2, "body").write.partitionBy("half").text(folder)
+    bodies = landing.read_bodies(spark, folder, per_file=False)
+    rows = feeds.geo_signals(_documents(bodies, GEO_DOCUMENT))
+    return rows.agg(F.count("*").alias("signals"), F.countDistinct("id").alias("ids"))
+
+
 def conflict_scan(spark, sf_dir):
     points = order_points(spark, sf_dir, "o_orderstatus", "o_orderpriority")
     low = F.col("o_orderpriority") == "5-LOW"
@@ -665,16 +674,18 @@ def boundary_subset(spark, sf_dir):
 # --- Answers -----------------------------------------------------------------
 
 def _theater_status(spark, sf_dir):
-    """Theaters keep a log too: each event type is a feed of the theater of that rank."""
+    """Theaters keep a log too: some event types belong to one theater, the others are dealt out."""
     theaters = dims.dim_theater(spark)
-    feeds_of = F.element_at(
+    dealt = F.element_at(
+        F.array(*[F.lit(r[0]) for r in fv.THEATERS]),
+        (F.pmod("event_id", F.lit(len(fv.THEATERS))) + 1).cast("int"))
+    feeds_of = F.try_element_at(
         F.create_map(*[F.lit(v) for v in (
             "click", "middle-east", "view", "eastern-europe", "purchase", "global")]),
         F.col("event_type"))
     log = event_points(spark, sf_dir).select(
-        F.when(F.col("event_type").isin("click", "view", "purchase"), feeds_of).alias("theater"),
-        "event_id", "ts", F.col("count").alias("n_rows"), F.lit(True).alias("ok"),
-    ).filter(F.col("theater").isNotNull())
+        F.coalesce(feeds_of, dealt).alias("theater"), "event_id", "ts",
+        F.col("count").alias("n_rows"), (F.col("event_type") != "error").alias("ok"))
     state = freshness.feed_state(
         log, ["theater"], "ts", F.col("ok"), "n_rows", clock.moment(AS_OF, NTZ),
         fv.TTL_SECONDS["events"], ties=["event_id"], otherwise="degraded")
@@ -683,8 +694,9 @@ def _theater_status(spark, sf_dir):
 
 def _events_answer(spark, sf_dir):
     theaters = dims.dim_theater(spark)
+    known = theater_signals(spark, sf_dir).filter(F.col("observed_at") <= clock.moment(AS_OF, NTZ))
     picture = payloads.events_picture(
-        theater_signals(spark, sf_dir), merge.seed_signals(spark), theaters)
+        known, merge.seed_signals(spark), theaters)
     return payloads.events_payload(
         picture, theaters, dims.dim_subject(spark), dims.theater_subject(spark),
         _theater_status(spark, sf_dir), clock.moment(AS_OF, NTZ))
@@ -726,7 +738,8 @@ def payload_sink(spark, sf_dir):
 
 def payload_feed(spark, sf_dir):
     """The feed answer, one row per item."""
-    items = payloads.feed_items(document_items(spark, sf_dir), ROUTES, WORD_LISTS)
+    known = document_items(spark, sf_dir).filter(F.col("seen") <= clock.moment(AS_OF, NTZ))
+    items = payloads.feed_items(known, ROUTES, WORD_LISTS)
     answer = payloads.items_payload(
         items, dims.dim_theater(spark), _theater_status(spark, sf_dir),
         clock.moment(AS_OF, NTZ), fv.NOTE_FEED)
@@ -793,7 +806,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fetch_freshness, last_known_good, feed_status, missing_keys,
         insert_if_absent, domain_check,
         stream_signals, stream_volume, stream_fetch_state, stream_landing,
-        geo_scan, conflict_scan, article_scan, report_scan, timeline_scan,
+        geo_scan, landing_ids, conflict_scan, article_scan, report_scan, timeline_scan,
         quarantine, boundary_subset,
         payload_events, payload_sink, payload_feed, payload_situation, payload_pulse,
     )

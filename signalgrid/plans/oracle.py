@@ -77,10 +77,10 @@ p AS (
 SIGNALS = f"""{SUBJ}, {THEATER}, {MEMBER}, {SCORED}, {CODED},
 geo AS (
   SELECT 'gd-' || event_id AS id, lat, lon, event_type AS name, count, code AS nation, severity,
-         'gdelt' AS source, 1 AS source_rank, 0 AS subject_priority, event_id AS pos
+         'gdelt' AS source, 1 AS source_rank, 0 AS subject_priority, event_id AS pos, ts AS observed_at
   FROM scored LEFT JOIN hit USING (event_id)),
 order_points AS (
-  SELECT o_orderkey, CAST(floor(o_totalprice / 100000) AS BIGINT) AS toll,
+  SELECT o_orderkey, o_orderdate, CAST(floor(o_totalprice / 100000) AS BIGINT) AS toll,
          21e0 + ((o_orderkey * 7919) % 4900) / 1e2 AS lon,
          24e0 + ((o_orderkey * 104729) % 4650) / 1e2 AS lat
   FROM orders),
@@ -92,7 +92,7 @@ conflict AS (
   SELECT 'acled-' || o_orderkey AS id, lat, lon, 'Event' AS name, 1 + toll AS count,
          code AS nation, least(1e0, 0.45e0 + log10(1e0 + toll) / 2) AS severity,
          'acled' AS source, 0 AS source_rank, coalesce(priority, 4) AS subject_priority,
-         o_orderkey AS pos
+         o_orderkey AS pos, o_orderdate AS observed_at
   FROM order_points LEFT JOIN order_hit USING (o_orderkey)),
 placed AS (
   SELECT t.theater, g.* FROM geo g JOIN theater_dim t
@@ -102,6 +102,8 @@ placed AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY theater
     ORDER BY severity DESC, source_rank, subject_priority, pos, id) AS rank FROM placed)"""
+# Only what was observed by the moment of the answer.
+KNOWN = SIGNALS.replace("AS rank FROM placed", f"AS rank FROM placed WHERE observed_at <= {AS_OF}")
 
 HOT = f"""{SUBJ}, {THEATER}, {MEMBER}, {SCORED}, {CODED},
 hot AS (
@@ -149,9 +151,10 @@ ITEMS = """items AS (
 
 THEATER_STATE = f"""theater_log AS (
   SELECT CASE event_type WHEN 'click' THEN 'middle-east' WHEN 'view' THEN 'eastern-europe'
-              WHEN 'purchase' THEN 'global' END AS theater,
+              WHEN 'purchase' THEN 'global' ELSE (CASE event_id % 3 WHEN 0 THEN 'middle-east'
+              WHEN 1 THEN 'eastern-europe' ELSE 'global' END) END AS theater,
          ts, event_id, CAST(trunc(value) AS BIGINT) AS n
-  FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+  FROM events WHERE event_type <> 'error' AND ts <= {AS_OF}),
 theater_last AS (
   SELECT theater, ts, n FROM (SELECT *, row_number() OVER (
     PARTITION BY theater ORDER BY ts DESC, event_id DESC) AS rn FROM theater_log) WHERE rn = 1),
@@ -248,14 +251,14 @@ FROM ranked WHERE rank <= 250""",
 SELECT id, source, count, nation, round(severity, 6) AS severity FROM u
 ORDER BY u.severity DESC, source_rank, subject_priority, pos, id LIMIT 250""",
     "seed_fallback": f"""WITH {SUBJ}, {THEATER}, {SEED}, {SCORED}, {CODED},
+watched AS (SELECT * FROM theater_dim UNION ALL SELECT 'southern-ocean', -60e0, -70e0, 0e0, -50e0),
 live AS (SELECT t.theater, s.event_id, h.code, s.severity FROM scored s LEFT JOIN hit h USING (event_id)
-  JOIN theater_dim t ON s.lon BETWEEN t.west AND t.east AND s.lat BETWEEN t.south AND t.north
-  WHERE s.lat > 40.5e0)
+  JOIN watched t ON s.lon BETWEEN t.west AND t.east AND s.lat BETWEEN t.south AND t.north)
 SELECT theater, 'gd-' || event_id AS id, 'gdelt' AS source, code AS nation,
   round(severity, 6) AS severity, true AS live FROM live
 UNION ALL
 SELECT t.theater, 'seed-' || pos, 'seed', nation, round(severity, 6), false
-FROM theater_dim t, seed WHERE t.theater NOT IN (SELECT theater FROM live)""",
+FROM watched t, seed WHERE t.theater NOT IN (SELECT theater FROM live)""",
     "hottest_per_subject": f"""WITH {HOT}
 SELECT theater, code, event_id, lon, lat, round(severity, 6) AS severity FROM hot""",
     "tension_arcs": f"""WITH {HOT}
@@ -265,8 +268,8 @@ SELECT theater, arc_id, code, adversary, from_lon, from_lat, to_lon, to_lat, lab
     "keyword_filter": "SELECT doc_id, lang FROM documents "
                       "WHERE regexp_matches(text, '(?i)\\b(der|que)\\b')",
     "keyword_attribution": f"SELECT doc_id, {WORDS.format(t='text')} AS code FROM documents",
-    "keyword_dictionary": f"SELECT * FROM (SELECT doc_id, {WORDS.format(t='text')} AS code "
-                          "FROM documents) WHERE code IS NOT NULL",
+    "keyword_dictionary": "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(de la|in the)\\b') "
+                          f"THEN 'P' ELSE {WORDS.format(t='text')} END AS code FROM documents",
     "url_domain": "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS domain "
                   "FROM pages",
     "compact_ts": f"""WITH raw AS (SELECT o_orderkey, CASE o_orderkey % 7
@@ -304,14 +307,16 @@ SELECT theater, p.code, s.name, callsign, plate.capital, events, round(score, 6)
 FROM p JOIN subj s ON s.code = p.code JOIN plate ON plate.code = p.code""",
     "lookback": f"""SELECT event_id, event_type, ts >= {AS_OF} - INTERVAL 1 DAY AS in_events,
   ts >= {AS_OF} - INTERVAL 2 DAY AS in_articles
-FROM events WHERE ts >= {AS_OF} - INTERVAL 14 DAY""",
+FROM events WHERE ts BETWEEN {AS_OF} - INTERVAL 14 DAY AND {AS_OF}""",
     "conflict_lookback": f"""SELECT o_orderkey, strftime(o_orderdate, {ISO}) AS day FROM orders
-WHERE CAST(o_orderdate AS DATE) >= DATE '2001-07-15' - INTERVAL 14 DAY AND o_orderstatus = 'O'""",
+WHERE CAST(o_orderdate AS DATE) >= DATE '2001-07-15' - INTERVAL 14 DAY
+  AND o_orderdate <= TIMESTAMP '2001-07-15 00:00:00' AND o_orderstatus = 'O'""",
     "conflict_recent": f"""WITH {SIGNALS}, r AS (
   SELECT c.nation, c.id, 'Event — ' || c.nation AS name, o.o_orderdate AS d, row_number() OVER (
     PARTITION BY c.nation ORDER BY o.o_orderdate DESC, c.pos) AS rank
   FROM conflict c JOIN orders o ON o.o_orderkey = c.pos
-  WHERE c.nation IS NOT NULL AND o.o_orderdate >= TIMESTAMP '2001-07-01 00:00:00')
+  WHERE c.nation IS NOT NULL AND o.o_orderdate BETWEEN TIMESTAMP '2001-07-01 00:00:00'
+    AND TIMESTAMP '2001-07-15 00:00:00')
 SELECT nation, rank, id, name, strftime(d, {ISO}) AS day FROM r WHERE rank <= 400""",
     "timeline_volume": f"""WITH {DAILY.format(where='')}
 SELECT strftime(t, {ISO}) AS t, subject, count, round(volume, 6) AS volume FROM shared""",
@@ -327,7 +332,8 @@ WHERE rn = 1""",
 SELECT event_id, round(c, 6) AS level, round((c + 10) / 20 * 100, 6) AS percent,
   CASE WHEN c < -3 THEN 'danger' WHEN c < 1 THEN 'warning' ELSE 'success' END AS band FROM c""",
     "fetch_freshness": f"""WITH l AS (
-  SELECT user_id, max(CASE WHEN event_type <> 'error' THEN ts END) AS last_ok FROM events GROUP BY 1)
+  SELECT user_id, max(CASE WHEN event_type <> 'error' AND ts <= {AS_OF} THEN ts END) AS last_ok
+  FROM events GROUP BY 1)
 SELECT user_id, strftime(last_ok, {ISO}) AS last_ok,
   coalesce({AS_OF} <= last_ok + INTERVAL 6 HOUR, false) AS fresh FROM l""",
     "last_known_good": f"""SELECT event_id, strftime(max(CASE WHEN event_type <> 'error' THEN ts END)
@@ -335,8 +341,9 @@ SELECT user_id, strftime(last_ok, {ISO}) AS last_ok,
     "feed_status": f"""WITH good AS (
   SELECT user_id, ts, CAST(trunc(value) AS BIGINT) AS n, row_number() OVER (
     PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
-  FROM events WHERE event_type <> 'error'),
-k AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1)
+  FROM events WHERE event_type <> 'error' AND ts <= {AS_OF}),
+k AS (SELECT user_id, count(*) FILTER (event_type = 'error' AND ts <= {AS_OF}) AS failures
+  FROM events GROUP BY 1)
 SELECT k.user_id, strftime(ts, {ISO}) AS last_ok, n AS rows_on_hand, failures,
   CASE WHEN n > 0 AND {AS_OF} <= ts + INTERVAL 6 HOUR THEN 'ok'
        WHEN n > 0 THEN 'degraded' ELSE 'offline' END AS status
@@ -376,6 +383,8 @@ SELECT 'signal' AS part, name, count, nation, severity FROM geo_rows
 UNION ALL SELECT 'aside', CASE WHEN NOT regexp_matches(html, '\\S') THEN 'empty'
   WHEN regexp_matches(html, '^\\s*<') THEN 'markup' ELSE 'malformed' END, NULL, NULL, NULL
 FROM pages""",
+    "landing_ids": f"""WITH {GEO_PAGES}
+SELECT count(*) AS signals, count(*) AS ids FROM geo_rows""",
     "conflict_scan": f"""WITH {SUBJ},
 p AS (SELECT *, {NUMBERED.format(k='o_orderkey')}, o_orderpriority = '5-LOW' AS low,
   21e0 + ((o_orderkey * 7919) % 4900) / 1e2 AS lon,
@@ -417,7 +426,7 @@ UNION ALL SELECT 'doc-' || doc_id, CASE WHEN NOT regexp_matches(text, '\\S') THE
     "boundary_subset": """SELECT n_name AS code, s_name AS name, 'LineString' AS kind,
   CAST(s_suppkey AS DOUBLE) AS lon
 FROM supplier JOIN nation ON s_suppkey = n_nationkey""",
-    "payload_events": f"""WITH {SIGNALS}, {THEATER_STATE},
+    "payload_events": f"""WITH {KNOWN}, {THEATER_STATE},
 top AS (SELECT * FROM ranked WHERE rank <= 250),
 hot AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theater, nation ORDER BY rank) AS rn
   FROM top WHERE nation IS NOT NULL) WHERE rn = 1),
@@ -442,7 +451,7 @@ rows_ AS (
 SELECT r.theater, coalesce(s.status, 'degraded') AS status, strftime({AS_OF}, {ISO}) AS updated_at,
   part, CAST(pos AS BIGINT) AS pos, key, round(value, 6) AS value, word
 FROM rows_ r LEFT JOIN theater_state s USING (theater)""",
-    "payload_sink": f"""WITH {SIGNALS}, {THEATER_STATE}
+    "payload_sink": f"""WITH {KNOWN}, {THEATER_STATE}
 SELECT r.theater, coalesce(any_value(s.status), 'degraded') AS status, count(*) AS events,
   CAST(CASE r.theater WHEN 'global' THEN 4 ELSE 2 END AS BIGINT) AS arcs,
   CAST(CASE r.theater WHEN 'global' THEN 4 ELSE 2 END AS BIGINT) AS nations,
@@ -453,15 +462,16 @@ routed AS (
   SELECT 'middle-east' AS theater, * FROM items WHERE regexp_matches(title, '(?i)\\b(der|la)\\b')
   UNION ALL SELECT 'eastern-europe', * FROM items WHERE regexp_matches(title, '(?i)\\b(the|que)\\b')
   UNION ALL SELECT 'global', * FROM items WHERE regexp_matches(title, '(?i)\\b(der|la|the|que)\\b')),
-r AS (SELECT *, row_number() OVER (PARTITION BY theater ORDER BY seen DESC, id) AS rank FROM routed)
+r AS (SELECT *, row_number() OVER (PARTITION BY theater ORDER BY seen DESC, id) AS rank
+  FROM routed WHERE seen <= {AS_OF})
 SELECT r.theater, coalesce(s.status, 'degraded') AS status, rank - 1 AS pos, id, title,
   {WORDS.format(t="(country || ' ' || title)")} AS nation, strftime(seen, {ISO}) AS seen
 FROM r LEFT JOIN theater_state s USING (theater) WHERE rank <= 60""",
     "payload_situation": f"""WITH {SITUATION}
 SELECT theater, 'ok' AS status, rank - 1 AS pos, id, nation FROM b WHERE rank <= 24""",
-    "payload_pulse": f"""WITH {DAILY.format(where=f"WHERE ts >= {AS_OF} - INTERVAL 14 DAY")},
+    "payload_pulse": f"""WITH {DAILY.format(where=f"WHERE ts BETWEEN {AS_OF} - INTERVAL 14 DAY AND {AS_OF}")},
 last_log AS (SELECT event_type AS subject, ts, CAST(trunc(value) AS BIGINT) AS n, row_number() OVER (
-  PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+  PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts <= {AS_OF}),
 state AS (SELECT subject, CASE WHEN n > 0 AND {AS_OF} <= ts + INTERVAL 120 SECOND THEN 'ok'
   WHEN n > 0 THEN 'degraded' ELSE 'offline' END AS status FROM last_log WHERE rn = 1),
 s AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS pos,

@@ -1,15 +1,13 @@
 """Schemas of the landing documents and of the canonical tables."""
 
-GEO_DOCUMENT = (
-    "features array<struct<geometry:struct<type:string,coordinates:array<double>>,"
-    "properties:struct<name:string,count:double,shareimage:string>>>"
-)
+# Features come in many shapes; one of an odd shape must not cost its neighbours.
+GEO_DOCUMENT = "features array<variant>"
 ARTICLE_DOCUMENT = (
     "articles array<struct<url:string,title:string,seendate:string,"
     "domain:string,sourcecountry:string>>"
 )
 TIMELINE_DOCUMENT = (
-    "timeline array<struct<data:array<struct<date:string,value:double>>>>"
+    "timeline array<struct<data:array<struct<date:string,value:string>>>>"
 )
 CONFLICT_DOCUMENT = (
     "data array<struct<latitude:string,longitude:string,event_type:string,"

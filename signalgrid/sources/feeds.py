@@ -26,17 +26,20 @@ def geo_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFr
 
     The peak is taken over all features, also those dropped here or clipped later.
     """
-    counts = F.transform("doc.features", lambda f: f["properties"]["count"])
+    def told(feature: Column) -> Column:
+        return _number(F.try_variant_get(feature, "$.properties.count", "string"))
+
+    counts = F.transform("doc.features", told)
     peak = F.coalesce(F.array_max(F.filter(counts, lambda c: c > 0)), F.lit(1.0))
     # The peak is taken per document, before the features become rows.
     peaked = docs.select("origin", peak.alias("peak"), F.col("doc.features").alias("features"))
     features = peaked.select("origin", "peak", F.posexplode("features").alias("pos", "f"))
     rows = features.select(
         "origin", "pos", "peak",
-        F.try_element_at("f.geometry.coordinates", F.lit(1)).alias("lon"),
-        F.try_element_at("f.geometry.coordinates", F.lit(2)).alias("lat"),
-        F.coalesce("f.properties.name", F.lit(fv.UNKNOWN_PLACE)).alias("name"),
-        F.coalesce("f.properties.count", F.lit(0.0)).alias("count"),
+        F.try_variant_get("f", "$.geometry.coordinates[0]", "double").alias("lon"),
+        F.try_variant_get("f", "$.geometry.coordinates[1]", "double").alias("lat"),
+        F.coalesce(F.try_variant_get("f", "$.properties.name", "string"), F.lit(fv.UNKNOWN_PLACE)).alias("name"),
+        F.coalesce(told(F.col("f")), F.lit(0.0)).alias("count"),
     ).filter(_usable("lon") & _usable("lat"))
     return rows.select(
         signal_id(F.lit(fv.SOURCE_GEO), F.col("origin"), F.col("pos")).alias("id"),
@@ -125,7 +128,7 @@ def report_items(docs: DataFrame, as_of: str) -> DataFrame:
 
 
 def timeline_points(docs: DataFrame, as_of: str) -> DataFrame:
-    """Points of each document's first series; a missing value is zero.
+    """Points of each document's first series; a missing value or one that is no number is zero.
 
     ``docs`` carries ``subject`` and ``metric``.
     """
@@ -135,5 +138,5 @@ def timeline_points(docs: DataFrame, as_of: str) -> DataFrame:
     return points.select(
         "subject", "metric", F.col("pos").cast("bigint").alias("pos"),
         F.coalesce(stamp, moment(as_of)).alias("t"),
-        F.coalesce("p.value", F.lit(0.0)).alias("v"),
+        F.coalesce(_number(F.col("p.value")), F.lit(0.0)).alias("v"),
     )

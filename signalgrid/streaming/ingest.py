@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from signalgrid.sources.landing import good_documents, parse_bodies, quarantined
+from signalgrid.sources.landing import good_documents, origin_of, parse_bodies, quarantined
 
 
 def file_stream(
@@ -39,7 +39,7 @@ def body_stream(
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     text = reader.text(path, wholetext=per_file)
-    return text.select(F.col("_metadata.file_name").alias("origin"), F.col("value").alias("body"))
+    return text.select(origin_of(per_file).alias("origin"), F.col("value").alias("body"))
 
 
 def start_landing(

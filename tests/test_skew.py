@@ -111,6 +111,16 @@ def test_dictionary_with_a_word_in_every_text(spark):
     assert Counter(r.code for r in got.collect()) == {"UA": 100, "XX": 200}
 
 
+def test_dictionary_keeps_every_text_and_finds_phrases(spark):
+    rows = [(1, "The Tel Aviv port"), (2, "Tel, Aviv"), (3, "tel  aviv"), (4, None), (5, ""),
+            (6, "Kyiv and tel aviv"), (7, "xtel aviv"), (8, "TelAviv")]
+    texts = local_table(spark, rows, "id int, text string")
+    words = local_table(
+        spark, [("UA", 1, "kyiv"), ("IL", 0, "tel aviv")], "code string, priority int, word string")
+    got = {r.id: r.code for r in keywords.attribute_dictionary(texts, F.col("text"), "id", words).collect()}
+    assert got == {1: "IL", 2: None, 3: None, 4: None, 5: None, 6: "IL", 7: None, 8: None}
+
+
 def test_arcs_do_not_multiply(spark, skewed):
     hot = ranking.hottest(
         skewed.select(F.lit("t").alias("theater"), F.lit("IR").alias("code"), "id", "severity",

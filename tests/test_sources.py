@@ -143,11 +143,37 @@ def test_bad_files_are_set_aside_and_the_rest_goes_on(spark, tmp_path):
     parsed = landing.parse_bodies(landing.read_bodies(spark, str(tmp_path)), GEO_DOCUMENT)
     assert feeds.geo_signals(landing.good_documents(parsed)).count() == 1
     reasons = {r.origin: r.reason for r in landing.quarantined(parsed).collect()}
-    assert reasons == {"page.json": "markup", "blank.json": "empty", "cut.json": "malformed"}
+    place = tmp_path.as_uri()
+    assert reasons == {f"{place}/page.json": "markup", f"{place}/blank.json": "empty",
+                       f"{place}/cut.json": "malformed"}
     names = ["good.json", "page.json", "blank.json", "cut.json", "zero.json"]
-    expected = local_table(spark, [(n,) for n in names], "origin string")
+    expected = local_table(spark, [(f"{place}/{n}",) for n in names], "origin string")
     missing = freshness.missing_keys(expected, parsed, ["origin"])
-    assert [r.origin for r in missing.collect()] == ["zero.json"]
+    assert [r.origin for r in missing.collect()] == [f"{place}/zero.json"]
+
+
+def test_text_behind_a_document_makes_it_malformed(spark):
+    one = json.dumps({"features": [feature(count=1)]})
+    bodies = [one + one, one + " trailing", one + "," + one, f" {one}\n", "[]", "null", "5"]
+    frame = local_table(spark, [(str(i), b) for i, b in enumerate(bodies)], "origin string, body string")
+    parsed = landing.parse_bodies(frame, GEO_DOCUMENT)
+    assert {r.origin: r.reason for r in landing.quarantined(parsed).collect()} == dict.fromkeys(
+        "012456", "malformed")
+    assert feeds.geo_signals(landing.good_documents(parsed)).count() == 1
+
+
+def test_an_odd_feature_costs_only_itself(spark):
+    polygon = {"geometry": {"type": "Polygon", "coordinates": [[[30, 50], [31, 50]]]}, "properties": {"count": 9}}
+    body = {"features": [polygon, feature(count="4"), None, 7, "x", feature(count="many"), feature(count=1)]}
+    rows = feeds.geo_signals(documents(spark, GEO_DOCUMENT, body)).orderBy("pos").collect()
+    assert [(r.pos, r["count"]) for r in rows] == [(1, 4), (5, 0), (6, 1)]
+    assert rows[0].severity == pytest.approx((4 / 9) ** 0.5)
+
+
+def test_a_point_that_is_no_number_is_zero(spark):
+    body = {"timeline": [{"data": [{"date": "20240115", "value": "abc"}, {"date": "20240116", "value": 2.5}]}]}
+    docs = documents(spark, TIMELINE_DOCUMENT, body, subject="UA", metric="tone")
+    assert [r.v for r in feeds.timeline_points(docs, AS_OF).orderBy("pos").collect()] == [0.0, 2.5]
 
 
 def test_one_body_per_line(spark, tmp_path):

@@ -82,7 +82,7 @@ def test_failures_never_erase_the_last_success(spark, tmp_path, landing):
         fetches = views.fetch_state_stream(stream, "subject", "at", F.col("ok"))
         ingest.start_upsert(fetches, out, state).awaitTermination()
     got = {r.subject: r.last_ok for r in ingest.latest(spark, out, ["subject"]).collect()}
-    as_of = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    as_of = F.lit("2024-01-03 00:00:00").cast("timestamp")
     wanted = freshness.freshness(rows(spark, 0, 150), "subject", "at", F.col("ok"), as_of, 60)
     assert got == {r.subject: r.last_ok for r in wanted.collect()}
 
@@ -108,7 +108,8 @@ def test_landing_files_become_signals_poll_by_poll(spark, tmp_path):
     poll(two=document("c"), cut='{"features": [')
     assert sorted(r.name for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
     reasons = {r.origin: r.reason for r in spark.read.parquet(aside).collect()}
-    assert reasons == {"bad.json": "markup", "cut.json": "malformed"}
+    place = (tmp_path / "files").as_uri()
+    assert reasons == {f"{place}/bad.json": "markup", f"{place}/cut.json": "malformed"}
 
 
 def test_writing_a_version_again_replaces_it(spark, tmp_path):
