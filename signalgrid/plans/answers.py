@@ -28,6 +28,11 @@ def fetch_status(
     return state.select(F.substring_index("key", ":", -1).alias(out), "status")
 
 
+def _until(df: DataFrame, stamp: str, as_of: str) -> DataFrame:
+    """Rows that are not later than ``as_of``; those without a time stay."""
+    return df.filter(~F.coalesce(F.col(stamp) > moment(as_of), F.lit(False)))
+
+
 def _theater(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("theater") == name)
 
@@ -37,7 +42,8 @@ def events(signals: DataFrame, log: DataFrame, as_of: str, theater: str | None =
     name = dims.resolve_theater(theater)
     spark = signals.sparkSession
     theaters = _theater(dims.dim_theater(spark), name)
-    picture = payloads.events_picture(_theater(signals, name), seed_signals(spark), theaters)
+    known = _until(_theater(signals, name), "observed_at", as_of)
+    picture = payloads.events_picture(known, seed_signals(spark), theaters)
     return payloads.events_payload(
         picture, theaters, dims.dim_subject(spark), _theater(dims.theater_subject(spark), name),
         fetch_status(log, "events", name, "theater", as_of, "degraded"), moment(as_of))
