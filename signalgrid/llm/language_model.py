@@ -381,13 +381,15 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(task, "doc_id long, " + SCORES)
 
 
-def scored(documents: DataFrame) -> DataFrame:
+def scored(documents: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """Train on the documents whose crc32(doc_id) mod 7 is not 2 and score all whole texts.
 
+    Pairs seen at least ``least`` times are in the model; 1 keeps all.
+
     Null text is empty and has the end token alone; a null doc_id is not held out; repeated rows
     count and are scored one by one; other columns are ignored. Without training rows
     every log is that of one, 0.
     """
     out = F.coalesce(F.pmod(crc32_of("doc_id"), F.lit(7)) == 2, F.lit(False))
-    model = train(documents.where(~out))
+    model = train(documents.where(~out), least=least)
     return score(documents, model).select("doc_id", out.alias("held_out"), *(c.split()[0] for c in SCORES.split(", ")))

@@ -54,7 +54,7 @@ def op9_license_scan(spark, sf_dir):
 
 
 def op10_language_model(spark, sf_dir):
-    return language_model.scored(table(spark, sf_dir, "documents"))
+    return language_model.scored(table(spark, sf_dir, "documents"), least=1)
 
 
 QUERIES = {f.__name__: f for f in (

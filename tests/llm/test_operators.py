@@ -276,6 +276,27 @@ def test_language_model_against_counting(spark, docs, no_docs):
     assert language_model.scored(no_docs).count() == 0
 
 
+def test_language_model_query_keeps_pairs_seen_once(spark, sf_dir):
+    got = {r.doc_id: r.score for r in queries.op10_language_model(spark, sf_dir).collect()}
+    rows = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    tokens = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), None] for r in rows}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in train for w in t)
+    pairs = Counter(p for t in train for p in zip(["<b>", *t[:-1]], t))
+    n, v, total = sum(count.values()), len(count), {**count, "<b>": len(train)}
+    back = Counter()
+    for (a, _), c in pairs.items():
+        back[a] += (c - 0.75) / total[a]
+    assert sum(c == 1 for c in pairs.values()) > len(pairs) / 2 and len(got) == len(rows)
+    for i, t in tokens.items():
+        wanted = 0.0
+        for a, w in zip(["<b>", *t[:-1]], t):
+            alone = (count[w] + 1) / (n + v + 1)
+            share = (pairs[a, w] - 0.75) / total[a] if (a, w) in pairs else 0.0
+            wanted += np.log10(share + max(1 - back[a], 1e-9) * alone)
+        assert abs(got[i] - wanted) < 1e-3 * len(t), i
+
+
 def test_coded_sequences():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 0), (7, 3), (2000, 1 << 62), (3000, 3000)):
