@@ -5,7 +5,8 @@ Three forms with the same answer, chosen by how many boxes there are:
 * a handful of boxes become one expression over the row (no join, no shuffle);
 * a box table of checked size becomes broadcast candidate lists per grid cell,
   so each point is looked up once per grid level and is never shuffled;
-* a larger box table is joined by grid cell and the best match kept per point.
+* a larger box table has the same lists, joined by a shuffle on the cell, with the
+  points of busy cells spread over tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from signalgrid.dims import Box
 from signalgrid.functions.geometry import boxes_holding, cell, first_box, inside
+from signalgrid.session import local_table
 
 INLINE_BOXES = 64
 BROADCAST_ZONES = 20_000
@@ -26,6 +28,9 @@ WORLD = 360.0
 FINEST_LEVEL = 14
 CELLS_PER_EXTENT = 2  # in powers of two: a zone is at most four cells wide
 CELL = ["level", "cell_x", "cell_y"]
+BUSY_POINTS = 1_000_000  # a cell with more points is split over SALTS tasks
+BUSY_CELLS = 1_000
+SALTS = 32
 
 
 def clip_to_theaters(points: DataFrame, theaters: Sequence[Box]) -> DataFrame:
@@ -87,14 +92,14 @@ def contenders(cells: DataFrame) -> DataFrame:
 def attribute_zone_table(
     points: DataFrame,
     zones: DataFrame,
-    key: str,
+    key: str | None = None,
     out: str = "code",
     broadcast_zones: int = BROADCAST_ZONES,
 ) -> DataFrame:
     """First-match attribution against a table of zones of any size.
 
-    ``zones`` has code, priority, west, south, east and north; ``key`` is unique
-    per point and is needed only when the zone table is too large to broadcast.
+    ``zones`` has code, priority, west, south, east and north. ``key`` only helps to
+    spread equal places over tasks; it may be null or shared without a change of result.
     """
     zones = _proper(zones)
     grid = _measure(zones)
@@ -104,13 +109,9 @@ def attribute_zone_table(
     cells = contenders(cells)
     if grid.zones <= broadcast_zones:
         return _by_candidate_lists(points, cells, levels, out)
-    best = (
-        _pairs(points.select(key, "lon", "lat"), cells, levels)
-        .groupBy(key).agg(F.min(F.struct("priority", "zone")).alias("_best"))
-    )
-    return points.join(best, key, "left").select(
-        *points.columns, F.col("_best.zone").alias(out)
-    )
+    busy = _busy_cells(points, levels)
+    spread = F.xxhash64(*([key] if key else []), "lon", "lat")
+    return _by_candidate_lists(points, cells, levels, out, busy, spread)
 
 
 def match_zone_table(points: DataFrame, zones: DataFrame) -> DataFrame:
@@ -187,22 +188,50 @@ def _zone_key():
     return _cell_key(F.col("level").cast("bigint"), F.col("cell_x"), F.col("cell_y"))
 
 
-def _by_candidate_lists(points, cells, levels, out):
+def _busy_cells(points: DataFrame, levels: list[int]) -> DataFrame:
+    """Keys of the cells with more than BUSY_POINTS points, the BUSY_CELLS fullest at most.
+
+    Collected, so that points and zones are spread by the same list.
+    """
+    keys = points.select(F.explode(F.array(*[_point_key(level) for level in levels])).alias("_key"))
+    full = keys.filter(F.col("_key").isNotNull()).groupBy("_key").count().filter(
+        F.col("count") > BUSY_POINTS)
+    rows = full.orderBy(F.desc("count"), "_key").limit(BUSY_CELLS).collect()
+    return local_table(points.sparkSession, [(r["_key"], True) for r in rows], "_key bigint, _busy boolean")
+
+
+def _by_candidate_lists(points, cells, levels, out, busy=None, spread=None):
+    """Look each point's cells up in the cells' zones, level by level, in one left join each.
+
+    Without ``busy`` the lists are broadcast.  With it they are shuffled; points of busy
+    cells, and of none, go by ``spread`` to one of SALTS copies of the list.
+    """
     zone = F.struct("priority", "code", "west", "south", "east", "north")
-    # The same side serves every level, so it is computed and broadcast once.
-    side = F.broadcast(
-        cells.groupBy(_zone_key().alias("_key")).agg(
-            F.sort_array(F.collect_list(zone)).alias("_zones"))
-    )
+    # The same side serves every level, so it is computed and broadcast or shuffled once.
+    side = cells.groupBy(_zone_key().alias("_key")).agg(
+        F.sort_array(F.collect_list(zone)).alias("_zones"))
+    if busy is None:
+        side, on = F.broadcast(side), ["_key"]
+    else:
+        busy, on = F.broadcast(busy), ["_key", "_salt"]
+        copies = F.when(F.col("_busy"), F.lit(SALTS)).otherwise(F.lit(1))
+        side = side.join(busy, "_key", "left").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_busy")
+    first = F.try_element_at(F.filter("_zones", lambda z: inside(
+        F.col("lon"), F.col("lat"), z["west"], z["south"], z["east"], z["north"])), F.lit(1))
+    match = F.when(first.isNotNull(), F.struct(
+        first["priority"].alias("priority"), first["code"].alias("code")))
     columns, matches = points.columns, []
     for level in levels:
-        name = f"_zones_{level}"
-        points = points.withColumn("_key", _point_key(level)).join(side, "_key", "left")
-        points = points.withColumnRenamed("_zones", name).drop("_key")
-        first = F.try_element_at(F.filter(name, lambda z: inside(
-            F.col("lon"), F.col("lat"), z["west"], z["south"], z["east"], z["north"])), F.lit(1))
-        matches.append(F.when(first.isNotNull(), F.struct(
-            first["priority"].alias("priority"), first["code"].alias("code"))))
+        name = f"_match_{level}"
+        points = points.withColumn("_key", _point_key(level))
+        if busy is not None:
+            apart = F.coalesce("_busy", F.col("_key").isNull())
+            points = points.join(busy, "_key", "left").withColumn(
+                "_salt", F.when(apart, F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+        points = points.join(side, on, "left").withColumn(name, match)
+        points = points.select(*columns, *matches, name)
+        matches.append(name)
     best = F.array_min(F.array(*matches))
     return points.select(*columns, best["code"].alias(out))
 

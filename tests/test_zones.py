@@ -45,6 +45,22 @@ def test_zone_table_equals_brute_force(spark, monkeypatch, broadcast_zones, cell
     assert len(set(got.values())) > 50
 
 
+@pytest.mark.parametrize("broadcast_zones", [50_000, 0])
+@pytest.mark.parametrize("busy", [20, 1_000_000])
+def test_zone_table_needs_no_key(spark, monkeypatch, broadcast_zones, busy):
+    monkeypatch.setattr(zones, "BUSY_POINTS", busy, raising=False)
+    points, table = random_points(spark), random_zones(spark)
+    odd = spark.range(3).select(  # off the globe, not a number, and without a place
+        (F.col("id") + 4000).alias("id"),
+        F.element_at(F.array(F.lit(1e9), F.lit(float("nan")), F.lit(None).cast("double")),
+                     (F.col("id") + 1).cast("int")).alias("lon"), F.lit(1.0).alias("lat"))
+    wanted = {**brute_force(points.collect(), table.collect()), 4000: None, 4001: None, 4002: None}
+    keyed = points.union(odd).withColumn("key", F.when(F.col("id") % 2 == 0, F.col("id") % 10))
+    found = zones.attribute_zone_table(keyed, table, "key", broadcast_zones=broadcast_zones)
+    rows = found.collect()
+    assert len(rows) == len(wanted) and {r.id: r.code for r in rows} == wanted
+
+
 def test_all_matches_equal_brute_force(spark):
     points, table = random_points(spark, 800), random_zones(spark, 120)
     boxes = table.collect()
