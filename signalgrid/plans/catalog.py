@@ -559,7 +559,8 @@ def landing_ids(spark, sf_dir):
     folder = work_folder(spark, "bodies")
     remove_at_exit(spark, folder)
     halves = _geo_bodies(spark, sf_dir).select("body", F.pmod("origin", F.lit(2)).alias("half"))
-    halves.repartition(2, "body").write.partitionBy("half").text(folder)
+    # Each task writes a file of the same name for either half.
+    halves.write.partitionBy("half").text(folder)
     bodies = landing.read_bodies(spark, folder, per_file=False)
     rows = feeds.geo_signals(_documents(bodies, GEO_DOCUMENT))
     return rows.agg(F.count("*").alias("signals"), F.countDistinct("id").alias("ids"))

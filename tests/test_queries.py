@@ -26,6 +26,16 @@ def plan(frame, capsys):
     return capsys.readouterr().out
 
 
+def test_landing_ids_write_in_the_input_partitions(spark, sf_dir, monkeypatch, tmp_path):
+    bodies = catalog._geo_bodies
+    monkeypatch.setattr(catalog, "_geo_bodies", lambda *args: bodies(*args).repartition(8, "body"))
+    monkeypatch.setattr(catalog, "work_folder", lambda *args: str(tmp_path / "bodies"))
+    row = catalog.landing_ids(spark, sf_dir).first()
+    names = [{f.name for f in (tmp_path / "bodies" / f"half={h}").glob("part-*")} for h in (0, 1)]
+    assert row.signals == row.ids > 0
+    assert len(names[0] | names[1]) > 2 and names[0] & names[1]
+
+
 ROW_WISE = ["severity_share", "severity_log", "bbox_clip", "geofence", "keyword_attribution",
             "url_domain", "compact_ts", "tone_gauge", "domain_check", "lookback"]
 
