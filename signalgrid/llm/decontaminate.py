@@ -60,7 +60,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
        near to each of their blocks, which finds every such pair.
     3. Pairs within 15 bits are verified by their exact similarity.
 
-    A window just at 0.75 lies further than 15 bits away about once in 1,000; near copies lie within 8.
+    A window just at 0.75 may lie further than 15 bits away, most often if both ends of the item are
+    rewritten: the README has the shares. Near copies lie within 8.
     Null or wordless texts and items match nothing. Repeated rows of a document or item give
     their row once; null ids are kept. ``text_key`` is xxhash64(doc_id, text), which tells apart
     documents that share an id. Other columns are ignored.
