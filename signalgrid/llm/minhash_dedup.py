@@ -241,7 +241,7 @@ def _links(reps: DataFrame, documents: DataFrame) -> DataFrame:
         normal = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = stored(more.join(normal, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
-            break
+            continue  # all closest pairs may have been asked and refused, others not
         asked = asked.union(more)
         links = links.union(stored(_confirmed(more, documents), "links"))
     return links

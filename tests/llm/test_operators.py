@@ -276,6 +276,21 @@ def test_language_model_against_counting(spark, docs, no_docs):
     assert language_model.scored(no_docs).count() == 0
 
 
+def test_pairs_behind_a_refused_closest_pair_are_asked(spark):
+    word = [f"w{i}" for i in range(130)]
+    # 1 - 2 - 4 - 3 are a chain of neighbours at 0.81; sketches put the far ends 1 and 3 closest.
+    texts = {1: word[:100], 2: word[10:110], 4: word[20:120], 3: word[30:130], 9: ["x"] * 100}
+    sketch = {1: [0] * 16, 2: [1] + [0] * 15, 4: [2] + [0] * 15, 3: [0] * 16, 9: [-1] * 16}
+    buckets = {10: [1, 3], 11: [1, 2], 12: [3, 4], 13: [1, 2, 3, 4, 9], **{k: [9] + [100 + k] for k in range(20, 30)}}
+    for k in range(20, 30):  # others that make 9 the hub of bucket 13
+        texts[100 + k], sketch[100 + k] = [f"y{k}"] * 100, [(1 << 62) - 1 - k if j % 2 else k for j in range(16)]
+    rows = [(i, 96, [k for k, m in buckets.items() if i in m], sketch[i]) for i in texts]
+    reps = spark.createDataFrame(rows, "rep long, n long, bands array<long>, sketch array<long>")
+    documents = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in minhash_dedup._links(reps, documents).collect()}
+    assert {(1, 2), (3, 4), (2, 4)} <= links and (1, 3) not in links
+
+
 def test_language_model_query_keeps_pairs_seen_once(spark, sf_dir):
     got = {r.doc_id: r.score for r in queries.op10_language_model(spark, sf_dir).collect()}
     rows = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
