@@ -104,7 +104,96 @@ SELECT w.doc_id, len(any_value(w.w))::BIGINT AS n_words, count(*) FILTER (f.base
 FROM w LEFT JOIN f ON f.key = w.key GROUP BY w.key, w.doc_id
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS turn FROM documents
+), o AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING
+    AND 1 PRECEDING), 0)::BIGINT AS done FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0, 2.0, 1.0][kind + 1]::DOUBLE AS area, [7.5, 2.0, 0.5][kind + 1]::DOUBLE AS w0,
+         [-5.0, 0.0, 1.0][kind + 1]::DOUBLE AS slope FROM s
+), f AS (
+  SELECT *, 2 * source_size / area AS fills_at, 1.5::DOUBLE * sum(source_size) OVER () AS budget, sum(area) OVER () AS weight,
+         coalesce(sum(2 * source_size) OVER p, 0) AS limits, coalesce(sum(area) OVER p, 0) AS areas
+  FROM w WINDOW p AS (ORDER BY 2 * source_size / area, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT max((budget - limits) / (weight - areas)) AS level FROM f WHERE (budget - limits) / (weight - areas) < fills_at
+), t AS (
+  SELECT f.*, CASE WHEN level IS NULL THEN 2 * source_size ELSE least(2 * source_size, area * level) END::DOUBLE AS target FROM f, l
+), c AS (
+  SELECT o.*, t.source_size, t.target, t.area, t.w0, t.slope, floor(t.target + 0.5)::BIGINT AS quota
+  FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+), x AS (
+  SELECT *, greatest(0, least(size, quota - done)) AS first, greatest(0, least(size, quota - done - source_size)) AS again,
+         CASE WHEN target > 0 THEN done / target * area END AS u, CASE WHEN target > 0 THEN (done + source_size) / target * area END AS v
+  FROM c
+), y AS (
+  SELECT *, CASE WHEN u > 0 THEN 2.0::DOUBLE * u / (w0 + sqrt(greatest(0, w0 * w0 + 2.0::DOUBLE * slope * u))) ELSE 0 END AS p,
+         CASE WHEN v > 0 THEN 2.0::DOUBLE * v / (w0 + sqrt(greatest(0, w0 * w0 + 2.0::DOUBLE * slope * v))) ELSE 0 END AS q FROM x
+)
+SELECT doc_id, source, size, source_size, target, (first + again)::BIGINT AS taken,
+       CASE WHEN first > 0 THEN p WHEN again > 0 THEN q END::DOUBLE AS position,
+       CASE WHEN first > 0 AND again > 0 THEN q END::DOUBLE AS position_again
+FROM y
+"""
+
+OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), r AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS r FROM d),
+c AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 90
+    THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b FROM r
+), p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+# SQL has no crc32: the table of its 256 remainders is worked out bit by bit, then a word's bytes go through it.
+OP13 = """
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS rest
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), own AS (SELECT id, run, count(*) AS k FROM runs GROUP BY ALL),
+drawn AS (
+  SELECT run, k, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'),
+    lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, rest[xor(c, x) % 256 + 1])), 4294967295) AS h
+  FROM own, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k
+  FROM drawn
+), v AS (SELECT word, sum(k)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, v.word, v.n FROM cut a JOIN v ON a.rest = v.word
+  UNION SELECT v.word, v.n, a.word, a.n FROM cut a JOIN v ON a.rest = v.word
+), best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY ALL),
+form AS (SELECT word, other AS form, m AS form_n FROM best WHERE m >= 10 * n),
+walk AS (
+  SELECT word, form AS root, 1 AS steps FROM form
+  UNION ALL SELECT w.word, f.form, steps + 1 FROM walk w JOIN form f ON f.word = w.root
+), ends AS (SELECT word, arg_max(root, steps) AS root FROM walk GROUP BY word)
+SELECT v.word, f.form, coalesce(e.root, v.word) AS root, v.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM v LEFT JOIN best b USING (word) LEFT JOIN form f USING (word) LEFT JOIN ends e USING (word)
+"""
+
 ORACLE = {
     "op1_embedding_dedup": OP1, "op3_chat_formatting": OP3, "op5_warc": OP5, "op6_minhash_dedup": OP6,
-    "op9_license_scan": OP9,
+    "op9_license_scan": OP9, "op11_source_mixing": OP11, "op12_fill_in_middle": OP12, "op13_spelling_variants": OP13,
 }

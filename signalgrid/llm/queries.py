@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from signalgrid.llm import (
-    chat, decontaminate, embedding_dedup, language_model, license_scan, minhash_dedup, packing, quality,
-    token_counts, warc,
+    chat, curriculum, decontaminate, embedding_dedup, fill_in_middle, language_model, license_scan, minhash_dedup,
+    packing, quality, spelling, token_counts, warc,
 )
 from signalgrid.llm.common import table
 
@@ -57,6 +59,28 @@ def op10_language_model(spark, sf_dir):
     return language_model.scored(table(spark, sf_dir, "documents"), least=1)
 
 
+def op11_source_mixing(spark, sf_dir):
+    mix = curriculum.mixed(table(spark, sf_dir, "documents"))
+    first, again = (F.get(F.col("copies"), F.lit(i))["position"] for i in (0, 1))
+    rows = mix.select("doc_id", "source", "size", "source_size", "target", "taken",
+                      first.alias("position"), again.alias("position_again"))
+    order = [F.asc_nulls_last("position"), "source", "doc_id"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_quality_classifier, op3_chat_formatting, op4_token_counts, op5_warc,
-    op6_minhash_dedup, op7_packing, op8_decontamination, op9_license_scan, op10_language_model)}
+    op6_minhash_dedup, op7_packing, op8_decontamination, op9_license_scan, op10_language_model,
+    op11_source_mixing, op12_fill_in_middle, op13_spelling_variants)}
