@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from signalgrid import dims, fixed_values as fv
-from signalgrid.functions.clock import moment, within_days
+from signalgrid.functions.clock import moment, since_date, within_days
 from signalgrid.operators.freshness import feed_state
 from signalgrid.operators.merge import seed_signals
+from signalgrid.operators.ranking import top_k_per_group
 from signalgrid.operators.timeline import timeline
 from signalgrid.plans import payloads
 
@@ -33,6 +34,22 @@ def _until(df: DataFrame, stamp: str, as_of: str) -> DataFrame:
     return df.filter(~F.coalesce(F.col(stamp) > moment(as_of), F.lit(False)))
 
 
+def _recent(signals: DataFrame, as_of: str) -> DataFrame:
+    """Signals inside their source's look-back, and of conflict records the newest per subject.
+
+    Density features count for a day; conflict records by their day for two weeks, up to the cap.
+    """
+    known = _until(signals, "observed_at", as_of)
+    at, conflict = F.col("observed_at"), F.col("source") == fv.SOURCE_CONFLICT
+    inside = F.when(conflict, since_date(at, as_of, fv.CONFLICT_LOOKBACK_DAYS)).otherwise(
+        within_days(at, as_of, fv.EVENT_LOOKBACK_DAYS))
+    recent = known.filter(F.coalesce(inside, F.lit(True)))
+    capped = top_k_per_group(
+        recent.filter(conflict), ["theater", "nation"], [F.desc_nulls_last("observed_at"), F.asc("pos"), F.asc("id")],
+        fv.CONFLICT_CAP, spread=["id"]).drop("rank")
+    return recent.filter(~F.coalesce(conflict, F.lit(False))).unionByName(capped)
+
+
 def _theater(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("theater") == name)
 
@@ -42,8 +59,8 @@ def events(signals: DataFrame, log: DataFrame, as_of: str, theater: str | None =
     name = dims.resolve_theater(theater)
     spark = signals.sparkSession
     theaters = _theater(dims.dim_theater(spark), name)
-    known = _until(_theater(signals, name), "observed_at", as_of)
-    picture = payloads.events_picture(known, seed_signals(spark), theaters)
+    recent = _recent(_theater(signals, name), as_of)
+    picture = payloads.events_picture(recent, seed_signals(spark), theaters)
     return payloads.events_payload(
         picture, theaters, dims.dim_subject(spark), _theater(dims.theater_subject(spark), name),
         fetch_status(log, "events", name, "theater", as_of, "degraded"), moment(as_of))
@@ -67,7 +84,7 @@ def situation(
     spark = reports.sparkSession
     members = _theater(dims.theater_subject(spark), name)
     return payloads.items_payload(
-        payloads.situation_items(reports, members), _theater(dims.dim_theater(spark), name),
+        payloads.situation_items(_until(reports, "seen", as_of), members), _theater(dims.dim_theater(spark), name),
         fetch_status(log, "situation", name, "theater", as_of), moment(as_of),
         fv.NOTE_SITUATION)
 

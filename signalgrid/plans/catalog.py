@@ -10,7 +10,7 @@ from signalgrid import dims, fixed_values as fv
 from signalgrid.dims import SUBJECT_BOXES, THEATER_BOXES, Box, Keywords
 from signalgrid.functions import clock, display, scoring, text
 from signalgrid.operators import (
-    arcs, freshness, heat, keyed, keywords, merge, pressure, ranking, timeline, zones,
+    arcs, arguments, freshness, heat, keyed, keywords, merge, pressure, ranking, timeline, zones,
 )
 from signalgrid.plans import payloads
 from signalgrid.plans.bindings import (
@@ -672,25 +672,37 @@ def boundary_subset(spark, sf_dir):
         F.variant_get("geometry", "$.coordinates[0][0]", "double").alias("lon"))
 
 
+def resolved_requests(spark, sf_dir):
+    """Events as questions, with known, unknown and missing arguments."""
+    theaters = F.array(*[F.lit(x) for x in ("middle-east", "eastern-europe", "global", "atlantis", None)])
+    subjects = F.array(*[F.lit(x) for x in ("IR", "IL", "UA", "RU", "XX", "ir", None)])
+    asked = table(spark, sf_dir, "events").select(
+        "event_id", F.element_at(theaters, (F.pmod("event_id", F.lit(5)) + 1).cast("int")).alias("theater"),
+        F.element_at(subjects, (F.pmod("event_id", F.lit(7)) + 1).cast("int")).alias("subject"))
+    return arguments.resolve_requests(asked, "theater", "subject").select(
+        "event_id", "theater_id", "theater_label", "subject_name", "refused")
+
+
 # --- Answers -----------------------------------------------------------------
 
-def _theater_status(spark, sf_dir):
-    """Theaters keep a log too: some event types belong to one theater, the others are dealt out."""
-    theaters = dims.dim_theater(spark)
-    dealt = F.element_at(
-        F.array(*[F.lit(r[0]) for r in fv.THEATERS]),
-        (F.pmod("event_id", F.lit(len(fv.THEATERS))) + 1).cast("int"))
-    feeds_of = F.try_element_at(
+def _theater_status(spark, sf_dir, kind: str = "events", otherwise: str = "degraded"):
+    """Fetches of theaters from three event types: fresh ones, old ones, and failures alone."""
+    theater = F.try_element_at(
         F.create_map(*[F.lit(v) for v in (
             "click", "middle-east", "view", "eastern-europe", "purchase", "global")]),
         F.col("event_type"))
+    at = F.when(F.col("event_type") == "click", _before_as_of(F.pmod("event_id", F.lit(40)))).otherwise(F.col("ts"))
     log = event_points(spark, sf_dir).select(
-        F.coalesce(feeds_of, dealt).alias("theater"), "event_id", "ts",
-        F.col("count").alias("n_rows"), (F.col("event_type") != "error").alias("ok"))
+        theater.alias("theater"), "event_id", at.alias("ts"),
+        F.col("count").alias("n_rows"), (F.col("event_type") != "purchase").alias("ok"))
     state = freshness.feed_state(
-        log, ["theater"], "ts", F.col("ok"), "n_rows", clock.moment(AS_OF, NTZ),
-        fv.TTL_SECONDS["events"], ties=["event_id"], otherwise="degraded")
-    return theaters.select("theater").join(state.select("theater", "status"), "theater", "left")
+        log.filter(F.col("theater").isNotNull()), ["theater"], "ts", F.col("ok"), "n_rows", clock.moment(AS_OF, NTZ),
+        fv.TTL_SECONDS[kind], ties=["event_id"], otherwise=otherwise)
+    return dims.dim_theater(spark).select("theater").join(state.select("theater", "status"), "theater", "left")
+
+
+def _before_as_of(seconds):
+    return clock.moment(AS_OF, NTZ) - F.make_dt_interval(secs=seconds.cast("int"))
 
 
 def _events_answer(spark, sf_dir):
@@ -703,24 +715,24 @@ def _events_answer(spark, sf_dir):
         _theater_status(spark, sf_dir), clock.moment(AS_OF, NTZ))
 
 
+def answer_parts(answer: DataFrame) -> DataFrame:
+    """One row per event, arc and subject of each theater's answer, exploded once."""
+    def part(kind: str, column: str, key: str, value: str, word: str):
+        return F.transform(F.coalesce(column, F.array()), lambda x, i: F.struct(
+            F.lit(kind).alias("part"), i.cast("bigint").alias("pos"), x[key].alias("key"),
+            F.round(x[value], 6).alias("value"), x[word].alias("word")))
+
+    parts = F.concat(part("event", "events", "id", "severity", "nation"),
+                     part("arc", "arcs", "arc_id", "intensity", "label"),
+                     part("nation", "nations", "code", "score", "threat"))
+    return answer.select(
+        "theater", "status", clock.iso_text(F.col("updated_at")).alias("updated_at"), F.explode(parts).alias("p")
+    ).select("theater", "status", "updated_at", "p.*")
+
+
 def payload_events(spark, sf_dir):
     """The events answer, one row per event, arc and subject in it."""
-    answer = _events_answer(spark, sf_dir)
-    base = ["theater", "status", clock.iso_text(F.col("updated_at")).alias("updated_at")]
-    event = answer.select(*base, F.posexplode("events").alias("pos", "e")).select(
-        "theater", "status", "updated_at", F.lit("event").alias("part"), "pos",
-        F.col("e.id").alias("key"), F.round("e.severity", 6).alias("value"),
-        F.col("e.nation").alias("word"))
-    arc = answer.select(*base, F.posexplode("arcs").alias("pos", "a")).select(
-        "theater", "status", "updated_at", F.lit("arc").alias("part"), "pos",
-        F.col("a.arc_id").alias("key"), F.round("a.intensity", 6).alias("value"),
-        F.col("a.label").alias("word"))
-    nation = answer.select(*base, F.posexplode("nations").alias("pos", "n")).select(
-        "theater", "status", "updated_at", F.lit("nation").alias("part"), "pos",
-        F.col("n.code").alias("key"), F.round("n.score", 6).alias("value"),
-        F.col("n.threat").alias("word"))
-    rows = merge.union_sources(event, arc, nation)
-    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+    return answer_parts(_events_answer(spark, sf_dir))
 
 
 def payload_sink(spark, sf_dir):
@@ -742,7 +754,7 @@ def payload_feed(spark, sf_dir):
     known = document_items(spark, sf_dir).filter(F.col("seen") <= clock.moment(AS_OF, NTZ))
     items = payloads.feed_items(known, ROUTES, WORD_LISTS)
     answer = payloads.items_payload(
-        items, dims.dim_theater(spark), _theater_status(spark, sf_dir),
+        items, dims.dim_theater(spark), _theater_status(spark, sf_dir, "feed", "offline"),
         clock.moment(AS_OF, NTZ), fv.NOTE_FEED)
     return answer.select("theater", "status", F.posexplode("items").alias("pos", "i")).select(
         "theater", "status", F.col("pos").cast("bigint").alias("pos"), F.col("i.id").alias("id"),
@@ -755,8 +767,17 @@ def payload_situation(spark, sf_dir):
     items = _situation(spark, sf_dir).select(
         "theater", "rank", "id", "nation", "seen",
         *[F.lit(None).cast("string").alias(c) for c in ("title", "url", "domain", "country")])
-    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("theater"))
-    status = regions.select("theater", F.lit("ok").alias("status"))
+    regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("theater"))
+    # Events are dealt to four regions: fresh, old, failing and empty fetches; a fifth has none.
+    dealt = F.pmod("event_id", F.lit(4)).cast("int")
+    log = event_points(spark, sf_dir).select(
+        dealt.alias("r_regionkey"), "event_id", (dealt != 2).alias("ok"),
+        _before_as_of(F.when(dealt == 1, 400).otherwise(0) + F.pmod("event_id", F.lit(250))).alias("at"),
+        F.when(dealt == 3, F.lit(0)).otherwise(1 + F.abs("count")).alias("n_rows"))
+    state = freshness.feed_state(
+        log, ["r_regionkey"], "at", F.col("ok"), "n_rows", clock.moment(AS_OF, NTZ),
+        fv.TTL_SECONDS["situation"], ties=["event_id"])
+    status = regions.join(state, "r_regionkey", "left").select("theater", "status")
     answer = payloads.items_payload(
         items, regions, status, clock.moment(AS_OF, NTZ), fv.NOTE_SITUATION)
     return answer.select("theater", "status", F.posexplode("items").alias("pos", "i")).select(
@@ -775,9 +796,12 @@ def payload_pulse(spark, sf_dir):
         F.explode(F.create_map(F.lit("volume"), F.col("volume"), F.lit("tone"), F.col("tone")))
         .alias("metric", "v"))
     subjects = daily.select("subject").distinct()
+    # Fetches of a subject: fresh ones, failures alone, and old ones.
+    kind = F.col("event_type")
+    at = F.when(kind == "click", _before_as_of(F.pmod("event_id", F.lit(100)))).otherwise(F.col("ts"))
     log = event_points(spark, sf_dir).select(
-        F.col("event_type").alias("subject"), "event_id", "ts", F.col("count").alias("n_rows"),
-        F.lit(True).alias("ok"))
+        kind.alias("subject"), "event_id", at.alias("ts"), F.col("count").alias("n_rows"),
+        (kind != "error").alias("ok"))
     status = freshness.feed_state(
         log, ["subject"], "ts", F.col("ok"), "n_rows", clock.moment(AS_OF, NTZ),
         fv.TTL_SECONDS["pulse"], ties=["event_id"]).select("subject", "status")
@@ -808,7 +832,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         insert_if_absent, domain_check,
         stream_signals, stream_volume, stream_fetch_state, stream_landing,
         geo_scan, landing_ids, conflict_scan, article_scan, report_scan, timeline_scan,
-        quarantine, boundary_subset,
+        quarantine, boundary_subset, resolved_requests,
         payload_events, payload_sink, payload_feed, payload_situation, payload_pulse,
     )
 }

@@ -146,21 +146,24 @@ b AS (
 
 ITEMS = """items AS (
   SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, text AS title, source AS domain,
-         lang AS country, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS seen
+         lang AS country, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id % 64800) AS seen
   FROM documents)"""
 
+# Fetches of theaters: fresh ones, old ones, and one theater whose fetches all fail.
 THEATER_STATE = f"""theater_log AS (
-  SELECT CASE event_type WHEN 'click' THEN 'middle-east' WHEN 'view' THEN 'eastern-europe'
-              WHEN 'purchase' THEN 'global' ELSE (CASE event_id % 3 WHEN 0 THEN 'middle-east'
-              WHEN 1 THEN 'eastern-europe' ELSE 'global' END) END AS theater,
-         ts, event_id, CAST(trunc(value) AS BIGINT) AS n
-  FROM events WHERE event_type <> 'error' AND ts <= {AS_OF}),
+  SELECT CASE event_type WHEN 'click' THEN 'middle-east' WHEN 'view' THEN 'eastern-europe' ELSE 'global' END AS theater,
+         CASE WHEN event_type = 'click' THEN {AS_OF} - to_seconds(event_id % 40) ELSE ts END AS ts, event_id,
+         CAST(trunc(value) AS BIGINT) AS n
+  FROM events WHERE event_type IN ('click', 'view')),
 theater_last AS (
   SELECT theater, ts, n FROM (SELECT *, row_number() OVER (
-    PARTITION BY theater ORDER BY ts DESC, event_id DESC) AS rn FROM theater_log) WHERE rn = 1),
+    PARTITION BY theater ORDER BY ts DESC, event_id DESC) AS rn FROM theater_log WHERE ts <= {AS_OF}) WHERE rn = 1),
 theater_state AS (
-  SELECT theater, CASE WHEN n > 0 AND {AS_OF} <= ts + INTERVAL 60 SECOND THEN 'ok'
-                       ELSE 'degraded' END AS status FROM theater_last)"""
+  SELECT d.theater, CASE WHEN n > 0 AND {AS_OF} <= ts + INTERVAL {{ttl}} SECOND THEN 'ok'
+                         WHEN n > 0 THEN 'degraded' ELSE '{{otherwise}}' END AS status
+  FROM theater_dim d LEFT JOIN theater_last USING (theater))"""
+EVENTS_STATE = THEATER_STATE.format(ttl=60, otherwise="degraded")
+FEED_STATE = THEATER_STATE.format(ttl=45, otherwise="offline")
 
 HAVERSTEP = f"""WITH {HOT},
 v AS (
@@ -426,7 +429,17 @@ UNION ALL SELECT 'doc-' || doc_id, CASE WHEN NOT regexp_matches(text, '\\S') THE
     "boundary_subset": """SELECT n_name AS code, s_name AS name, 'LineString' AS kind,
   CAST(s_suppkey AS DOUBLE) AS lon
 FROM supplier JOIN nation ON s_suppkey = n_nationkey""",
-    "payload_events": f"""WITH {KNOWN}, {THEATER_STATE},
+    "resolved_requests": f"""WITH r AS (
+  SELECT event_id, ['middle-east', 'eastern-europe', 'global', 'atlantis', NULL][event_id % 5 + 1] AS theater,
+    ['IR', 'IL', 'UA', 'RU', 'XX', 'ir', NULL][event_id % 7 + 1] AS subject FROM events),
+t(theater_id, theater_label) AS (VALUES ('middle-east', 'MIDDLE EAST // IRAN — ISRAEL'),
+  ('eastern-europe', 'EASTERN EUROPE // RUSSIA — UKRAINE'), ('global', 'GLOBAL THEATER // ALL FRONTS')),
+{SUBJ}
+SELECT event_id, t.theater_id, theater_label, s.name AS subject_name,
+  CASE WHEN s.name IS NULL THEN 'unknown subject' END AS refused
+FROM r JOIN t ON t.theater_id = CASE WHEN theater IN ('middle-east', 'eastern-europe', 'global') THEN theater ELSE 'middle-east' END
+LEFT JOIN subj s ON s.code = subject""",
+    "payload_events": f"""WITH {KNOWN}, {EVENTS_STATE},
 top AS (SELECT * FROM ranked WHERE rank <= 250),
 hot AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theater, nation ORDER BY rank) AS rn
   FROM top WHERE nation IS NOT NULL) WHERE rn = 1),
@@ -451,13 +464,13 @@ rows_ AS (
 SELECT r.theater, coalesce(s.status, 'degraded') AS status, strftime({AS_OF}, {ISO}) AS updated_at,
   part, CAST(pos AS BIGINT) AS pos, key, round(value, 6) AS value, word
 FROM rows_ r LEFT JOIN theater_state s USING (theater)""",
-    "payload_sink": f"""WITH {KNOWN}, {THEATER_STATE}
+    "payload_sink": f"""WITH {KNOWN}, {EVENTS_STATE}
 SELECT r.theater, coalesce(any_value(s.status), 'degraded') AS status, count(*) AS events,
   CAST(CASE r.theater WHEN 'global' THEN 4 ELSE 2 END AS BIGINT) AS arcs,
   CAST(CASE r.theater WHEN 'global' THEN 4 ELSE 2 END AS BIGINT) AS nations,
   round(sum(severity), 6) AS severity_sum
 FROM ranked r LEFT JOIN theater_state s USING (theater) WHERE rank <= 250 GROUP BY r.theater""",
-    "payload_feed": f"""WITH {ITEMS}, {THEATER_STATE},
+    "payload_feed": f"""WITH {ITEMS}, {THEATER}, {FEED_STATE},
 routed AS (
   SELECT 'middle-east' AS theater, * FROM items WHERE regexp_matches(title, '(?i)\\b(der|la)\\b')
   UNION ALL SELECT 'eastern-europe', * FROM items WHERE regexp_matches(title, '(?i)\\b(the|que)\\b')
@@ -467,13 +480,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY theater ORDER BY seen DESC, id)
 SELECT r.theater, coalesce(s.status, 'degraded') AS status, rank - 1 AS pos, id, title,
   {WORDS.format(t="(country || ' ' || title)")} AS nation, strftime(seen, {ISO}) AS seen
 FROM r LEFT JOIN theater_state s USING (theater) WHERE rank <= 60""",
-    "payload_situation": f"""WITH {SITUATION}
-SELECT theater, 'ok' AS status, rank - 1 AS pos, id, nation FROM b WHERE rank <= 24""",
+    "payload_situation": f"""WITH {SITUATION},
+region_log AS (
+  SELECT event_id % 4 AS r_regionkey, event_id % 4 <> 2 AS ok, event_id,
+    {AS_OF} - to_seconds(CASE event_id % 4 WHEN 1 THEN 400 ELSE 0 END + event_id % 250) AS ts,
+    CASE WHEN event_id % 4 = 3 THEN 0 ELSE 1 + abs(CAST(trunc(value) AS BIGINT)) END AS n FROM events),
+region_last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY ts DESC, event_id DESC) AS rn
+  FROM region_log WHERE ok AND ts <= {AS_OF}) WHERE rn = 1),
+region_state AS (
+  SELECT r_name AS theater, CASE WHEN n > 0 AND {AS_OF} <= ts + INTERVAL 300 SECOND THEN 'ok'
+    WHEN n > 0 THEN 'degraded' WHEN r.r_regionkey < 4 THEN 'offline' ELSE 'degraded' END AS status
+  FROM region r LEFT JOIN region_last l ON l.r_regionkey = r.r_regionkey)
+SELECT theater, status, rank - 1 AS pos, id, nation FROM b JOIN region_state USING (theater) WHERE rank <= 24""",
     "payload_pulse": f"""WITH {DAILY.format(where=f"WHERE ts BETWEEN {AS_OF} - INTERVAL 14 DAY AND {AS_OF}")},
-last_log AS (SELECT event_type AS subject, ts, CAST(trunc(value) AS BIGINT) AS n, row_number() OVER (
-  PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts <= {AS_OF}),
+pulse_log AS (SELECT event_type AS subject, event_id, CAST(trunc(value) AS BIGINT) AS n,
+  CASE WHEN event_type = 'click' THEN {AS_OF} - to_seconds(event_id % 100) ELSE ts END AS ts FROM events),
+last_log AS (SELECT subject, ts, n, row_number() OVER (
+  PARTITION BY subject ORDER BY ts DESC, event_id DESC) AS rn FROM pulse_log WHERE ts <= {AS_OF} AND subject <> 'error'),
 state AS (SELECT subject, CASE WHEN n > 0 AND {AS_OF} <= ts + INTERVAL 120 SECOND THEN 'ok'
-  WHEN n > 0 THEN 'degraded' ELSE 'offline' END AS status FROM last_log WHERE rn = 1),
+  WHEN n > 0 THEN 'degraded' ELSE 'offline' END AS status
+  FROM (SELECT DISTINCT subject FROM pulse_log) LEFT JOIN (SELECT * FROM last_log WHERE rn = 1) USING (subject)),
 s AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS pos,
   last_value(tone) OVER (PARTITION BY subject ORDER BY t
     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tone_now FROM shared),

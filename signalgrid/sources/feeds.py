@@ -21,42 +21,58 @@ from signalgrid.functions.text import host_of, present
 DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def geo_entry(feature: Column) -> Column:
+    """A density feature as (lon, lat, name, told, toll, day); each path is read once."""
+    return F.struct(
+        F.try_variant_get(feature, "$.geometry.coordinates[0]", "double").alias("lon"),
+        F.try_variant_get(feature, "$.geometry.coordinates[1]", "double").alias("lat"),
+        F.coalesce(F.try_variant_get(feature, "$.properties.name", "string"), F.lit(fv.UNKNOWN_PLACE)).alias("name"),
+        number(F.try_variant_get(feature, "$.properties.count", "string")).alias("told"),
+        F.lit(None).cast("double").alias("toll"), F.lit(None).cast("date").alias("day"),
+    )
+
+
+def conflict_entry(record: Column, asked: Column) -> Column:
+    """A conflict record in the same shape; a toll that is no number counts as zero."""
+    told = number(record["fatalities"])
+    kind = F.coalesce(record["sub_event_type"], record["event_type"], F.lit(fv.UNKNOWN_EVENT))
+    return F.struct(
+        number(record["longitude"]).alias("lon"), number(record["latitude"]).alias("lat"),
+        F.concat_ws(" — ", kind, F.coalesce(record["location"], asked)).alias("name"),
+        F.lit(None).cast("double").alias("told"),
+        F.when(usable(told) & (told > 0), told).otherwise(F.lit(0.0)).alias("toll"),
+        record["event_date"].try_cast("date").alias("day"),
+    )
+
+
 def geo_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFrame:
     """Density features as signals; severity is relative to the document's peak.
 
     The peak is taken over all features, also those dropped here or clipped later.
     """
-    def told(feature: Column) -> Column:
-        return _number(F.try_variant_get(feature, "$.properties.count", "string"))
-
-    counts = F.transform("doc.features", told)
-    peak = F.coalesce(F.array_max(F.filter(counts, lambda c: c > 0)), F.lit(1.0))
-    # The peak is taken per document, before the features become rows.
-    peaked = docs.select("origin", peak.alias("peak"), F.col("doc.features").alias("features"))
-    features = peaked.select("origin", "peak", F.posexplode("features").alias("pos", "f"))
-    rows = features.select(
-        "origin", "pos", "peak",
-        F.try_variant_get("f", "$.geometry.coordinates[0]", "double").alias("lon"),
-        F.try_variant_get("f", "$.geometry.coordinates[1]", "double").alias("lat"),
-        F.coalesce(F.try_variant_get("f", "$.properties.name", "string"), F.lit(fv.UNKNOWN_PLACE)).alias("name"),
-        F.coalesce(told(F.col("f")), F.lit(0.0)).alias("count"),
-    ).filter(_usable("lon") & _usable("lat"))
+    # Exploding a one-element array keeps the reading in one place, before the peak and the rows.
+    read = docs.select("origin", F.explode(F.array(F.transform("doc.features", geo_entry))).alias("entries"))
+    counts = F.filter(F.transform("entries", lambda e: e["told"]), lambda c: c > 0)
+    rows = read.select(
+        "origin", F.coalesce(F.array_max(counts), F.lit(1.0)).alias("peak"),
+        F.posexplode("entries").alias("pos", "e"),
+    ).select("origin", "peak", "pos", "e.*").filter(usable(F.col("lon")) & usable(F.col("lat")))
+    count = F.coalesce("told", F.lit(0.0))
     return rows.select(
         signal_id(F.lit(fv.SOURCE_GEO), F.col("origin"), F.col("pos")).alias("id"),
         "origin", F.col("pos").cast("bigint").alias("pos"), "lat", "lon", "name",
-        F.col("count").try_cast("bigint").alias("count"),
+        count.try_cast("bigint").alias("count"),
         first_box(zones).alias("nation"),
-        severity_by_share(F.col("count"), F.col("peak")).alias("severity"),
+        severity_by_share(count, F.col("peak")).alias("severity"),
         F.lit(fv.SOURCE_GEO).alias("source"),
     )
 
 
-def _usable(name: str) -> Column:
-    value = F.col(name)
+def usable(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
-def _number(text: Column) -> Column:
+def number(text: Column) -> Column:
     """A decimal number, NULL for anything else, such as ``12d`` or a blank."""
     plain = F.trim(text)
     return F.when(plain.rlike(DECIMAL), plain.try_cast("double"))
@@ -69,22 +85,16 @@ def conflict_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> D
     coordinates are dropped; a toll that is no number counts as zero.
     """
     rows = docs.select("origin", "asked", F.posexplode("doc.data").alias("pos", "r")).select(
-        "origin", "asked", "pos", "r",
-        _number(F.col("r.latitude")).alias("lat"), _number(F.col("r.longitude")).alias("lon"),
-        _number(F.col("r.fatalities")).alias("told"),
-    ).filter(_usable("lat") & _usable("lon"))
-    toll = F.when(_usable("told") & (F.col("told") > 0), F.col("told")).otherwise(F.lit(0.0))
-    kind = F.coalesce("r.sub_event_type", "r.event_type", F.lit(fv.UNKNOWN_EVENT))
-    place = F.coalesce("r.location", "asked")
-    return rows.withColumn("toll", toll).select(
+        "origin", "pos", conflict_entry(F.col("r"), F.col("asked")).alias("e")
+    ).select("origin", "pos", "e.*").filter(usable(F.col("lat")) & usable(F.col("lon")))
+    return rows.select(
         signal_id(F.lit(fv.SOURCE_CONFLICT), F.col("origin"), F.col("pos")).alias("id"),
-        "origin", F.col("pos").cast("bigint").alias("pos"), "lat", "lon",
-        F.concat_ws(" — ", kind, place).alias("name"),
+        "origin", F.col("pos").cast("bigint").alias("pos"), "lat", "lon", "name",
         (1 + F.col("toll")).try_cast("bigint").alias("count"),
         first_box(zones).alias("nation"),
         severity_by_fatalities(F.col("toll")).alias("severity"),
         F.lit(fv.SOURCE_CONFLICT).alias("source"),
-        F.col("r.event_date").try_cast("date").alias("event_date"),
+        F.col("day").alias("event_date"),
     )
 
 
@@ -138,5 +148,5 @@ def timeline_points(docs: DataFrame, as_of: str) -> DataFrame:
     return points.select(
         "subject", "metric", F.col("pos").cast("bigint").alias("pos"),
         F.coalesce(stamp, moment(as_of)).alias("t"),
-        F.coalesce(_number(F.col("p.value")), F.lit(0.0)).alias("v"),
+        F.coalesce(number(F.col("p.value")), F.lit(0.0)).alias("v"),
     )

@@ -4,17 +4,19 @@ import pytest
 
 import __spark_entry__ as spark_entry
 from check_oracle import compare
-from signalgrid.plans import catalog
+from signalgrid.plans import catalog, feed_catalog
 
+ALL = [*catalog.QUERIES, *feed_catalog.QUERIES]
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+
+@pytest.mark.parametrize("name", ALL)
 def test_query_equals_sql(spark, sf_dir, name):
     good, note = compare(spark, sf_dir, name)
     assert good, note
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) <= set(spark_entry.oracle_sql())
+    assert set(ALL) <= set(spark_entry.oracle_sql())
 
 
 def test_entry(spark):
@@ -48,7 +50,7 @@ def test_row_wise_queries_do_not_shuffle(spark, sf_dir, capsys, name):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", ALL)
 def test_no_query_crosses_or_uses_python(spark, sf_dir, capsys, name):
     text = plan(spark_entry.queries()[name](spark, sf_dir), capsys)
     for banned in ("NestedLoop", "Cartesian", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):
