@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
-def moment(as_of: str, like: str = "timestamp") -> Column:
-    """A literal of type ``timestamp`` or ``timestamp_ntz``, folded at planning."""
+def moment(as_of: str | Column, like: str = "timestamp") -> Column:
+    """A moment as ``timestamp`` or ``timestamp_ntz``; text is folded at planning."""
     return F.lit(as_of).cast(like)
 
 

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from signalgrid.operators.asof import as_of_time
+
 
 def _age_limit(stamp: Column, seconds: int) -> Column:
     return stamp + F.expr(f"INTERVAL {int(seconds)} SECONDS")
@@ -87,6 +89,64 @@ def feed_state(
     )
 
 
+def success_spans(
+    log: DataFrame, keys: Sequence[str], at: str, good: Column, ttl_seconds: int
+) -> DataFrame:
+    """Per key and period of the ttl's length: first and last success, and the first fetch at all.
+
+    Successes of one period lie within the ttl of each other, so nothing is lost by keeping only the
+    ends, and a busy key shrinks to one row per period before any shuffle. Spans of parts of a log may
+    be put together in any way.
+    """
+    period = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (ttl_seconds * 1_000_000))
+    when = F.when(F.coalesce(good, F.lit(False)), F.col(at))
+    return log.filter(F.col(at).isNotNull()).groupBy(*keys, period.alias("_period")).agg(
+        F.min(when).alias("first_good"), F.max(when).alias("last_good"), F.min(at).alias("first_at")).drop("_period")
+
+
+def status_of_spans(
+    spans: DataFrame, keys: Sequence[str], ttl_seconds: int, until: Column, bucket: str = "day"
+) -> DataFrame:
+    """Intervals of ok, degraded and offline per key, without gap or overlap.
+
+    A key is ok from a success until the ttl after it, that moment included, and as long as successes follow
+    within it; then degraded, on its last good answer, until the next success; offline from its
+    first fetch to its first success. Intervals end at ``until``; what is later counts for nothing.
+    """
+    until = until.cast("timestamp")
+    cut = spans.filter(F.col("first_at") <= until)
+    good = cut.filter(F.col("first_good") <= until).withColumn(
+        "last_good", F.least("last_good", until)).withColumn("_start", F.col("first_good").cast("timestamp"))
+    # One session per unbroken run of successes; each span keeps its session open for the ttl after its end.
+    gap = F.concat((F.unix_micros(F.col("last_good").cast("timestamp")) - F.unix_micros("_start")
+                    + F.lit(ttl_seconds * 1_000_000)).cast("string"), F.lit(" microseconds"))
+    runs = good.groupBy(*keys, F.session_window("_start", gap).alias("_run")).agg(F.count("*").alias("_spans"))
+    runs = runs.select(*keys, F.col("_run.start").alias("start"), F.col("_run.end").alias("end"))
+    followed = as_of_time(runs, runs.select(*keys, F.col("start").alias("_next")), keys, "end", "_next", bucket, forward=True, out="next")
+    after = F.coalesce("next", until)
+    known = followed.select(*keys, F.explode(F.array(
+        F.struct(F.lit("ok").alias("status"), F.col("start").alias("since"), F.least("end", until).alias("till")),
+        F.struct(F.lit("degraded").alias("status"), F.col("end").alias("since"), after.alias("till")))).alias("i"))
+    begun = cut.groupBy(*keys).agg(
+        F.min(F.col("first_at").cast("timestamp")).alias("since"),
+        F.coalesce(F.min(F.when(F.col("first_good") <= until, F.col("first_good").cast("timestamp"))), until).alias("till"))
+    before = begun.select(*keys, F.struct(F.lit("offline").alias("status"), "since", "till").alias("i"))
+    # An interval without length is none, but for an answer that came at the very end.
+    real = (F.col("since") < F.col("till")) | ((F.col("status") == "ok") & (F.col("since") == until))
+    return known.unionByName(before).select(*keys, "i.*").filter(real)
+
+
+def status_intervals(
+    log: DataFrame, keys: Sequence[str], at: str, good: Column, ttl_seconds: int, until: Column
+) -> DataFrame:
+    """Status over time from a fetch log; ``good`` says which fetches brought an answer.
+
+    An empty answer is none if ``good`` says so: the last one that held rows is then served on.
+    """
+    early = log.filter(F.col(at) <= until)
+    return status_of_spans(success_spans(early, keys, at, good, ttl_seconds), keys, ttl_seconds, until)
+
+
 def missing_keys(expected: DataFrame, arrived: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected keys for which nothing arrived, such as zero-byte answers."""
     return expected.join(arrived.select(*keys).distinct(), list(keys), "left_anti")

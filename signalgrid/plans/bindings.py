@@ -34,8 +34,12 @@ def place(key: Column) -> tuple[Column, Column]:
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_columns(table(spark, sf_dir, "events"))
+
+
+def event_columns(events: DataFrame) -> DataFrame:
     lon, lat = place(F.col("event_id"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.col("value").cast("bigint").alias("count"), lon.alias("lon"), lat.alias("lat"),
     )
@@ -43,9 +47,13 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_points(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Orders as conflict records; the toll grows with the price."""
+    return order_columns(table(spark, sf_dir, "orders"), *columns)
+
+
+def order_columns(orders: DataFrame, *columns: str) -> DataFrame:
     lon, lat = place(F.col("o_orderkey"))
     toll = F.floor(F.col("o_totalprice") / 100000)
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         "o_orderkey", "o_orderdate", toll.alias("fatalities"),
         lon.alias("lon"), lat.alias("lat"), *columns,
     )
@@ -63,12 +71,15 @@ def nation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def geo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as density signals, scaled by the whole table's largest count."""
-    points = add_share_severity(event_points(spark, sf_dir))
+    return geo_columns(add_share_severity(event_points(spark, sf_dir)), F.col("severity"))
+
+
+def geo_columns(points: DataFrame, severity: Column) -> DataFrame:
     return points.select(
         F.concat_ws("-", F.lit("gd"), "event_id").alias("id"), "lat", "lon",
         F.col("event_type").alias("name"), "count",
         first_box(SUBJECT_BOXES).alias("nation"),
-        "severity", F.lit(fv.SOURCE_GEO).alias("source"), F.lit(1).alias("source_rank"),
+        severity.alias("severity"), F.lit(fv.SOURCE_GEO).alias("source"), F.lit(1).alias("source_rank"),
         F.lit(0).alias("subject_priority"), F.col("event_id").alias("pos"),
         F.col("ts").alias("observed_at"),
     )
@@ -76,7 +87,10 @@ def geo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conflict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as conflict signals."""
-    points = order_points(spark, sf_dir)
+    return conflict_columns(order_points(spark, sf_dir))
+
+
+def conflict_columns(points: DataFrame) -> DataFrame:
     nation = first_box(SUBJECT_BOXES)
     priority = F.coalesce(*[
         F.when(F.col("nation") == b.code, F.lit(b.priority)) for b in SUBJECT_BOXES

@@ -23,7 +23,7 @@ from signalgrid.schemas import (
 )
 from signalgrid.session import remove_at_exit, work_folder
 from signalgrid.sources import boundaries, feeds, landing, sinks
-from signalgrid.streaming import ingest, views
+from signalgrid.streaming import feeds as streams, ingest, parts, views
 
 NTZ = "timestamp_ntz"
 STATE_TTL = 6 * 3600
@@ -459,9 +459,6 @@ def domain_check(spark, sf_dir):
 
 # --- Streams -----------------------------------------------------------------
 
-SPAN = "60 days"
-
-
 def _event_stream(spark, sf_dir):
     # A pattern, because the table may be one file or a folder of files.
     stream = ingest.file_stream(spark, f"{sf_dir}/events.parque[t]", TABLES["events"])
@@ -470,28 +467,27 @@ def _event_stream(spark, sf_dir):
 
 def stream_signals(spark, sf_dir):
     folder = work_folder(spark, "signals")
-    polled = _event_stream(spark, sf_dir).select(
-        "event_id", "event_type", "value", "ts", F.col("_metadata.file_path").alias("file"))
-    stream = ingest.unique_within(polled, ["event_id"], "ts", SPAN, spread=F.col("file"))
-    coded = stream.select("event_id", "event_type", "value", "ts")
-    ingest.start_append(coded, f"{folder}/table", f"{folder}/state").awaitTermination()
-    return spark.read.schema(coded.schema).parquet(f"{folder}/table").select(
-        "event_id", "event_type", "value")
+    remove_at_exit(spark, folder)
+    polled = _event_stream(spark, sf_dir).select("event_id", "event_type", "value", "ts")
+    ingest.start_unique(polled, ["event_id"], "ts", f"{folder}/table", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/table/rows").select("event_id", "event_type", "value")
 
 
 def stream_volume(spark, sf_dir):
     folder = work_folder(spark, "volume")
-    counts = views.volume_stream(
-        _event_stream(spark, sf_dir), "ts", "event_type", "value", "1 day", SPAN)
-    ingest.start_upsert(counts, f"{folder}/table", f"{folder}/state").awaitTermination()
-    rows = ingest.latest(spark, f"{folder}/table", ["t", "subject"])
+    remove_at_exit(spark, folder)
+    parts.start_parts(
+        _event_stream(spark, sf_dir), lambda rows: parts.volume_parts(rows, "ts", "event_type", "value"),
+        f"{folder}/table", f"{folder}/state").awaitTermination()
+    rows = parts.volume_now(parts.read_parts(spark, f"{folder}/table"))
     return rows.select(
-        clock.iso_text(F.col("t")).alias("t"), "subject", "count",
+        clock.iso_text(F.col("dt").cast("timestamp")).alias("t"), "subject", "count",
         F.round(F.col("tone_sum") / F.col("count"), 6).alias("mean"))
 
 
 def stream_fetch_state(spark, sf_dir):
     folder = work_folder(spark, "fetches")
+    remove_at_exit(spark, folder)
     state = views.fetch_state_stream(
         _event_stream(spark, sf_dir), "user_id", "ts", F.col("event_type") != "error")
     ingest.start_upsert(state, f"{folder}/table", f"{folder}/state").awaitTermination()
@@ -538,22 +534,26 @@ def geo_scan(spark, sf_dir):
 
 def stream_landing(spark, sf_dir):
     """Density pages and web pages arriving as files, one body per line."""
-    folder = work_folder(spark, "landing")
     pages = table(spark, sf_dir, "pages").select(
         F.regexp_replace("html", r"[\r\n]+", " ").alias("body"))
-    arriving = _geo_bodies(spark, sf_dir).select("body").unionByName(pages)
-    arriving.write.text(f"{folder}/files")
-    ingest.start_landing(
-        ingest.body_stream(spark, f"{folder}/files", per_file=False), GEO_DOCUMENT,
-        feeds.geo_signals, f"{folder}/signals", f"{folder}/aside", f"{folder}/state",
-    ).awaitTermination()
-    good = spark.read.parquet(f"{folder}/signals").select(
-        F.lit("signal").alias("part"), "name", "count", "nation", _six("severity"))
-    aside = spark.read.parquet(f"{folder}/aside").select(
-        F.lit("aside").alias("part"), F.col("reason").alias("name"))
+    rows, aside = streamed(spark, "geo", _geo_bodies(spark, sf_dir).select("body").unionByName(pages))
+    good = rows.select(F.lit("signal").alias("part"), "name", "count", "nation", _six("severity"))
+    aside = aside.select(F.lit("aside").alias("part"), F.col("reason").alias("name"))
     return good.unionByName(aside, allowMissingColumns=True)
 
 
+def streamed(spark, feed: str, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bodies written as landing files, fetched at AS_OF, and what the feed's stream makes of them."""
+    folder = work_folder(spark, feed)
+    remove_at_exit(spark, folder)
+    told = ["at", *streams.FEEDS[feed].folders]
+    lines = bodies.withColumn("at", F.lit(AS_OF)).select("body", *told)
+    lines.write.partitionBy(*told).text(f"{folder}/files")
+    arriving = streams.landing_stream(spark, feed, f"{folder}/files", per_file=False)
+    streams.start_feed(arriving, feed, f"{folder}/table", f"{folder}/state").awaitTermination()
+    return streams.read_feed(spark, f"{folder}/table", feed), streams.read_aside(spark, f"{folder}/table", feed)
+
+
 def landing_ids(spark, sf_dir):
     """Signals and their distinct ids, from bodies that share lines' files and files' names."""
     folder = work_folder(spark, "bodies")
@@ -566,7 +566,8 @@ def landing_ids(spark, sf_dir):
     return rows.agg(F.count("*").alias("signals"), F.countDistinct("id").alias("ids"))
 
 
-def conflict_scan(spark, sf_dir):
+def conflict_bodies(spark, sf_dir, day="o_orderdate"):
+    """Orders as pages of conflict records, some without place, toll or kind."""
     points = order_points(spark, sf_dir, "o_orderstatus", "o_orderpriority")
     low = F.col("o_orderpriority") == "5-LOW"
     record = F.struct(
@@ -577,16 +578,20 @@ def conflict_scan(spark, sf_dir):
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Shelling")).alias("sub_event_type"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("location"),
         F.when(low, F.lit("")).otherwise(F.col("fatalities").cast("string")).alias("fatalities"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("event_date"))
-    bodies = _paged(points, "o_orderkey", record, lambda e: e.alias("data")).withColumn(
-        "asked", F.lit("Ukraine"))
+        F.date_format(day, "yyyy-MM-dd").alias("event_date"))
+    return _paged(points, "o_orderkey", record, lambda e: e.alias("data"))
+
+
+def conflict_scan(spark, sf_dir):
+    bodies = conflict_bodies(spark, sf_dir).withColumn("asked", F.lit("Ukraine"))
     rows = feeds.conflict_signals(_documents(bodies, CONFLICT_DOCUMENT))
     return rows.select(
         "origin", "pos", "name", "count", "nation", _six("severity"),
         F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
 
 
-def article_scan(spark, sf_dir):
+def article_bodies(spark, sf_dir):
+    """Web pages as pages of articles, some without title, time, host or country."""
     pages = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     lang = F.regexp_extract("html", '<html lang="([a-z]*)"', 1)
@@ -597,14 +602,19 @@ def article_scan(spark, sf_dir):
             F.pmod("page_id", F.lit(60)).cast("string"), 2, "0"), F.lit("Z"))).alias("seendate"),
         F.when(kind == 2, F.lit("")).when(kind == 4, F.lit("wire.example")).alias("domain"),
         F.when(lang != "en", lang).alias("sourcecountry"))
-    bodies = _paged(pages, "page_id", article, lambda e: e.alias("articles"))
+    return _paged(pages, "page_id", article, lambda e: e.alias("articles"))
+
+
+def article_scan(spark, sf_dir):
+    bodies = article_bodies(spark, sf_dir)
     items = feeds.article_items(_documents(bodies, ARTICLE_DOCUMENT), AS_OF)
     return items.select(
         "origin", "pos", "title", "url", "domain", "country",
         clock.iso_text(F.col("seen")).alias("seen"), "seen_ok")
 
 
-def report_scan(spark, sf_dir):
+def report_bodies(spark, sf_dir):
+    """Documents as pages of reports, some without source, time, url or country."""
     docs = table(spark, sf_dir, "documents")
     source = F.when(F.col("lang") == "fr", F.array().cast(
         "array<struct<shortname:string,name:string>>")).otherwise(
@@ -618,23 +628,32 @@ def report_scan(spark, sf_dir):
                  .alias("created")).alias("date"),
         F.when(F.col("source") != "src1", F.array(F.struct(F.col("lang").alias("name"))))
         .alias("country")).alias("fields"))
-    bodies = _paged(docs, "doc_id", fields, lambda e: e.alias("data")).select(
+    return _paged(docs, "doc_id", fields, lambda e: e.alias("data"))
+
+
+def report_scan(spark, sf_dir):
+    bodies = report_bodies(spark, sf_dir).select(
         "*", F.lit("Ukraine").alias("asked"), F.lit("UA").alias("nation"))
     items = feeds.report_items(_documents(bodies, REPORT_DOCUMENT), AS_OF)
     return items.select(
         "origin", "pos", "title", "url", "domain", "country", "seen_ok", "nation")
 
 
-def timeline_scan(spark, sf_dir):
+def timeline_bodies(spark, sf_dir):
+    """A body per event type, with two series of which the first counts."""
     daily = _daily(spark, sf_dir)
     point = F.struct(F.date_format("t", "yyyyMMdd'T'HHmmss'Z'").alias("date"),
                      F.when(F.col("count") >= 2, F.col("tone")).alias("value"))
     series = daily.groupBy("subject").agg(F.sort_array(F.collect_list(point)).alias("data"))
     second = F.struct(F.slice("data", 1, 1).alias("data"))
     body = F.to_json(F.struct(F.array(F.struct("data"), second).alias("timeline")))
-    bodies = series.select(
+    return series.select(
         F.col("subject").alias("origin"), "subject", F.lit("tone").alias("metric"),
         body.alias("body"))
+
+
+def timeline_scan(spark, sf_dir):
+    bodies = timeline_bodies(spark, sf_dir)
     points = feeds.timeline_points(_documents(bodies, TIMELINE_DOCUMENT), AS_OF)
     return points.select(
         "subject", "pos", clock.iso_text(F.col("t")).alias("t"), F.round("v", 6).alias("v"))
@@ -737,7 +756,9 @@ def payload_events(spark, sf_dir):
 
 def payload_sink(spark, sf_dir):
     """The events answer written as one JSON document per theater and read back."""
-    path = f"{work_folder(spark, 'payload')}/events"
+    folder = work_folder(spark, "payload")
+    remove_at_exit(spark, folder)
+    path = f"{folder}/events"
     answer = _events_answer(spark, sf_dir)
     sinks.write_payload(answer, path, "theater")
     back = spark.read.schema(answer.schema).json(path)

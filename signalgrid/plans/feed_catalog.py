@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalgrid import fixed_values as fv
+from signalgrid import dims, fixed_values as fv
+from signalgrid.dims import SUBJECT_BOXES, THEATER_BOXES
 from signalgrid.functions import clock
+from signalgrid.functions.geometry import boxes_holding, first_box
+from signalgrid.operators import freshness
 from signalgrid.plans import live
-from signalgrid.plans.bindings import AS_OF, event_points, order_points
-from signalgrid.plans.catalog import answer_parts
+from signalgrid.plans.bindings import (
+    AS_OF, conflict_columns, event_columns, event_points, geo_columns, order_columns, order_points, table,
+)
+from signalgrid.plans.catalog import (
+    answer_parts, article_bodies, conflict_bodies, report_bodies, streamed, timeline_bodies,
+)
+from signalgrid.schemas import TABLES
 from signalgrid.session import remove_at_exit, work_folder, written
 from signalgrid.sources import batches
 from signalgrid.sources.signals import SIGNAL, signal_parts
+from signalgrid.streaming import ingest, parts
 
 POLL_HOURS = 6
 # Entries of a page share a span of keys, dealt over the theaters and over the subjects.
@@ -122,4 +131,104 @@ def last_good_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
                          clock.iso_text(F.col("last_good")).alias("last_good"), "event_id")
 
 
-QUERIES = {f.__name__: f for f in (fetch_log, landing_to_events, last_good_answer)}
+# --- Streams of the other feeds ----------------------------------------------
+
+def stream_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = streamed(spark, "articles", article_bodies(spark, sf_dir))
+    return rows.select("title", "url", "domain", "country", clock.iso_text(F.col("seen")).alias("seen"), "seen_ok")
+
+
+def _either(bodies: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
+    """What was asked for, by turns from page to page."""
+    even = F.col("origin") % 2 == 0
+    return bodies.withColumns({k: F.when(even, a).otherwise(b) for k, (a, b) in pairs.items()})
+
+
+def stream_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.lit("2024-01-10").cast("date"), F.pmod("o_orderkey", F.lit(25)).cast("int"))
+    rows, _ = streamed(spark, "conflict", _either(conflict_bodies(spark, sf_dir, day), asked=("Ukraine", "Iran & Iraq+")))
+    return rows.select("name", "count", "nation", F.round("severity", 6).alias("severity"),
+                       F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
+
+
+def stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = streamed(spark, "reports", _either(
+        report_bodies(spark, sf_dir), asked=("Ukraine", "Iran"), nation=("UA", "IR")))
+    return rows.select("title", "url", "domain", "country", "seen_ok", "nation", clock.iso_text(F.col("seen")).alias("seen"))
+
+
+def stream_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = streamed(spark, "timelines", timeline_bodies(spark, sf_dir))
+    return rows.select("subject", "metric", "pos", clock.iso_text(F.col("t")).alias("t"), F.round("v", 6).alias("v"))
+
+
+# --- Answers kept up to date -------------------------------------------------
+
+STATUS_TTL = 6 * 3600
+
+
+def _held(df: DataFrame) -> DataFrame:
+    return df.withColumn("theaters", boxes_holding(THEATER_BOXES))
+
+
+def _kept(spark, stream: DataFrame, make) -> DataFrame:
+    folder = work_folder(spark, "parts")
+    remove_at_exit(spark, folder)
+    parts.start_parts(stream, make, f"{folder}/table", f"{folder}/state").awaitTermination()
+    return parts.read_parts(spark, f"{folder}/table")
+
+
+def _streamed_table(spark, sf_dir, name: str) -> DataFrame:
+    return ingest.file_stream(spark, f"{sf_dir}/{name}.parque[t]", TABLES[name])
+
+
+def _told_signals(spark, sf_dir) -> DataFrame:
+    """Both sources as one stream; the severity of density signals waits for the peak."""
+    events = geo_columns(event_columns(_streamed_table(spark, sf_dir, "events")), F.lit(None).cast("double"))
+    geo = _held(events).withColumn("told", F.col("count"))
+    # A month of days, so that the parts' folders do not grow with the calendar of the table.
+    day = F.date_add(F.lit("2024-01-10").cast("date"), F.pmod("pos", F.lit(25)).cast("int")).cast("timestamp_ntz")
+    records = conflict_columns(order_columns(_streamed_table(spark, sf_dir, "orders"))).withColumn("observed_at", day)
+    members = F.create_map(*[F.lit(x) for x in (y for b in SUBJECT_BOXES for y in (b.code, ",".join(
+        r[0] for r in fv.THEATERS if b.code in r[3])))])
+    theaters = F.coalesce(F.split(F.try_element_at(members, F.col("nation")), ","), F.array().cast("array<string>"))
+    conflict = records.withColumn("theaters", theaters).withColumn("told", F.lit(None).cast("bigint"))
+    return geo.unionByName(conflict)
+
+
+def stream_top_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _kept(spark, _told_signals(spark, sf_dir), lambda rows: parts.strongest(rows, F.col("told")))
+    best = parts.strongest_now(kept)
+    return best.select("theater", "rank", "id", "source", "count", "nation", F.round("severity", 6).alias("severity"))
+
+
+def stream_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = event_columns(_streamed_table(spark, sf_dir, "events")).withColumn("code", first_box(SUBJECT_BOXES))
+    kept = _kept(spark, _held(points).withColumnRenamed("ts", "observed_at"), parts.pressure_parts)
+    scored = parts.pressure_now(kept, dims.theater_subject(spark))
+    return scored.select("theater", "code", "events", F.round("score", 6).alias("score"), "threat")
+
+
+def _intervals(rows: DataFrame) -> DataFrame:
+    return rows.select("user_id", "status", clock.iso_text(F.col("since")).alias("since"), clock.iso_text(F.col("till")).alias("till"))
+
+
+def status_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each user's fetches were ok, degraded or offline."""
+    log = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _intervals(freshness.status_intervals(
+        log, ["user_id"], "ts", F.col("event_type") != "error", STATUS_TTL, clock.moment(AS_OF)))
+
+
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of fetches that leaves a few spans per day."""
+    good = F.col("event_type") != "error"
+    stream = _streamed_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter(
+        F.col("ts") <= clock.moment(AS_OF))
+    kept = _kept(spark, stream, lambda rows: parts.status_parts(rows, ["user_id"], "ts", good, STATUS_TTL))
+    return _intervals(freshness.status_of_spans(kept, ["user_id"], STATUS_TTL, clock.moment(AS_OF)))
+
+
+QUERIES = {f.__name__: f for f in (
+    fetch_log, landing_to_events, last_good_answer, stream_articles, stream_conflict, stream_reports, stream_timelines,
+    stream_top_signals, stream_pressure, status_intervals, stream_status)}

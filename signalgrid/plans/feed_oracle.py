@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from signalgrid.plans.oracle import AS_OF, BANDS, CODED, ISO, MEMBER, POINTS, SEED, SUBJ, THEATER
+from signalgrid.plans.oracle import (
+    AS_OF, BANDS, CODED, DAILY, ISO, MEMBER, NUMBERED, ORACLE as FIRST, POINTS, SCORED, SEED, SUBJ, THEATER,
+)
 
 # Fetches as they came: pages of up to 50 entries, some markup, half a document or missing.
 POLLS = f"""{SUBJ}, {POINTS}, {CODED},
@@ -68,6 +70,20 @@ state AS (
     AND {AS_OF} <= l.fetched + INTERVAL 60 SECOND THEN 'ok' ELSE 'degraded' END AS status
   FROM theater_dim t LEFT JOIN anchors a ON a.key = t.theater LEFT JOIN log l ON l.key = a.key AND l.fetched = a.anchor)"""
 
+STATUS = f"""WITH e AS (SELECT user_id, ts, event_type <> 'error' AS good FROM events WHERE ts <= {AS_OF}),
+first_at AS (SELECT user_id, min(ts) AS first, min(ts) FILTER (good) AS first_good FROM e GROUP BY 1),
+g AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prior FROM e WHERE good),
+n AS (SELECT *, sum(CASE WHEN ts <= prior + INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts
+  ROWS UNBOUNDED PRECEDING) AS run FROM g),
+r AS (SELECT user_id, run, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS b FROM n GROUP BY 1, 2),
+f AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY user_id ORDER BY a), {AS_OF}) AS c FROM r),
+i AS (
+  SELECT user_id, 'ok' AS status, a AS since, least(b, {AS_OF}) AS till FROM f
+  UNION ALL SELECT user_id, 'degraded', b, c FROM f WHERE b < c
+  UNION ALL SELECT user_id, 'offline', first, coalesce(first_good, {AS_OF}) FROM first_at
+    WHERE first < coalesce(first_good, {AS_OF}))
+SELECT user_id, status, strftime(since, {ISO}) AS since, strftime(till, {ISO}) AS till FROM i"""
+
 ORACLE = {
     "fetch_log": f"""WITH {POLLS}
 SELECT source, key, strftime(fetched, {ISO}) AS "at", ok, n_bodies, n_rows, reason FROM log""",
@@ -97,4 +113,34 @@ asks AS (SELECT key, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2
   FROM (SELECT DISTINCT key FROM e)),
 served AS (SELECT a.key, a.as_of, max(g.fetched) AS fetched FROM asks a JOIN good g ON g.key = a.key AND g.fetched <= a.as_of GROUP BY ALL)
 SELECT key, strftime(as_of, {ISO}) AS as_of, strftime(fetched, {ISO}) AS last_good, event_id FROM served JOIN e USING (key, fetched)""",
+    "stream_articles": f"SELECT title, url, domain, country, seen, seen_ok FROM ({FIRST['article_scan']})",
+    "stream_conflict": f"""WITH {SUBJ},
+p AS (SELECT *, CAST(floor(o_orderkey / 50) AS BIGINT) AS origin, o_orderpriority = '5-LOW' AS low,
+  21e0 + ((o_orderkey * 7919) % 4900) / 1e2 AS lon, 24e0 + ((o_orderkey * 104729) % 4650) / 1e2 AS lat,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE CAST(floor(o_totalprice / 100000) AS BIGINT) END AS toll FROM orders),
+h AS (SELECT o_orderkey, arg_min(code, priority) AS code FROM p JOIN subj
+  ON lon BETWEEN west AND east AND lat BETWEEN south AND north GROUP BY 1)
+SELECT (CASE WHEN o_orderpriority = '1-URGENT' THEN 'Shelling' WHEN low THEN 'Event' ELSE 'Battle' END) || ' — ' ||
+    (CASE WHEN o_orderstatus = 'F' THEN o_orderpriority WHEN origin % 2 = 0 THEN 'Ukraine' ELSE 'Iran & Iraq+' END) AS name,
+  1 + toll AS count, code AS nation, round(least(1e0, 0.45e0 + log10(1e0 + toll) / 2), 6) AS severity,
+  strftime(DATE '2024-01-10' + CAST(o_orderkey % 25 AS INTEGER), '%Y-%m-%d') AS event_date
+FROM p LEFT JOIN h USING (o_orderkey) WHERE o_orderstatus <> 'P'""",
+    "stream_reports": f"""WITH p AS (SELECT *, {NUMBERED.format(k='doc_id')} FROM documents)
+SELECT text AS title, 'https://r.example.org/' || doc_id AS url,
+  CASE WHEN lang = 'fr' THEN 'ReliefWeb' ELSE source END AS domain,
+  CASE WHEN source <> 'src1' THEN lang WHEN origin % 2 = 0 THEN 'Ukraine' ELSE 'Iran' END AS country, lang <> 'de' AS seen_ok,
+  CASE WHEN origin % 2 = 0 THEN 'UA' ELSE 'IR' END AS nation,
+  CASE WHEN lang <> 'de' THEN '2024-01-15T09:30:00Z' ELSE '2024-01-30T00:00:00Z' END AS seen
+FROM p WHERE lang <> 'es' AND text <> ''""",
+    "stream_timelines": f"SELECT subject, 'tone' AS metric, pos, t, v FROM ({FIRST['timeline_scan']})",
+    "stream_top_signals": FIRST["top_signals"],
+    "stream_pressure": f"""WITH {SUBJ}, {THEATER}, {MEMBER}, {SCORED}, {CODED},
+t AS (SELECT d.theater, h.code, count(*) AS n, avg(s.severity) AS mean FROM scored s JOIN hit h USING (event_id)
+  JOIN theater_dim d ON s.lon BETWEEN d.west AND d.east AND s.lat BETWEEN d.south AND d.north GROUP BY 1, 2),
+j AS (SELECT m.theater, m.code, coalesce(n, 0) AS events, coalesce(mean, 0e0) AS mean
+  FROM member m LEFT JOIN t ON t.theater = m.theater AND t.code = m.code),
+p AS (SELECT *, least(1e0, 0.55e0 * events / greatest(1, max(events) OVER (PARTITION BY theater)) + 0.45e0 * mean) AS score FROM j)
+SELECT theater, code, events, round(score, 6) AS score, {BANDS.format(x='score')} AS threat FROM p""",
+    "status_intervals": STATUS,
+    "stream_status": STATUS,
 }

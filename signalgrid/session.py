@@ -72,10 +72,34 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def path_exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there, in whatever store it lies."""
+    system, path = _file_system(spark, folder)
+    return system.exists(path)
+
+
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    system, path = _file_system(spark, folder)
+    if not system.exists(path):
+        return []
+    return [s.getPath().getName() for s in system.listStatus(path) if s.isDirectory()]
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    system, path = _file_system(spark, folder)
+    system.delete(path, True)
+
+
 def remove_at_exit(spark: SparkSession, folder: str) -> None:
     """Have the folder's own file system remove it when the session's JVM ends."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    system, path = _file_system(spark, folder)
+    system.deleteOnExit(path)
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

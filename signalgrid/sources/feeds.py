@@ -45,18 +45,21 @@ def conflict_entry(record: Column, asked: Column) -> Column:
     )
 
 
-def geo_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFrame:
+def geo_signals(
+    docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES, carry: Sequence[str] = ()
+) -> DataFrame:
     """Density features as signals; severity is relative to the document's peak.
 
-    The peak is taken over all features, also those dropped here or clipped later.
+    The peak is taken over all features, also those dropped here or clipped later. Columns of the
+    documents named in ``carry`` stay.
     """
     # Exploding a one-element array keeps the reading in one place, before the peak and the rows.
-    read = docs.select("origin", F.explode(F.array(F.transform("doc.features", geo_entry))).alias("entries"))
+    read = docs.select("origin", *carry, F.explode(F.array(F.transform("doc.features", geo_entry))).alias("entries"))
     counts = F.filter(F.transform("entries", lambda e: e["told"]), lambda c: c > 0)
     rows = read.select(
-        "origin", F.coalesce(F.array_max(counts), F.lit(1.0)).alias("peak"),
+        "origin", *carry, F.coalesce(F.array_max(counts), F.lit(1.0)).alias("peak"),
         F.posexplode("entries").alias("pos", "e"),
-    ).select("origin", "peak", "pos", "e.*").filter(usable(F.col("lon")) & usable(F.col("lat")))
+    ).select("origin", *carry, "peak", "pos", "e.*").filter(usable(F.col("lon")) & usable(F.col("lat")))
     count = F.coalesce("told", F.lit(0.0))
     return rows.select(
         signal_id(F.lit(fv.SOURCE_GEO), F.col("origin"), F.col("pos")).alias("id"),
@@ -64,7 +67,7 @@ def geo_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFr
         count.try_cast("bigint").alias("count"),
         first_box(zones).alias("nation"),
         severity_by_share(count, F.col("peak")).alias("severity"),
-        F.lit(fv.SOURCE_GEO).alias("source"),
+        F.lit(fv.SOURCE_GEO).alias("source"), *carry,
     )
 
 
@@ -98,9 +101,9 @@ def conflict_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> D
     )
 
 
-def article_items(docs: DataFrame, as_of: str) -> DataFrame:
-    """Articles as feed items; a stamp that is no time becomes ``as_of``."""
-    rows = docs.select("origin", F.posexplode("doc.articles").alias("pos", "a"))
+def article_items(docs: DataFrame, as_of: str | Column) -> DataFrame:
+    """Articles as feed items; a stamp that is no time becomes ``as_of``, a moment or a column of the documents."""
+    rows = docs.select("origin", moment(as_of).alias("as_of"), F.posexplode("doc.articles").alias("pos", "a"))
     stamp = compact_timestamp(F.col("a.seendate"))
     return rows.filter(present(F.col("a.url"), F.col("a.title"))).select(
         signal_id(F.lit("art"), F.col("origin"), F.col("pos")).alias("id"),
@@ -108,19 +111,19 @@ def article_items(docs: DataFrame, as_of: str) -> DataFrame:
         F.col("a.title").alias("title"), F.col("a.url").alias("url"),
         F.coalesce(F.col("a.domain"), host_of(F.col("a.url"))).alias("domain"),
         F.coalesce("a.sourcecountry", F.lit(fv.UNKNOWN_COUNTRY)).alias("country"),
-        F.coalesce(stamp, moment(as_of)).alias("seen"),
+        F.coalesce(stamp, "as_of").alias("seen"),
         stamp.isNotNull().alias("seen_ok"),
         F.lit(None).cast("string").alias("nation"),
     )
 
 
-def report_items(docs: DataFrame, as_of: str) -> DataFrame:
+def report_items(docs: DataFrame, as_of: str | Column) -> DataFrame:
     """Situation reports as feed items.
 
     ``docs`` carries ``asked`` (the country asked for) and ``nation`` (its code).
     """
     rows = docs.select(
-        "origin", "asked", "nation", F.posexplode("doc.data.fields").alias("pos", "f")
+        "origin", "asked", "nation", moment(as_of).alias("as_of"), F.posexplode("doc.data.fields").alias("pos", "f")
     )
     stamp = F.col("f.date.created").try_cast("timestamp")
     return rows.filter(present(F.col("f.url"), F.col("f.title"))).select(
@@ -131,22 +134,22 @@ def report_items(docs: DataFrame, as_of: str) -> DataFrame:
             F.try_element_at("f.source", F.lit(1))["shortname"], F.lit(fv.DEFAULT_REPORT_DOMAIN)
         ).alias("domain"),
         F.coalesce(F.try_element_at("f.country", F.lit(1))["name"], "asked").alias("country"),
-        F.coalesce(stamp, moment(as_of)).alias("seen"),
+        F.coalesce(stamp, "as_of").alias("seen"),
         stamp.isNotNull().alias("seen_ok"),
         "nation",
     )
 
 
-def timeline_points(docs: DataFrame, as_of: str) -> DataFrame:
+def timeline_points(docs: DataFrame, as_of: str | Column) -> DataFrame:
     """Points of each document's first series; a missing value or one that is no number is zero.
 
     ``docs`` carries ``subject`` and ``metric``.
     """
     series = F.try_element_at("doc.timeline", F.lit(1))["data"]
-    points = docs.select("subject", "metric", F.posexplode(series).alias("pos", "p"))
+    points = docs.select("subject", "metric", moment(as_of).alias("as_of"), F.posexplode(series).alias("pos", "p"))
     stamp = compact_timestamp(F.col("p.date"))
     return points.select(
         "subject", "metric", F.col("pos").cast("bigint").alias("pos"),
-        F.coalesce(stamp, moment(as_of)).alias("t"),
+        F.coalesce(stamp, "as_of").alias("t"),
         F.coalesce(number(F.col("p.value")), F.lit(0.0)).alias("v"),
     )

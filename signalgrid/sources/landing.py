@@ -27,6 +27,15 @@ def origin_of(per_file: bool) -> Column:
     return path if per_file else F.concat_ws("#", path, F.sha2("value", 256))
 
 
+def folder_value(name: str) -> Column:
+    """What a file's path says in a folder ``name=value``, NULL without one or with Spark's name for NULL."""
+    path = F.col("_metadata.file_path")
+    found = F.regexp_extract(path, f"/{name}=([^/]+)/", 1)
+    # Folder names escape signs twice: once as a name, once as a path. A plus sign is no blank here.
+    value = F.try_url_decode(F.replace(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))), F.lit("+"), F.lit("%2B")))
+    return F.when((found != "") & (value != "__HIVE_DEFAULT_PARTITION__"), value)
+
+
 def parse_bodies(bodies: DataFrame, schema: str) -> DataFrame:
     """Add the parsed ``doc`` and the ``reason`` to set a body aside (NULL if good).
 

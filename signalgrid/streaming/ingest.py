@@ -11,7 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from signalgrid.sources.landing import good_documents, origin_of, parse_bodies, quarantined
+from signalgrid.session import path_exists
+from signalgrid.sources.landing import folder_value, good_documents, origin_of, parse_bodies, quarantined
 
 
 def file_stream(
@@ -32,14 +33,20 @@ def file_stream(
 
 
 def body_stream(
-    spark: SparkSession, path: str, per_file: bool = True, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, per_file: bool = True, files_per_trigger: int | None = None,
+    folders: Sequence[str] = (),
 ) -> DataFrame:
-    """New landing files as a stream of bodies: one per file, or one per line."""
-    reader = spark.readStream
+    """New landing files as a stream of bodies: one per file, or one per line.
+
+    ``folders`` names columns that the files' paths hold as ``name=value``.
+    """
+    # Folder names are read from paths, so layouts may differ below one folder.
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    text = reader.text(path, wholetext=per_file)
-    return text.select(origin_of(per_file).alias("origin"), F.col("value").alias("body"))
+    text = reader.schema("value string").text(path, wholetext=per_file)
+    return text.select(origin_of(per_file).alias("origin"), F.col("value").alias("body"),
+                       *[folder_value(name).alias(name) for name in folders])
 
 
 def start_landing(
@@ -94,6 +101,67 @@ def unique_within(
     return marked.dropDuplicatesWithinWatermark(list(keys))
 
 
+def start_unique(
+    stream: DataFrame, keys: Sequence[str], stamp: str, table: str, checkpoint: str,
+    overlap_days: int = 1, every: str | None = None,
+) -> StreamingQuery:
+    """Append records that are not on file yet, in folders by day, keeping no state at all.
+
+    Repeats inside a batch collapse before the shuffle; what is left is looked up among the table's rows
+    of the same days only, so the cost follows the days that polls overlap and not the length of the
+    history. A record keeps its ``stamp`` when it is fetched again; one without a stamp has the day NULL.
+    Records without a key are all kept. No record is dropped for being late: one more than ``overlap_days``
+    before the newest day on file is written like any other and counted as late.
+
+    Each batch leaves a row (batch, came, added, late) in ``<table>/polls``; ``polls`` reads them.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        day = F.col(stamp).cast("date")
+        whole = batch.withColumn("dt", day).persist()
+        try:
+            no_key = F.lit(False)
+            for key in keys:
+                no_key = no_key | F.col(key).isNull()
+            new = whole.filter(~no_key).dropDuplicates(list(keys))
+            newest = None
+            if path_exists(spark, f"{table}/rows"):
+                history = spark.read.parquet(f"{table}/rows").filter(F.col("batch") != batch_id)
+                newest = history.agg(F.max("dt")).first()[0]
+                # The batch's days, as many as there are folders to open.
+                days = [r.dt for r in new.select("dt").distinct().collect()]
+                shared = F.col("dt").isin([d for d in days if d is not None])
+                known = history.filter(shared | F.col("dt").isNull() if None in days else shared).select(*keys, "dt")
+                same = [new[key] == known[key] for key in keys] + [new["dt"].eqNullSafe(known["dt"])]
+                new = new.join(known, same, "left_anti")
+            rows = new.unionByName(whole.filter(no_key)).withColumn("batch", F.lit(batch_id))
+            replace_folders(rows, f"{table}/rows", "dt", "batch")
+            written = spark.read.schema(rows.schema).parquet(f"{table}/rows").filter(F.col("batch") == batch_id)
+            late = F.lit(False) if newest is None else F.col("dt") < F.date_sub(F.lit(newest), overlap_days)
+            counts = written.agg(F.count("*").alias("added"), F.count_if(late).alias("late"))
+            counts.select(F.lit(whole.count()).cast("bigint").alias("came"), "added", "late").write.mode("overwrite").parquet(
+                f"{table}/polls/batch={batch_id}")
+        finally:
+            whole.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every)).start()
+    )
+
+
+def polls(spark: SparkSession, table: str) -> DataFrame:
+    """What each batch of ``start_unique`` brought."""
+    return spark.read.schema("came bigint, added bigint, late bigint, batch bigint").parquet(f"{table}/polls")
+
+
+def replace_folders(rows: DataFrame, path: str, *partitions: str) -> None:
+    """Write rows into folders by value, replacing the folders that are written to and no other."""
+    # Few files a folder, and several for a day that holds much of the rows.
+    rows.hint("rebalance", partitions[0]).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
 def start_append(
     stream: DataFrame, out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
