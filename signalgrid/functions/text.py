@@ -46,16 +46,6 @@ def spaced_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[{WORD}]+(?: (?=[{WORD}]))?"), F.lit(0))
 
 
-def phrases_of(words: Column, n: int) -> Column:
-    """All runs of ``n`` words with single spaces between them."""
-    if n == 1:
-        return F.transform(words, lambda w: F.rtrim(w))
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-    runs = F.transform(F.coalesce(starts, F.array().cast("array<int>")),
-                       lambda i: F.rtrim(F.array_join(F.slice(words, i, F.lit(n)), "")))
-    return F.filter(runs, lambda r: F.length(r) - F.length(F.replace(r, F.lit(" "))) == n - 1)
-
-
 def host_of(url: Column) -> Column:
     """Host part of a URL in lower case, NULL if the URL is malformed."""
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
