@@ -19,6 +19,8 @@ BITS = 1_024
 # Pairs that the sketch puts below this similarity are not checked: five deviations under 0.75.
 LEAST_ESTIMATE = 0.58
 BLOCK = 2_048
+BLOCK_SHINGLES = 2_000_000
+PAIRS_AT_ONCE = 4_096
 TEXTS_A_RUN = 64
 SHINGLES_AT_ONCE = 512
 
@@ -141,49 +143,110 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common * 100 >= (len(a) + len(b) - common) * PERCENT
 
 
-def _across(mixed: DataFrame, best_only: bool) -> DataFrame:
-    """Plausible pairs of different components within a bucket, in blocks; no pair with the hub.
+class _Group:
+    """Members of one bucket, in the order of a run, and which pairs of them may be similar."""
 
-    ``mixed`` has key, rep, hub, component, n and sketch. A bucket of m rows makes groups of
-    two blocks of about 2,048 rows. With ``best_only`` a group gives each two components' closest pair alone.
+    def __init__(self, run: pa.Table):
+        self.rep, self.hub, self.part, self.n, self.own = (
+            run[c].to_numpy() for c in ("rep", "hub", "component", "n", "own"))
+        wide = (run[c].combine_chunks().flatten().to_numpy().reshape(run.num_rows, -1) for c in ("sketch", "bands"))
+        self.bits, self.bands = (x.view(U) for x in wide)
+        self.key = run["key"][0].as_py()
+        self.across = run["i"][0].as_py() != run["j"][0].as_py()
+
+    def near(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows behind x that x may be similar to, with the number of differing bits.
+
+        A pair belongs to the first bucket that it shares, so that it is looked at once. Pairs with the hub
+        were checked before, pairs of one component are connected already.
+        """
+        y = np.arange(x + 1, len(self.rep))
+        if self.rep[x] == self.hub[x]:
+            return y[:0], y[:0]
+        ok = (self.part[y] != self.part[x]) & (self.rep[y] != self.hub[y])
+        ok &= np.minimum(self.n[y], self.n[x]) * 100 >= np.maximum(self.n[y], self.n[x]) * PERCENT
+        if self.across:
+            ok &= self.own[y] != self.own[x]
+        y = y[ok]
+        differing = np.bitwise_count(self.bits[y] ^ self.bits[x]).sum(axis=1, dtype=np.int64)
+        close = differing <= most_differing()
+        y, differing = y[close], differing[close]
+        first = (self.bands[y] == self.bands[x]).argmax(axis=1) if len(y) else y
+        mine = self.bands[x][first].view(np.int64) == self.key
+        return y[mine], differing[mine]
+
+
+_MEMBER = "key long, i int, j int, own int, rep long, hub long, component long, n long, sketch array<long>, bands array<long>"
+
+
+def _involved(mixed: DataFrame) -> DataFrame:
+    """Members of buckets, in groups of two blocks, that may be similar to one of another component.
+
+    ``mixed`` has key, rep, hub, component, n, sketch and bands. Blocks hold about 2,048 rows or
+    2,000,000 shingles.
     """
-    size = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    size = mixed.groupBy("key").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = mixed.join(size, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "hub",
-        "component", "n", "sketch")
-    most = most_differing()
+        "component", "n", "sketch", "bands")
 
     def work(run: pa.Table) -> pa.RecordBatch | None:
         if run.num_rows < 2:
             return None
-        rep, hub, part, n, own = (run[c].to_numpy() for c in ("rep", "hub", "component", "n", "own"))
-        bits = run["sketch"].combine_chunks().flatten().to_numpy().view(U).reshape(len(rep), -1)
-        across = run["i"][0].as_py() != run["j"][0].as_py()
-        free = rep != hub
-        found = []
-        for x in range(len(rep) - 1):
-            y = np.arange(x + 1, len(rep))
-            ok = (part[y] != part[x]) & free[y] & free[x]
-            ok &= np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * PERCENT
-            if across:
-                ok &= own[y] != own[x]
-            y = y[ok]
+        group, seen = _Group(run), np.zeros(run.num_rows, bool)
+        for x in range(run.num_rows - 1):
+            y, _ = group.near(x)
             if len(y):
-                differing = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                near = differing <= most
-                found.append(np.stack((np.full(near.sum(), x), y[near], differing[near])))
-        if not found:
+                seen[x] = seen[y] = True
+        if not seen.any():
+            return None
+        return run.filter(pa.array(seen)).select([c.split()[0] for c in _MEMBER.split(", ")]).combine_chunks().to_batches()[0]
+
+    return by_runs(dealt, ["key", "i", "j"], work, _MEMBER)
+
+
+def _joined(involved: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the components of each group that whole shingle sets connect.
+
+    All sets of a group are at hand, so pairs are checked where they stand, nearest first. A pair whose ends
+    the links before it connect needs no check, and a refused one leaves nothing behind: a group of m
+    rows gives m - 1 links at most, however many of its pairs are nearly similar.
+    """
+    wanted = broadcast_if_small(stored(involved.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(
+        wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
+
+    def work(run: pa.Table) -> pa.RecordBatch | None:
+        group = _Group(run)
+        sets = [np.unique(shingles(keys, WORDS)) for block in blocks(run["text"]) for _, keys in block.documents()]
+        pairs = [(np.full(len(y), x), y, d) for x in range(run.num_rows - 1) for y, d in [group.near(x)] if len(y)]
+        if not pairs:
             return None
-        x, y, differing = np.concatenate(found, axis=1)
-        a, b = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
-        if best_only:
-            order = np.lexsort((differing, b, a))
-            first = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
-            x, y = x[order[first[:len(order)]]], y[order[first[:len(order)]]]
-        return pa.RecordBatch.from_pydict({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])})
+        x, y, differing = (np.concatenate(c) for c in zip(*pairs))
+        order = np.argsort(differing, kind="stable")
+        x, y = x[order], y[order]
+        names, part = np.unique(group.part, return_inverse=True)
+        root, links = np.arange(len(names)), []
+        at, step = 0, PAIRS_AT_ONCE
+        while at < len(x):
+            a, b = x[at:at + step], y[at:at + step]
+            at, step = at + step, 2 * step
+            apart = root[part[a]] != root[part[b]]
+            a, b = a[apart], b[apart]
+            for head in np.unique(a):
+                for other in b[a == head]:
+                    old, new = root[part[other]], root[part[head]]
+                    if old != new and _similar(sets[head], sets[other]):
+                        links.append((group.rep[head], group.rep[other]))
+                        root[root == old] = new
+        if not links:
+            return None
+        a, b = np.array(links).T
+        return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return by_runs(dealt, ["key", "i", "j"], work, "a long, b long")
+    return by_runs(involved.join(texts, "rep"), ["key", "i", "j"], work, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -197,8 +260,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Equal sets are one class, known by its smallest doc_id, and only classes are compared. In each
     bucket all members are first checked against one hub, the member with the most
     company over all its buckets. Then members of a bucket that still lie in different components
-    are compared by sketch, first the closest pair of each two components, then all that are
-    left, so no pair is passed over unless its ends are connected already.
+    are compared by sketch in blocks, and blocks with plausible pairs are given the whole sets, which
+    connect what belongs together. No plausible pair is passed over unless its ends are connected already.
 
     Null or empty text has an empty set and links with nothing, as has a null doc_id, whose
     component is null. Rows that repeat a doc_id are one node with the links of each. Other
@@ -231,17 +294,10 @@ def _links(reps: DataFrame, documents: DataFrame) -> DataFrame:
     first = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     asked = stored(_plausible(first, reps), "pairs")
     links = stored(_confirmed(asked, documents), "links")
-    for best_only in (True, False):
-        parts = components(links)
-        named = members.where("size > 2").join(parts, F.col("rep") == F.col("id"), "left").select(
-            "key", "rep", "hub", F.coalesce("component", "rep").alias("component"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        mixed = named.join(mixed.select("key"), "key").join(reps.select("rep", "n", "sketch"), "rep")
-        more = _across(mixed, best_only).distinct()
-        normal = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stored(more.join(normal, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue  # all closest pairs may have been asked and refused, others not
-        asked = asked.union(more)
-        links = links.union(stored(_confirmed(more, documents), "links"))
-    return links
+    parts = components(links)
+    named = members.where("size > 2").join(parts, F.col("rep") == F.col("id"), "left").select(
+        "key", "rep", "hub", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    mixed = named.join(mixed.select("key"), "key").join(reps.select("rep", "n", "sketch", "bands"), "rep")
+    involved = stored(_involved(mixed), "involved")
+    return links.union(stored(_joined(involved, documents), "links"))

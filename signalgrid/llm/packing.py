@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -18,7 +17,7 @@ from signalgrid.llm.words import buffers, row_ranges
 
 WINDOW = 2_048
 END_ID = 1
-CACHED = 400_000
+CACHED = 200_000
 LONGEST_WORD = 20
 WORDS_AT_ONCE, TEXT_BYTES = 4_096, 4_000_000
 LEAST_ROWS_A_BLOCK, MOST_ROWS_A_BLOCK, BLOCKS = 256, 200_000, 1_024
@@ -64,10 +63,6 @@ class WordIds:
             self._learn(new)
         return [self._whole(t) if s is None else b"".join([known[c] for c in s]) for t, s in zip(texts, split)]
 
-    def forget(self) -> None:
-        """Give back what a task has learned; Python workers live on with other work."""
-        self.runs, self.words = {}, {}
-
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -139,11 +134,6 @@ class WordIds:
         return {w: flat[a:b] for w, a, b in zip(words, [0, *ends], ends)}
 
 
-@functools.cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -160,11 +150,8 @@ def pieces(documents: DataFrame, name: str = "word_bpe_49k.json", window: int =
 
     @lean
     def task(batches):
-        own = word_ids(vocabulary(name))
-        try:
-            yield from cut(own, batches)
-        finally:
-            own.forget()
+        # Loading takes a fifth of a second; a worker that kept it would hold it during other work.
+        yield from cut(WordIds(vocabulary(name)), batches)
 
     def cut(own, batches):
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from signalgrid.llm.common import crc32_of, lean
-from signalgrid.llm.words import BASE, U, buffers, mix, row_ranges, span_keys, word_spans
+from signalgrid.llm.words import BASE, BLOCK_BYTES, U, buffers, mix, row_ranges, span_keys, word_spans
 
 PER_CLASS = 6_000
 EPOCHS = 10
@@ -41,22 +41,37 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
     for first, last in row_ranges(at):
         low = int(at[first])
         raw, cuts = data[low:int(at[last])], at[first:last + 1] - low
-        wide = raw.astype(np.uint32)
-        pairs = wide[:-1] << np.uint32(8) | wide[1:]
-        triples = (pairs[:-1] << np.uint32(8) | wide[2:]) * np.uint32(0x9E3779B1) >> np.uint32(15)
-        triples += np.uint32(PAIRS)
+        pairs, triples = _byte_grams(raw[:BLOCK_BYTES])
         begins, ends = word_spans(raw, cuts)
         shapes = _shapes(raw, begins, ends)
         words = np.searchsorted(begins, cuts)
         for i in range(last - first):
             a, b = int(cuts[i]), int(cuts[i + 1])
-            found = np.concatenate((pairs[a:max(b - 1, a)], triples[a:max(b - 2, a)],
-                                    _shape_grams(shapes[words[i]:words[i + 1]])), dtype=np.int64)
+            grams = pairs[a:max(b - 1, a)], triples[a:max(b - 2, a)]
+            if b - a > BLOCK_BYTES:  # a text of its own run
+                grams = [_stretches(raw)]
+            found = np.concatenate((*grams, _shape_grams(shapes[words[i]:words[i + 1]])), dtype=np.int64)
             order = np.arange(len(found), dtype=np.int32)
             writer[found] = order  # the last to write a number is the one that counts
             yield found[writer[found] == order]
 
 
+def _byte_grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    wide = raw.astype(np.uint32)
+    pairs = wide[:-1] << np.uint32(8) | wide[1:]
+    triples = (pairs[:-1] << np.uint32(8) | wide[2:]) * np.uint32(0x9E3779B1) >> np.uint32(15)
+    return pairs, triples + np.uint32(PAIRS)
+
+
+def _stretches(raw: np.ndarray) -> np.ndarray:
+    """The different grams of a long text, a stretch at a time."""
+    seen = np.zeros(PAIRS + TRIPLES, bool)
+    for a in range(0, len(raw), BLOCK_BYTES):
+        for grams in _byte_grams(raw[a:a + BLOCK_BYTES + 2]):
+            seen[grams] = True
+    return np.flatnonzero(seen)
+
+
 def _shapes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(begins):
         return np.zeros(0, U)
@@ -132,7 +147,8 @@ def model(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     """Fit on at most ``per_class`` labelled documents of each class, outside the held-out third.
 
     The sample is the smallest ``xxhash64`` values of doc_id, so it does not hang on the order
-    or place of rows. Class shares come from all labels.
+    or place of rows. Of rows that share a doc_id one text is learned from, so that repeated rows cannot
+    make the sample larger. Class shares come from all labels.
     """
     usable = labels.select("doc_id", "quality").where(
         F.col("quality").isin(0, 1) & (F.pmod(crc32_of("doc_id"), F.lit(3)) != 1))
@@ -140,7 +156,10 @@ def model(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     picked = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
               for q in (0, 1)]
-    sample = documents.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    chosen = F.broadcast(picked[0].union(picked[1]))
+    texts = documents.select("doc_id", "text").join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = texts.join(chosen, "doc_id")
 
     @lean
     def numbers(batches):

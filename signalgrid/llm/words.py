@@ -54,17 +54,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class _Tables:
-    """Powers of the base and its inverse, as long as the longest block so far."""
-
-    up = _powers(BASE, 1024)
-    down = _powers(BASE_INVERSE, 1024)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up, cls.down = _powers(BASE, n), _powers(BASE_INVERSE, n)
-        return cls.up[:n], cls.down[:n]
+# Powers of the base and its inverse; words are hashed in stretches of at most this many bytes, so
+# what a worker keeps does not grow with the longest text.
+STRETCH = 1 << 18
+_UP, _DOWN = _powers(BASE, STRETCH + 1), _powers(BASE_INVERSE, STRETCH + 1)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +109,32 @@ def word_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_keys(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(begins):
-        return np.zeros(0, U)
-    up, down = _Tables.of(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum((raw.astype(U) + U(1)) * up[:len(raw)], out=total[1:])
-    return mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(U))
+    """Keys of the words in [begins, ends); neighbouring words share a stretch of the sums."""
+    out = np.zeros(len(begins), U)
+    i = 0
+    while i < len(begins):
+        low = int(begins[i])
+        j = int(np.searchsorted(ends, low + STRETCH, "right"))
+        if j <= i:  # one word longer than a stretch
+            out[i] = _long_key(raw[low:int(ends[i])])
+            i += 1
+            continue
+        part = raw[low:int(ends[j - 1])]
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum((part.astype(U) + U(1)) * _UP[:len(part)], out=total[1:])
+        first, last = begins[i:j] - low, ends[i:j] - low
+        out[i:j] = mix((total[last] - total[first]) * _DOWN[first] + (last - first).astype(U))
+        i = j
+    return out
+
+
+def _long_key(word: np.ndarray) -> np.uint64:
+    total, power = 0, 1
+    for a in range(0, len(word), STRETCH):
+        part = word[a:a + STRETCH]
+        total += power * int(((part.astype(U) + U(1)) * _UP[:len(part)]).sum(dtype=U))
+        power = power * int(_UP[STRETCH]) % 2**64
+    return mix(np.array([(total + len(word)) % 2**64], U))[0]
 
 
 def shingles(keys: np.ndarray, k: int) -> np.ndarray:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 import corpus_pipeline
@@ -284,7 +285,8 @@ def test_pairs_behind_a_refused_closest_pair_are_asked(spark):
     buckets = {10: [1, 3], 11: [1, 2], 12: [3, 4], 13: [1, 2, 3, 4, 9], **{k: [9] + [100 + k] for k in range(20, 30)}}
     for k in range(20, 30):  # others that make 9 the hub of bucket 13
         texts[100 + k], sketch[100 + k] = [f"y{k}"] * 100, [(1 << 62) - 1 - k if j % 2 else k for j in range(16)]
-    rows = [(i, 96, [k for k, m in buckets.items() if i in m], sketch[i]) for i in texts]
+    # All rows have as many bands; where a row is in no bucket with others, its key is its own.
+    rows = [(i, 96, [k if i in m else -1000 * i - k for k, m in buckets.items()], sketch[i]) for i in texts]
     reps = spark.createDataFrame(rows, "rep long, n long, bands array<long>, sketch array<long>")
     documents = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     links = {(min(r.a, r.b), max(r.a, r.b)) for r in minhash_dedup._links(reps, documents).collect()}
@@ -348,3 +350,88 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
     kept = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
     groups = minhash_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in groups if r.kept or r.n_shingles == 0} <= set(documents)
+
+
+def test_nearly_similar_families_leave_no_pairs_behind(spark):
+    """Texts that are all near each other, but under the threshold, with real groups among them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+
+    def changed(words, k):
+        out = list(words)
+        for i in rng.sample(range(len(out)), k):
+            out[i] = f"z{rng.random()}"
+        return out
+
+    texts = [changed(base, 3) for _ in range(160)]
+    texts += [changed(t, 1) for t in texts[:60]] + [changed(t, 2) for t in texts[:20]] + texts[:5]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = {i: {j for j in range(len(sets)) if i != j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+            for i in range(len(sets))}
+    component = {}
+    for i in range(len(sets)):
+        todo = [] if i in component else [i]
+        while todo:
+            x = todo.pop()
+            if x not in component:
+                component[x] = i
+                todo += near[x]
+    assert 60 < len(set(component.values())) < 200
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame).collect()}
+    assert got == component
+    reps = minhash_dedup.sketches(frame).where("n_shingles > 0").dropDuplicates(["class"]).selectExpr(
+        "doc_id AS rep", "n_shingles AS n", "bands", "sketch")
+    assert minhash_dedup._links(reps, frame).count() < 6 * len(docs)
+
+
+def test_recall_at_the_threshold_with_the_sketch():
+    """Pairs at 0.75 that bands bring together and the sketch then drops."""
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(400):
+        keys = rng.integers(0, 2**63, 700).astype(np.uint64)
+        a, b = keys[:600], keys[100:]  # 500 of 700 in common
+        both = minhash_dedup.odd_sketches(np.stack((minhash_dedup.minhash(a), minhash_dedup.minhash(b))))
+        missed += int(np.bitwise_count(both[0] ^ both[1]).sum()) > minhash_dedup.most_differing()
+    assert missed == 0
+
+
+def test_words_of_long_texts_have_the_same_keys(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab é \n") for _ in range(400)), "x" * 900, " " * 300, "", None, "a " * 200, "y" * 65 + " z" * 70]
+    whole = [b.keys.tolist() for b in words.blocks(pa.array(texts))]
+    monkeypatch.setattr(words, "STRETCH", 64)
+    assert [b.keys.tolist() for b in words.blocks(pa.array(texts))] == whole
+
+
+def test_a_worker_keeps_nothing_of_a_long_text():
+    import resource
+
+    text = pa.array(["Wort einer langen Zeile\n" * 2_200_000])  # 50 MB
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    n = sum(len(b.keys) for b in words.blocks(text))
+    assert n == 8_800_000
+    held = int(open("/proc/self/statm").read().split()[1]) * 4096 / 1024
+    assert held - before < 200_000  # kB
+    found = list(quality.features(text))
+    assert len(found) == 1 and len(np.unique(found[0])) == len(found[0])
+
+
+def test_grams_of_a_long_text_are_those_of_its_stretches(monkeypatch):
+    rng = random.Random(5)
+    texts = pa.array(["".join(rng.choice("abcdé .\n") for _ in range(n)) for n in (5000, 90, 3000, 0)])
+    whole = [sorted(x.tolist()) for x in quality.features(texts)]
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(quality, "row_ranges", lambda at: words.row_ranges(at, 64))
+    assert [sorted(x.tolist()) for x in quality.features(texts)] == whole
+
+
+def test_repeated_ids_do_not_make_the_sample_larger(spark):
+    rows = [(1, f"good text {i}") for i in range(300)] + [(2, "bad text"), (3, "good words"), (2, "bad text")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    weights = quality.model(documents, labels)
+    again = quality.model(documents.orderBy(F.desc("text")), labels)
+    assert weights.tobytes() == again.tobytes()
