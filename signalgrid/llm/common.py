@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from signalgrid.session import remove_at_exit, work_folder
 
 FIT_ROWS = 500_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def lean(task: Callable) -> Callable:
@@ -23,6 +25,7 @@ def lean(task: Callable) -> Callable:
         try:
             yield from task(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)
@@ -32,6 +35,16 @@ def lean(task: Callable) -> Callable:
     return run
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python workers some thousand rows at a time.
+
+    Spark's default of 10,000 rows makes batches of tens of megabytes, held several times over by the
+    executor and its worker. A session with another setting keeps it.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalgrid.llm.common import broadcast_if_small, by_runs, components, lean, stored
+from signalgrid.llm.common import broadcast_if_small, by_runs, components, lean, modest_batches, stored
 from signalgrid.llm.words import BASE, U, blocks, mix, shingles
 
 WORDS = 5
@@ -23,6 +23,7 @@ BLOCK_SHINGLES = 2_000_000
 PAIRS_AT_ONCE = 4_096
 TEXTS_A_RUN = 64
 SHINGLES_AT_ONCE = 512
+ROWS_AT_ONCE = 256
 
 _RNG = np.random.default_rng(91)
 _FACTORS = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -45,10 +46,14 @@ def minhash(keys: np.ndarray) -> np.ndarray:
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Parity bitmaps of rows of MinHash samples: each (function, value) flips one of 1,024 bits."""
-    n = len(samples)
-    bit = (mix(samples.astype(U) + _SAMPLE) % U(BITS)).astype(np.int64) + np.arange(n)[:, None] * BITS
-    odd = np.bincount(bit.ravel(), minlength=n * BITS).reshape(n, BITS) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(U)
+    out = np.zeros((len(samples), BITS // 64), U)
+    for i in range(0, len(samples), ROWS_AT_ONCE):
+        part = samples[i:i + ROWS_AT_ONCE]
+        n = len(part)
+        bit = (mix(part.astype(U) + _SAMPLE) % U(BITS)).astype(np.int64) + np.arange(n)[:, None] * BITS
+        odd = np.bincount(bit.ravel(), minlength=n * BITS).reshape(n, BITS) & 1
+        out[i:i + n] = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(U)
+    return out
 
 
 def most_differing(least: float = LEAST_ESTIMATE) -> int:
@@ -62,6 +67,7 @@ def most_differing(least: float = LEAST_ESTIMATE) -> int:
 
 def sketches(documents: DataFrame) -> DataFrame:
     """For each document the size and digest of its shingle set, its band keys and odd sketch."""
+    modest_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 

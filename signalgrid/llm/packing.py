@@ -11,15 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from signalgrid.llm.common import lean, stored
+from signalgrid.llm.common import lean, modest_batches, stored
 from signalgrid.llm.token_counts import byte_letters, vocabulary
 from signalgrid.llm.words import buffers, row_ranges
 
 WINDOW = 2_048
 END_ID = 1
-CACHED = 200_000
+CACHED = 100_000
 LONGEST_WORD = 20
-WORDS_AT_ONCE, TEXT_BYTES = 4_096, 4_000_000
+WORDS_AT_ONCE, TEXT_BYTES = 4_096, 1_000_000
 LEAST_ROWS_A_BLOCK, MOST_ROWS_A_BLOCK, BLOCKS = 256, 200_000, 1_024
 
 # A word of plain or western letters with signs after it; all else goes through the library.
@@ -143,6 +143,7 @@ def pieces(documents: DataFrame, name: str = "word_bpe_49k.json", window: int =
 
     Null text is empty and has the end id alone. With ``keep_ids`` the ids are a column too.
     """
+    modest_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     kinds = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
              "doc_tokens": pa.int64()} | ({"ids": pa.list_(pa.uint32())} if keep_ids else {})

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from signalgrid.llm.common import crc32_of, lean
+from signalgrid.llm.common import crc32_of, lean, modest_batches
 from signalgrid.llm.words import BASE, BLOCK_BYTES, U, buffers, mix, row_ranges, span_keys, word_spans
 
 PER_CLASS = 6_000
@@ -150,6 +150,7 @@ def model(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     or place of rows. Of rows that share a doc_id one text is learned from, so that repeated rows cannot
     make the sample larger. Class shares come from all labels.
     """
+    modest_batches(documents.sparkSession)
     usable = labels.select("doc_id", "quality").where(
         F.col("quality").isin(0, 1) & (F.pmod(crc32_of("doc_id"), F.lit(3)) != 1))
     sizes = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -188,6 +189,7 @@ def model(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
 
 def score(documents: DataFrame, weights: np.ndarray, keep_text: bool = True) -> DataFrame:
     """Adds score and predicted to any frame with a text column, without a shuffle."""
+    modest_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(weights)
     plain = documents.drop("score", "predicted")
     names = [c for c in plain.columns if keep_text or c != "text"]
