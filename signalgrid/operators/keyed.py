@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def apply_defaults(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
@@ -31,6 +31,26 @@ def insert_if_absent(
     return first.join(known, key, "left").filter(F.col("_known").isNull()).select("row.*")
 
 
+def store_keyed(rows: DataFrame, table: str, key: str, buckets: int, mode: str = "error") -> None:
+    """Write or append to a keyed table whose files are dealt by the key.
+
+    Each task writes one file at most, as rows are dealt before; ``table`` is a table of the catalog.
+    """
+    dealt = rows.repartition(buckets, key)
+    dealt.write.format("parquet").bucketBy(buckets, key).sortBy(key).mode(mode).saveAsTable(table)
+
+
+def append_if_absent(
+    spark: SparkSession, table: str, incoming: DataFrame, key: str, order: Sequence[str], buckets: int
+) -> None:
+    """Insert rows with new keys into a table of ``store_keyed``.
+
+    The keys on file lie in their buckets already, so only what comes in is shuffled, to the same buckets.
+    """
+    new = insert_if_absent(spark.table(table), incoming, key, order)
+    store_keyed(new.select(spark.table(table).columns), table, key, buckets, "append")
+
+
 def check_domain(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """Add ``reason``: the first broken rule, NULL for accepted rows.
 

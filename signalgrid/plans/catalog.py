@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -41,6 +42,7 @@ ROUTES = (
 PHRASES = (Keywords("P", ("de la", "in the")), *WORD_LISTS)
 SILENT = Box("southern-ocean", -60.0, -70.0, 0.0, -50.0, len(THEATER_BOXES))
 PAGE = 50
+KEY_BUCKETS = 8
 
 
 def _six(name: str):
@@ -424,7 +426,7 @@ def missing_keys(spark, sf_dir):
 
 # --- Keyed tables ------------------------------------------------------------
 
-def insert_if_absent(spark, sf_dir):
+def _signed_up(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Each order signs its customer up; the BUILDING segment is on file already."""
     existing = table(spark, sf_dir, "customer").filter(
         F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("id"))
@@ -433,13 +435,29 @@ def insert_if_absent(spark, sf_dir):
     incoming = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("id"), "o_orderkey", role.alias("role"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("created_at"))
-    ready = keyed.apply_defaults(incoming, {
+    return existing, keyed.apply_defaults(incoming, {
         "role": F.lit(fv.DEFAULT_ROLE), "created_at": clock.moment(AS_OF, NTZ)})
+
+
+def insert_if_absent(spark, sf_dir):
+    existing, ready = _signed_up(spark, sf_dir)
     added = keyed.insert_if_absent(existing, ready, "id", ["created_at", "o_orderkey"])
     return added.select(
         "id", "o_orderkey", "role", clock.iso_text(F.col("created_at")).alias("created_at"))
 
 
+def insert_bucketed(spark, sf_dir):
+    """The same into a table whose files are dealt by key; what was added is read back."""
+    name = f"profiles_{uuid.uuid4().hex}"
+    remove_at_exit(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
+    existing, ready = _signed_up(spark, sf_dir)
+    on_file = existing.select("id", *[F.lit(None).cast(ready.schema[c].dataType).alias(c) for c in ready.columns[1:]])
+    keyed.store_keyed(on_file, name, "id", KEY_BUCKETS)
+    keyed.append_if_absent(spark, name, ready, "id", ["created_at", "o_orderkey"], KEY_BUCKETS)
+    return spark.table(name).filter(F.col("o_orderkey").isNotNull()).select(
+        "id", "o_orderkey", "role", clock.iso_text(F.col("created_at")).alias("created_at"))
+
+
 def domain_check(spark, sf_dir):
     role = (
         F.when(F.col("c_mktsegment") == "BUILDING", F.lit("viewer"))
@@ -755,13 +773,12 @@ def payload_events(spark, sf_dir):
 
 
 def payload_sink(spark, sf_dir):
-    """The events answer written as one JSON document per theater and read back."""
+    """The events answer published as one JSON document per theater and read back."""
     folder = work_folder(spark, "payload")
     remove_at_exit(spark, folder)
-    path = f"{folder}/events"
     answer = _events_answer(spark, sf_dir)
-    sinks.write_payload(answer, path, "theater")
-    back = spark.read.schema(answer.schema).json(path)
+    sinks.publish(answer, folder, "theater")
+    back = sinks.read_published(spark, folder, answer.schema)
     return back.select(
         "theater", "status", F.size("events").cast("bigint").alias("events"),
         F.size("arcs").cast("bigint").alias("arcs"),
@@ -850,7 +867,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lookback, conflict_lookback, conflict_recent, timeline_volume, timeline_tone, timeline_stats,
         tone_now, tone_gauge,
         fetch_freshness, last_known_good, feed_status, missing_keys,
-        insert_if_absent, domain_check,
+        insert_if_absent, insert_bucketed, domain_check,
         stream_signals, stream_volume, stream_fetch_state, stream_landing,
         geo_scan, landing_ids, conflict_scan, article_scan, report_scan, timeline_scan,
         quarantine, boundary_subset, resolved_requests,

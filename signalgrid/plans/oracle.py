@@ -508,3 +508,4 @@ u AS (SELECT subject, pos, t, tone_now, 'volume' AS metric, volume AS v FROM s
 SELECT u.subject, status, round(tone_now, 6) AS tone_now, metric, pos, strftime(t, {ISO}) AS t,
   round(v, 6) AS v FROM u JOIN state USING (subject)""",
 }
+ORACLE["insert_bucketed"] = ORACLE["insert_if_absent"]

@@ -91,6 +91,37 @@ def subfolders(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(path) if s.isDirectory()]
 
 
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in a folder; none if it is not there."""
+    system, path = _file_system(spark, folder)
+    if not system.exists(path):
+        return []
+    return [s.getPath().getName() for s in system.listStatus(path) if s.isFile()]
+
+
+def write_text(spark: SparkSession, file: str, text: str) -> None:
+    """Write a short file."""
+    system, path = _file_system(spark, file)
+    out = system.create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def text_of(spark: SparkSession, file: str) -> str:
+    """What a short file holds."""
+    return "\n".join(r.value for r in spark.read.text(file).collect())
+
+
+def move_file(spark: SparkSession, file: str, target: str) -> bool:
+    """Put a file in place by one rename; False if something is there already."""
+    system, path = _file_system(spark, file)
+    to = _file_system(spark, target)[1]
+    system.mkdirs(to.getParent())
+    return not system.exists(to) and system.rename(path, to)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     system, path = _file_system(spark, folder)
     system.delete(path, True)
