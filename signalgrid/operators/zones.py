@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from signalgrid.dims import Box
 from signalgrid.functions.geometry import boxes_holding, cell, first_box, inside
-from signalgrid.session import local_table
+from signalgrid.session import local_table, written
 
 INLINE_BOXES = 64
 BROADCAST_ZONES = 20_000
@@ -27,6 +27,9 @@ SHARED_SPAN = 4  # in powers of two: zones down to a quarter of a shared cell
 WORLD = 360.0
 FINEST_LEVEL = 14
 CELLS_PER_EXTENT = 2  # in powers of two: a zone is at most four cells wide
+LONGEST_LIST = 64  # a cell with more zones is split, down to cells of some ten metres
+DEEPEST_LEVEL = 22
+BROADCAST_BYTES = 64 << 20
 CELL = ["level", "cell_x", "cell_y"]
 BUSY_POINTS = 1_000_000  # a cell with more points is split over SALTS tasks
 BUSY_CELLS = 1_000
@@ -47,16 +50,24 @@ def attribute_boxes(points: DataFrame, boxes: Sequence[Box], out: str = "code")
     return points.withColumn(out, first_box(boxes))
 
 
-def zone_cells(zones: DataFrame, level: Column | None = None) -> DataFrame:
+def zone_cells(
+    zones: DataFrame, level: Column | None = None, within: tuple[str, str] | None = None
+) -> DataFrame:
     """One row per zone and grid cell it touches; ``full`` if it covers the cell.
 
+    ``within`` names columns with a cell of the level above; only its quarters count then.
+
     Without ``level`` each zone uses the grid level that fits its size, so it
     touches a bounded number of cells whatever that size is.
     """
     size = F.col("cell_size")
 
-    def span(low: str, high: str):
-        return F.explode(F.sequence(cell(_edge(low), size), cell(_edge(high), size)))
+    def span(low: str, high: str, parent: str | None):
+        first, last = cell(_edge(low), size), cell(_edge(high), size)
+        if parent:
+            first, last = F.greatest(first, 2 * F.col(parent)), F.least(last, 2 * F.col(parent) + 1)
+        # A zone that only touches its cell's far edge can lie in none of the quarters.
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
 
     # A hair of slack, so that rounding at a cell's edge cannot make a cell look covered.
     slack = size * 1e-9
@@ -69,8 +80,8 @@ def zone_cells(zones: DataFrame, level: Column | None = None) -> DataFrame:
     return (
         zones.withColumn("level", _level() if level is None else level)
         .withColumn("cell_size", F.lit(WORLD) / F.pow(F.lit(2.0), F.col("level")))
-        .withColumn("cell_x", span("west", "east"))
-        .withColumn("cell_y", span("south", "north"))
+        .withColumn("cell_x", span("west", "east", within and within[0]))
+        .withColumn("cell_y", span("south", "north", within and within[1]))
         .withColumn("full", full)
         .drop("cell_size")
     )
@@ -89,6 +100,42 @@ def contenders(cells: DataFrame) -> DataFrame:
     ).drop("cutoff", "full")
 
 
+def split_crowded(
+    cells: DataFrame, levels: Sequence[int], longest: int = LONGEST_LIST
+) -> tuple[DataFrame, list[int]]:
+    """Split cells until their lists are short: an adaptive quad-tree as a table.
+
+    A cell with more than ``longest`` zones gives way to its four quarters, each with the zones that touch
+    it and can still be first there; quarters that are still crowded are split in turn. So dense places
+    have small cells and others keep large ones. A list stays long only where more zones meet in one
+    cell of the deepest level. Returns the cells and the levels they lie on.
+    """
+    done, levels = None, list(levels)
+    while True:
+        crowded = cells.filter(F.col("level") < DEEPEST_LEVEL).groupBy(*CELL).count().filter(
+            F.col("count") > longest).select(*CELL)
+        found = sorted(r["level"] for r in crowded.select("level").distinct().collect())
+        if not found:
+            return (cells if done is None else done.unionByName(cells)), levels
+        # Each round works on the crowded cells of the one before alone.
+        stay = cells.join(crowded, CELL, "left_anti")
+        done = stay if done is None else done.unionByName(stay)
+        cells = written(contenders(_quarters(cells.join(crowded, CELL, "left_semi"))), "cells")
+        levels = sorted({*levels, *(level + 1 for level in found)})
+
+
+def _quarters(cells: DataFrame) -> DataFrame:
+    """Zone cells of the next level inside the given ones."""
+    parents = cells.withColumnsRenamed({"cell_x": "_x", "cell_y": "_y"})
+    finer = zone_cells(parents.withColumn("level", F.col("level") + 1), F.col("level"), ("_x", "_y"))
+    return finer.drop("_x", "_y")
+
+
+def _bytes(cells: DataFrame) -> int:
+    """About how large the cells' lists are when they are broadcast."""
+    return cells.agg(F.sum(F.lit(64) + F.length("code"))).first()[0] or 0
+
+
 def attribute_zone_table(
     points: DataFrame,
     zones: DataFrame,
@@ -106,8 +153,8 @@ def attribute_zone_table(
     if not grid.zones:
         return points.withColumn(out, F.lit(None).cast("string"))
     levels, cells = _gridded(zones, grid)
-    cells = contenders(cells)
-    if grid.zones <= broadcast_zones:
+    cells, levels = split_crowded(contenders(cells), levels)
+    if grid.zones <= broadcast_zones and _bytes(cells) <= BROADCAST_BYTES:
         return _by_candidate_lists(points, cells, levels, out)
     busy = _busy_cells(points, levels)
     spread = F.xxhash64(*([key] if key else []), "lon", "lat")

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,39 @@ def test_dense_grid_covers_every_clipped_point(spark, sf_dir):
         F.sum("points").alias("points")).collect()}
     for row in clipped.collect():
         assert sums[row.theater] >= row["count"]
+
+
+def test_many_zones_in_one_cell(spark):
+    """100,000 zones in 0.02 degrees: the lists stay short and the answer is that of all zones."""
+    rng = np.random.default_rng(5)
+    n, side = 100_000, 0.02
+    west, south = 10.0 + rng.random(n) * side, 20.0 + rng.random(n) * side
+    size = rng.choice([1e-6, 2e-5, 1e-4], n)
+    frame = spark.createDataFrame(pd.DataFrame({
+        "code": [f"z{i}" for i in range(n)], "priority": rng.permutation(n).astype(np.int32), "west": west, "south": south,
+        "east": west + size, "north": south + size}))
+    grid = zones._measure(frame)
+    levels, cells = zones._gridded(frame, grid)
+    before = cells.groupBy(*zones.CELL).count().agg(F.max("count")).first()[0]
+    tree, deep = zones.split_crowded(zones.contenders(cells), levels)
+    longest = tree.filter(F.col("level") < zones.DEEPEST_LEVEL).groupBy(*zones.CELL).count().agg(F.max("count")).first()[0]
+    assert before > 1_000 and longest <= zones.LONGEST_LIST and len(deep) > 3
+    lon, lat = 10.0 + rng.random(3000) * side * 1.1, 20.0 + rng.random(3000) * side * 1.1
+    points = spark.createDataFrame(pd.DataFrame({"id": range(3000), "lon": lon, "lat": lat}))
+    rows = frame.toPandas()
+    wanted = {}
+    for i in range(3000):
+        held = rows[(rows.west <= lon[i]) & (lon[i] <= rows.east) & (rows.south <= lat[i]) & (lat[i] <= rows.north)]
+        wanted[i] = held.loc[held.priority.idxmin()].code if len(held) else None
+    assert sum(v is not None for v in wanted.values()) > 500
+    for few in (200_000, 10):
+        got = zones.attribute_zone_table(points, frame, "id", broadcast_zones=few).collect()
+        assert {r.id: r.code for r in got} == wanted
+
+
+def test_zones_that_all_hold_a_place_are_cut_by_the_best(spark):
+    boxes = [(f"z{i}", 5.0 - i * 1e-4, 5.0 - i * 1e-4, 6.0 + i * 1e-4, 6.0 + i * 1e-4, i) for i in range(500)]
+    table = local_table(spark, boxes, "code string, west double, south double, east double, north double, priority int")
+    places = local_table(spark, [(1, 5.5, 5.5), (2, 4.97005, 5.5), (3, 5.0, 5.0), (4, 7.0, 5.0)], "id int, lon double, lat double")
+    got = {r.id: r.code for r in zones.attribute_zone_table(places, table, "id").collect()}
+    assert got == {1: "z0", 2: "z300", 3: "z0", 4: None}
