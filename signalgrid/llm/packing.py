@@ -49,16 +49,23 @@ class WordIds:
         made = np.array([vocab[a + b] for a, b in model["merges"]], np.int32)
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.rank, self.made = pairs[order], order.astype(np.int32), made
+        # What was learned lately and before that; what is not used again goes with the older part.
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.rare: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without added special tokens; special strings in texts as by default."""
         split = [None if _ODD_BLANKS.search(t) else t.split() for t in texts]
         if len(self.runs) >= CACHED:
-            self.runs.clear()
+            self.runs, self.older = {}, self.runs
         known = self.runs
         new = set().union(*(s for s in split if s)).difference(known)
+        again = new.intersection(self.older)
+        if again:
+            known.update((c, self.older[c]) for c in again)
+            new -= again
         if new:
             self._learn(new)
         return [self._whole(t) if s is None else b"".join([known[c] for c in s]) for t, s in zip(texts, split)]
@@ -67,27 +74,37 @@ class WordIds:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, runs: set[str]) -> None:
-        if len(self.words) >= CACHED // 2:
-            self.words.clear()
-        words, waiting, fresh, odd = self.words, [], set(), []
+        if len(self.words) >= CACHED:
+            self.words, self.rare = {}, self.words
+        words, rare, waiting, fresh, odd = self.words, self.rare, [], set(), []
+        known = self.runs
         for run in runs:
-            m = _LETTERS.fullmatch(run)
-            if m is None or len(run) > LONGEST_WORD or "'" in m[2]:
-                odd.append(run)
-                continue
-            word, signs = m[1].lower(), m[2]
-            waiting.append((run, word, signs))
-            if word not in words:
-                fresh.add(word)
-            if signs and signs not in words:
-                words[signs] = self._whole(signs)
+            if run.isascii() and run.isalpha() and len(run) <= LONGEST_WORD:
+                word, signs = run.lower(), ""
+            else:
+                m = _LETTERS.fullmatch(run)
+                if m is None or len(run) > LONGEST_WORD or "'" in m[2]:
+                    odd.append(run)
+                    continue
+                word, signs = m[1].lower(), m[2]
+                if signs and signs not in words:
+                    words[signs] = self._whole(signs)
+            ids = words.get(word)
+            if ids is None:
+                ids = rare.get(word)
+                if ids is None:
+                    fresh.add(word)
+                    waiting.append((run, word, signs))
+                    continue
+                words[word] = ids
+            known[run] = ids + words[signs] if signs else ids
         ordered = sorted(fresh, key=len)
         for i in range(0, len(ordered), WORDS_AT_ONCE):
             words.update(self._merge(ordered[i:i + WORDS_AT_ONCE]))
         for run, word, signs in waiting:
-            self.runs[run] = words[word] + words[signs] if signs else words[word]
+            known[run] = words[word] + words[signs] if signs else words[word]
         for run, got in zip(odd, self.library.encode_batch(odd, add_special_tokens=False)):
-            self.runs[run] = np.array(got.ids, "<u4").tobytes()
+            known[run] = np.array(got.ids, "<u4").tobytes()
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """When each pair merges; len(pairs) if never."""
