@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalgrid.dims import Box
+from signalgrid.dims import Box, boxes
 from signalgrid.functions.geometry import boxes_holding, cell, first_box, inside
 from signalgrid.session import local_table, written
 
@@ -50,6 +50,14 @@ def attribute_boxes(points: DataFrame, boxes: Sequence[Box], out: str = "code")
     return points.withColumn(out, first_box(boxes))
 
 
+def attribute_zones(points: DataFrame, zones: Sequence[Box] | DataFrame, out: str = "code") -> DataFrame:
+    """Attribution by a list of boxes or a table of zones of any size; a long list becomes a table."""
+    if not isinstance(zones, DataFrame) and len(zones) <= INLINE_BOXES:
+        return attribute_boxes(points, zones, out)
+    table = zones if isinstance(zones, DataFrame) else boxes(points.sparkSession, zones)
+    return attribute_zone_table(points, table, out=out)
+
+
 def zone_cells(
     zones: DataFrame, level: Column | None = None, within: tuple[str, str] | None = None
 ) -> DataFrame:

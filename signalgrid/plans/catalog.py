@@ -115,14 +115,19 @@ def geofence_bucketed(spark, sf_dir):
     return found.select("event_id", "lon", "lat", "code")
 
 
-def geofence_zone_table(spark, sf_dir):
+def supplier_areas(spark, sf_dir):
+    """Suppliers as zones: a box around each one's place, its size by nation."""
     supplier = table(spark, sf_dir, "supplier")
     lon, lat = place(F.col("s_suppkey"))
     half = F.lit(0.25) + F.col("s_nationkey") / F.lit(8.0)
-    areas = supplier.select(
+    return supplier.select(
         F.col("s_name").alias("code"), F.col("s_suppkey").alias("priority"),
         (lon - half).alias("west"), (lat - half).alias("south"),
         (lon + half).alias("east"), (lat + half).alias("north"))
+
+
+def geofence_zone_table(spark, sf_dir):
+    areas = supplier_areas(spark, sf_dir)
     found = zones.attribute_zone_table(event_points(spark, sf_dir), areas, "event_id")
     return found.select("event_id", "code")
 

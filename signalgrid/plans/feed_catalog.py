@@ -14,7 +14,7 @@ from signalgrid.plans.bindings import (
     AS_OF, conflict_columns, event_columns, event_points, geo_columns, order_columns, order_points, table,
 )
 from signalgrid.plans.catalog import (
-    answer_parts, article_bodies, conflict_bodies, report_bodies, streamed, timeline_bodies,
+    answer_parts, article_bodies, conflict_bodies, report_bodies, streamed, supplier_areas, timeline_bodies,
 )
 from signalgrid.schemas import TABLES
 from signalgrid.session import remove_at_exit, work_folder, written
@@ -196,6 +196,12 @@ def _told_signals(spark, sf_dir) -> DataFrame:
     return geo.unionByName(conflict)
 
 
+def feed_zone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of both feeds, from bodies, attributed to the suppliers' zones in the same pass."""
+    rows = signal_parts(*_polls(spark, sf_dir), supplier_areas(spark, sf_dir))
+    return rows.filter(F.col(batches.PART) == batches.ROW).select("source", "key", "pos", "id", "name", "count", "nation")
+
+
 def stream_top_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _kept(spark, _told_signals(spark, sf_dir), lambda rows: parts.strongest(rows, F.col("told")))
     best = parts.strongest_now(kept)
@@ -231,4 +237,4 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fetch_log, landing_to_events, last_good_answer, stream_articles, stream_conflict, stream_reports, stream_timelines,
-    stream_top_signals, stream_pressure, status_intervals, stream_status)}
+    feed_zone_table, stream_top_signals, stream_pressure, status_intervals, stream_status)}

@@ -84,7 +84,18 @@ i AS (
     WHERE first < coalesce(first_good, {AS_OF}))
 SELECT user_id, status, strftime(since, {ISO}) AS since, strftime(till, {ISO}) AS till FROM i"""
 
+FEED_ZONES = f"""WITH {POLLS},
+areas AS (SELECT s_name, s_suppkey, 21e0 + ((s_suppkey * 7919) % 4900) / 1e2 AS mid_x,
+  24e0 + ((s_suppkey * 104729) % 4650) / 1e2 AS mid_y, 0.25e0 + s_nationkey / 8e0 AS half FROM supplier),
+told AS (SELECT source, key, fetched, page, pos, name, count, lon, lat,
+    sha256(source || '|' || source || '/' || key || '/' || strftime(fetched, '%Y%m%d%H') || '/' || page || '|' || pos) AS id
+  FROM polled WHERE usable AND reason IS NULL),
+won AS (SELECT id, arg_min(s_name, s_suppkey) AS zone FROM told JOIN areas
+  ON lon BETWEEN mid_x - half AND mid_x + half AND lat BETWEEN mid_y - half AND mid_y + half GROUP BY 1)
+SELECT source, key, pos, id, name, count, zone AS nation FROM told LEFT JOIN won USING (id)"""
+
 ORACLE = {
+    "feed_zone_table": FEED_ZONES,
     "fetch_log": f"""WITH {POLLS}
 SELECT source, key, strftime(fetched, {ISO}) AS "at", ok, n_bodies, n_rows, reason FROM log""",
     "landing_to_events": f"""WITH {LIVE},

@@ -14,9 +14,9 @@ from signalgrid import fixed_values as fv
 from signalgrid.dims import SUBJECT_BOXES, Box
 from signalgrid.functions.clock import compact_timestamp, moment
 from signalgrid.functions.display import signal_id
-from signalgrid.functions.geometry import first_box
 from signalgrid.functions.scoring import severity_by_fatalities, severity_by_share
 from signalgrid.functions.text import host_of, present
+from signalgrid.operators.zones import attribute_zones
 
 DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -46,12 +46,12 @@ def conflict_entry(record: Column, asked: Column) -> Column:
 
 
 def geo_signals(
-    docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES, carry: Sequence[str] = ()
+    docs: DataFrame, zones: Sequence[Box] | DataFrame = SUBJECT_BOXES, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Density features as signals; severity is relative to the document's peak.
 
-    The peak is taken over all features, also those dropped here or clipped later. Columns of the
-    documents named in ``carry`` stay.
+    The peak is taken over all features, also those dropped here or clipped later. ``zones`` is a list of a
+    few boxes or a table of zones of any size. Columns of the documents named in ``carry`` stay.
     """
     # Exploding a one-element array keeps the reading in one place, before the peak and the rows.
     read = docs.select("origin", *carry, F.explode(F.array(F.transform("doc.features", geo_entry))).alias("entries"))
@@ -61,11 +61,10 @@ def geo_signals(
         F.posexplode("entries").alias("pos", "e"),
     ).select("origin", *carry, "peak", "pos", "e.*").filter(usable(F.col("lon")) & usable(F.col("lat")))
     count = F.coalesce("told", F.lit(0.0))
-    return rows.select(
+    return attribute_zones(rows, zones, "nation").select(
         signal_id(F.lit(fv.SOURCE_GEO), F.col("origin"), F.col("pos")).alias("id"),
         "origin", F.col("pos").cast("bigint").alias("pos"), "lat", "lon", "name",
-        count.try_cast("bigint").alias("count"),
-        first_box(zones).alias("nation"),
+        count.try_cast("bigint").alias("count"), "nation",
         severity_by_share(count, F.col("peak")).alias("severity"),
         F.lit(fv.SOURCE_GEO).alias("source"), *carry,
     )
@@ -81,20 +80,20 @@ def number(text: Column) -> Column:
     return F.when(plain.rlike(DECIMAL), plain.try_cast("double"))
 
 
-def conflict_signals(docs: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFrame:
+def conflict_signals(docs: DataFrame, zones: Sequence[Box] | DataFrame = SUBJECT_BOXES) -> DataFrame:
     """Conflict records, whose numbers arrive as text, as signals.
 
     ``docs`` carries ``asked``, the country asked for.  Rows without usable
-    coordinates are dropped; a toll that is no number counts as zero.
+    coordinates are dropped; a toll that is no number counts as zero. ``zones`` is a list of a few
+    boxes or a table of zones of any size.
     """
     rows = docs.select("origin", "asked", F.posexplode("doc.data").alias("pos", "r")).select(
         "origin", "pos", conflict_entry(F.col("r"), F.col("asked")).alias("e")
     ).select("origin", "pos", "e.*").filter(usable(F.col("lat")) & usable(F.col("lon")))
-    return rows.select(
+    return attribute_zones(rows, zones, "nation").select(
         signal_id(F.lit(fv.SOURCE_CONFLICT), F.col("origin"), F.col("pos")).alias("id"),
         "origin", F.col("pos").cast("bigint").alias("pos"), "lat", "lon", "name",
-        (1 + F.col("toll")).try_cast("bigint").alias("count"),
-        first_box(zones).alias("nation"),
+        (1 + F.col("toll")).try_cast("bigint").alias("count"), "nation",
         severity_by_fatalities(F.col("toll")).alias("severity"),
         F.lit(fv.SOURCE_CONFLICT).alias("source"),
         F.col("day").alias("event_date"),

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from signalgrid import fixed_values as fv
 from signalgrid.dims import SUBJECT_BOXES, Box
 from signalgrid.functions.display import signal_id
-from signalgrid.functions.geometry import first_box
 from signalgrid.functions.scoring import severity_by_fatalities, severity_by_share
+from signalgrid.operators.zones import attribute_zones
 from signalgrid.schemas import CONFLICT_DOCUMENT, GEO_DOCUMENT
 from signalgrid.sources.batches import ASIDE, FETCH, PART, ROW
 from signalgrid.sources.feeds import conflict_entry, geo_entry, usable
@@ -29,7 +29,9 @@ SIGNAL = (
 )
 
 
-def signal_parts(asked: DataFrame, bodies: DataFrame, zones: Sequence[Box] = SUBJECT_BOXES) -> DataFrame:
+def signal_parts(
+    asked: DataFrame, bodies: DataFrame, zones: Sequence[Box] | DataFrame = SUBJECT_BOXES
+) -> DataFrame:
     """One row per body asked for, one per signal in it, and one per body set aside.
 
     Both feeds go through one parse and one explode: a body's entries become the same struct
@@ -37,7 +39,8 @@ def signal_parts(asked: DataFrame, bodies: DataFrame, zones: Sequence[Box] = SUB
     apart. Signals have the columns of ``SIGNAL``; a conflict record was observed on its day, a density
     feature when it was fetched. Severity is relative to the peak of the feature's own body. A body
     may be missing, empty, markup or malformed; that costs only itself, and a feature or record
-    without usable coordinates only itself as well.
+    without usable coordinates only itself as well. ``zones`` is a list of a few boxes or a table of zones
+    of any size.
     """
     here = bodies.select("origin", "body", F.lit(True).alias("arrived"))
     parsed = parse_bodies(asked.join(here, "origin", "left"), DOCUMENT)
@@ -68,19 +71,22 @@ def signal_parts(asked: DataFrame, bodies: DataFrame, zones: Sequence[Box] = SUB
     def of_signal(value: Column) -> Column:
         return F.when(signal, value)
 
-    return flat.select(
+    told = flat.select(
         PART, "source", "key", "at", "origin", "reason", "n_rows",
         F.when(F.col(PART) == ASIDE, F.col("body")).alias("body"),
         of_signal(pos).alias("pos"),
         of_signal(signal_id(F.col("source"), F.col("origin"), pos)).alias("id"), "lat", "lon", "name",
         of_signal(F.when(geo, F.coalesce("told", F.lit(0.0))).otherwise(1 + F.col("toll")).try_cast("bigint")).alias("count"),
-        of_signal(first_box(zones)).alias("nation"),
         of_signal(F.when(geo, severity_by_share(F.col("told"), F.col("peak"))).otherwise(
             severity_by_fatalities(F.col("toll")))).alias("severity"),
         of_signal(F.when(geo, F.lit(1)).otherwise(F.lit(0))).alias("source_rank"),
         of_signal(F.when(geo, F.lit(0)).otherwise(priority)).alias("subject_priority"),
         of_signal(F.when(geo, F.col("at")).otherwise(F.col("day").cast("timestamp"))).alias("observed_at"),
     )
+    # Attributed last, when rows no longer carry the body they came from; a head has no place and no nation.
+    names = told.columns
+    after = names.index("count") + 1
+    return attribute_zones(told, zones, "nation").select(*names[:after], "nation", *names[after:])
 
 
 def found_type() -> str:

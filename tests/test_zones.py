@@ -1,12 +1,19 @@
+import json
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from signalgrid import dims
+from signalgrid import dims, fixed_values as fv
+from signalgrid.dims import Box
 from signalgrid.operators import heat, zones
 from signalgrid.plans.bindings import event_points
+from signalgrid.schemas import CONFLICT_DOCUMENT, GEO_DOCUMENT
 from signalgrid.session import local_table
+from signalgrid.sources import batches, feeds, landing
+from signalgrid.sources.signals import signal_parts
 
 
 def random_points(spark, n=4000):
@@ -204,3 +211,41 @@ def test_zones_that_all_hold_a_place_are_cut_by_the_best(spark):
     places = local_table(spark, [(1, 5.5, 5.5), (2, 4.97005, 5.5), (3, 5.0, 5.0), (4, 7.0, 5.0)], "id int, lon double, lat double")
     got = {r.id: r.code for r in zones.attribute_zone_table(places, table, "id").collect()}
     assert got == {1: "z0", 2: "z300", 3: "z0", 4: None}
+
+
+def test_feeds_take_a_table_of_zones(spark):
+    rng = random.Random(8)
+    areas = [(f"z{i}", float(w), float(s), w + rng.uniform(0, 9), s + rng.uniform(0, 9), rng.randrange(20) * 100 + i)
+             for i, (w, s) in enumerate((rng.uniform(-20, 20), rng.uniform(-20, 20)) for _ in range(90))]
+    areas.append(("odd", 5.0, 5.0, -5.0, 9.0, -1))
+    table = spark.createDataFrame(areas, "code string, west double, south double, east double, north double, priority int")
+    boxes = [Box(*area) for area in areas]
+    places = [(rng.uniform(-25, 25), rng.uniform(-25, 25)) for _ in range(200)] + [(None, 1.0), (5.0, 5.0)]
+
+    def first(lon, lat):
+        held = [(p, c) for c, w, s, e, n, p in areas if w <= lon <= e and s <= lat <= n]
+        return min(held)[1] if held else None
+
+    wanted = [first(*p) for p in places if None not in p]
+    geo = json.dumps({"features": [{"geometry": {"coordinates": p}, "properties": {}} for p in places]})
+    conflict = json.dumps({"data": [{"longitude": None if x is None else str(x), "latitude": str(y)} for x, y in places]})
+    bodies = spark.createDataFrame([("g", geo), ("c", conflict)], "origin string, body string")
+    asked = spark.createDataFrame(
+        [("g", fv.SOURCE_GEO, "global"), ("c", fv.SOURCE_CONFLICT, "UA"), ("lost", fv.SOURCE_GEO, "global")],
+        "origin string, source string, key string").withColumn("asked", F.lit("x")).withColumn("at", F.current_timestamp())
+
+    def documents(origin, schema):
+        return landing.good_documents(landing.parse_bodies(bodies.filter(F.col("origin") == origin), schema))
+
+    for held in (table, boxes):
+        got = feeds.geo_signals(documents("g", GEO_DOCUMENT), held).orderBy("pos").collect()
+        assert [r.nation for r in got] == wanted
+        got = feeds.conflict_signals(documents("c", CONFLICT_DOCUMENT).withColumn("asked", F.lit("x")), held)
+        assert [r.nation for r in got.orderBy("pos").collect()] == wanted
+        made = signal_parts(asked, bodies, held)
+        rows = made.filter(F.col(batches.PART) == batches.ROW).orderBy("source", "pos").collect()
+        assert [r.nation for r in rows] == wanted * 2
+        heads = made.filter(F.col(batches.PART) == batches.FETCH).collect()
+        assert sorted((r.origin, r.reason, r.nation) for r in heads) == [("c", None, None), ("g", None, None), ("lost", "missing", None)]
+    none = feeds.geo_signals(documents("g", GEO_DOCUMENT), table.limit(0))
+    assert {r.nation for r in none.collect()} == {None}
