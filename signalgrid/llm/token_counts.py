@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import sys
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -21,6 +22,7 @@ LONGEST_CACHED = 48
 _PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _BLANKS = regex.compile(r" (?=\s)")
+_RUN = regex.compile(r"\s+")
 
 
 def byte_letters() -> list[str]:
@@ -104,7 +106,11 @@ class PrefixCounter:
             return known
         data = text.encode()
         n = len(data)
-        last, count, fits = [0] * (n + 1), [0] * (n + 1), self.fits.get
+        fits = self.fits.get
+        if n > LONGEST_CACHED:
+            last, count = array("i", bytes(4 * n + 4)), array("i", bytes(4 * n + 4))
+        else:
+            last, count = [0] * (n + 1), [0] * (n + 1)
         # All tokens that end at each byte, found in one pass of the automaton.
         for place, (size, token) in self.tokens.iter(data.decode("latin-1")):
             end = place + 1
@@ -117,7 +123,7 @@ class PrefixCounter:
                     continue
             last[end], count[end] = token, count[begin] + 1
         if n > LONGEST_CACHED:
-            return np.array(count[1:], np.uint32)
+            return np.frombuffer(count, np.int32)[1:]
         out = bytes(count[1:])
         if len(self.pieces) >= CACHED // 2:
             self.pieces.clear()
@@ -158,47 +164,62 @@ class PrefixCounter:
         return total
 
     def prefixes(self, text: str) -> np.ndarray:
-        """Count of each prefix: entry k is that of the first k characters.
+        """Count of each prefix: entry k is that of the first k characters, in time linear in the text.
 
-        The cut may change what the pattern makes of the last blanks, of a special string or of a
-        contraction; those few places are counted anew from the last sure piece on.
+        No prefix is encoded anew: each entry is read from the counts of the piece that it cuts.
         """
         out = np.zeros(len(text) + 1, np.uint32)
-        at, base = 0, 0
+        at = 0
         marks = list(self.split.finditer(text)) if self.split is not None else []
-        for mark in [*marks, None]:
-            stop = mark.start() if mark else len(text)
-            base = self._prefixes(text[at:stop], base, out[at:stop + 1])
-            if mark:
-                for k in range(mark.start() + 1, mark.end()):
-                    out[k] = out[at] + self.plain(text[at:k]) if at < k else 0
-                base += 1
-                out[mark.end()] = base
-                at = mark.end()
+        for mark in marks:
+            # A part of a special string is plain text yet; the whole of it is one token.
+            self._prefixes(text[at:mark.end() - 1], out[at:mark.end()])
+            out[mark.end()] = out[mark.start()] + 1
+            at = mark.end()
+        self._prefixes(text[at:], out[at:])
         return out
 
-    def _prefixes(self, text: str, base: int, out: np.ndarray) -> int:
-        out[0] = base
-        sure, sure_count, done = 0, base, base  # a place where any prefix is cut, and its count
+    def _prefixes(self, text: str, out: np.ndarray) -> None:
+        """Fill the counts behind the first, which is there already.
+
+        A cut piece is a piece as well, with two exceptions. A run of blanks gives its last one away
+        only to what follows, so a prefix that ends in the run has all of it as one piece. And what is
+        left of a contraction, a mark and one letter, is two pieces.
+        """
+        done, told = int(out[0]), 0  # count of the whole pieces so far; entries up to here are known
         for m in _PIECES.finditer(text):
-            piece, counts = m[0], self.piece(m[0])
-            odd = piece.isspace() or "'" in piece or piece[0] == "'"
-            odd = odd or (m.start() > 0 and (text[m.start() - 1].isspace() or text[m.start() - 1] == "'"))
-            if odd:
-                for k in range(m.start() + 1, m.end() + 1):
-                    out[k] = sure_count + self.plain(text[sure:k])
-            else:
-                at = 0
-                for k, c in enumerate(piece, m.start() + 1):
-                    at += len(c.encode())
-                    out[k] = done + int(counts[at - 1])
-                sure, sure_count = m.start(), done
+            begin, end = m.span()
+            run = _RUN.match(text, begin)
+            if run and run.end() >= end and begin >= told:
+                stop = run.end()
+                counts = self.ends(run[0])
+                out[begin + 1:stop + 1] = done + counts
+                told = stop
+                done += int(counts[end - begin - 1])
+                continue
+            piece = m[0]
+            counts = self.ends(piece)
+            fresh = max(begin, told)
+            out[fresh + 1:end + 1] = done + counts[fresh - begin:]
+            if piece[0] == "'" and len(piece) == 3 and piece[1].isalpha():
+                out[begin + 2] = done + self.plain(piece[:2])
             done += int(counts[-1])
-        out[len(text)] = done
-        return done
+            told = max(told, end)
+
+    def ends(self, text: str) -> np.ndarray:
+        """Counts of a piece at the end of each of its characters."""
+        counts = self.piece(text)
+        counts = np.frombuffer(counts, np.uint8) if isinstance(counts, bytes) else counts
+        if len(counts) == len(text):
+            return counts.astype(np.int64)
+        data = np.frombuffer(text.encode(), np.uint8)
+        last = np.append((data[1:] & 0xC0) != 0x80, True)  # the next byte begins a character
+        return counts[last].astype(np.int64)
 
     def longest_prefix(self, text: str, budget: int) -> str:
-        """The longest prefix of at most ``budget`` tokens."""
+        """The longest prefix of at most ``budget`` tokens; empty if the budget is not positive."""
+        if budget <= 0:
+            return ""
         return text[:int(np.flatnonzero(self.prefixes(text) <= budget)[-1])]
 
 
@@ -250,15 +271,21 @@ def token_counts(documents: DataFrame, name: str = "byte_bpe_50k.json", limit: i
 
 
 def truncated(documents: DataFrame, budget: int, name: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id and the longest prefix of each text within ``budget`` tokens."""
+    """doc_id and the longest prefix of each text within ``budget`` tokens; null text is empty.
+
+    A budget of zero or less leaves empty texts. Rows are cut one by one, repeated ones as well.
+    """
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     @lean
     def task(batches):
         own = counter(vocabulary(name))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([own.longest_prefix(t, budget) for t in batch["text"].to_pylist()], pa.string())],
-                names=["doc_id", "text"])
+        try:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"], pa.array([own.longest_prefix(t, budget) for t in batch["text"].to_pylist()], pa.string())],
+                    names=["doc_id", "text"])
+        finally:
+            own.forget()
 
     return rows.mapInArrow(task, "doc_id long, text string")
