@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signalgrid.llm.license_scan import template_grams
+from signalgrid.llm.license_scan import templates
 
 OP1 = """
 WITH RECURSIVE e AS (
@@ -73,28 +73,33 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(f.c, n.doc_id)::BIGINT AS c
 FROM n LEFT JOIN found f ON f.id = n.doc_id
 """
 
-_GRAMS = ", ".join(f"('{label}', '{a}', '{b}', {i}, {n}, {base})" for label, a, b, i, n, base in template_grams())
+_TEMPLATES = ", ".join(f"('{label}', {base}, {words})" for label, base, words in templates())
 
 OP9 = f"""
 WITH w AS (
   SELECT row_number() OVER () AS key, doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM documents
-), g(label, a, b, place, grams, base) AS (VALUES {_GRAMS}),
-p AS (SELECT key, w, unnest(range(1, len(w))) AS i FROM w),
-v AS (SELECT p.key, g.*, p.i - 1 - g.place AS d FROM p JOIN g ON g.a = p.w[p.i] AND g.b = p.w[p.i + 1]),
-d AS (
-  SELECT key, label, base, grams, d, count(*) AS n, min(place) AS low, max(place) AS high FROM v GROUP BY ALL
+), t(label, base, t) AS (VALUES {_TEMPLATES}),
+g AS (SELECT label, base, t, unnest(range(1, len(t) - 2)) AS q FROM t WHERE NOT base
+      UNION ALL SELECT label, base, t, 1 FROM t WHERE base),
+p AS (SELECT key, w, unnest(range(1, len(w) + 1)) AS p FROM w),
+texts AS (SELECT key, w, label, t, p, q FROM p JOIN g ON w[p] = t[q] AND w[p + 1] = t[q + 1]
+          WHERE NOT base AND w[p:p + 3] = t[q:q + 3]),
+places AS (
+  SELECT DISTINCT key, label, len(t) AS size, p - q AS d, q + i AS place
+  FROM texts, range(-4, 8) r(i) WHERE q + i >= 1 AND p + i >= 1 AND w[p + i] = t[q + i]
 ), o AS (
   SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY key, label ORDER BY d) <= 3 THEN 0 ELSE 1 END AS new
-  FROM d WHERE NOT base AND n >= least(3, grams)
+  FROM (SELECT DISTINCT key, label, d FROM places)
 ), s AS (SELECT *, sum(new) OVER (PARTITION BY key, label ORDER BY d) AS span FROM o),
-spans AS (
-  SELECT key, label, grams, sum(n) AS n, min(d + low) AS first, max(d + high + 1) AS last FROM s GROUP BY key, label, grams, span
-), f AS (
-  SELECT key, label, d AS at, 1.0::DOUBLE AS share, base FROM d WHERE base AND n = grams
-  UNION ALL SELECT key, label, first, least(1.0, n / grams)::DOUBLE, false FROM spans
-  WHERE n >= 0.5 * grams AND last - first + 1 <= 2 * (grams + 1)
+f AS (
+  SELECT key, label, NULL AS at, count(DISTINCT place) / size AS share, false AS base
+  FROM places JOIN s USING (key, label, d) GROUP BY key, label, size, span
+  HAVING count(DISTINCT place) >= 0.5 * size AND max(d + place) - min(d + place) + 1 <= 2 * size
+  UNION ALL
+  SELECT key, label, p - 1, 1, true FROM p JOIN g ON w[p] = t[1] AND w[p + 1] = t[2]
+  WHERE base AND w[p:p + len(t) - 1] = t
 )
 SELECT w.doc_id, len(any_value(w.w))::BIGINT AS n_words, count(*) FILTER (f.base)::BIGINT AS n_base,
        (min(f.at) FILTER (f.base))::BIGINT AS first_word, (max(f.at) FILTER (f.base))::BIGINT AS last_word,

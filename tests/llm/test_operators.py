@@ -1,5 +1,6 @@
 """Odd rows for each operator, and brute-force or library versions where SQL has none."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -146,6 +147,61 @@ def test_token_counts_at_every_prefix(spark, docs, no_docs):
     assert token_counts.token_counts(no_docs).count() == 0
 
 
+def test_prefix_counts_of_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    path = token_counts.vocabulary("byte_bpe_50k.json")
+    library, own, rng = Tokenizer.from_file(path), token_counts.counter(path), random.Random(6)
+    for text in (" " * 1_000_000, " " * 200_000 + "x", "'" * 100_000, "'r" * 50_000, " \n\u3000" * 20_000 + "'re", "a<|endof" * 9_000):
+        counts = own.prefixes(text)
+        for k in [0, 1, len(text) - 1, len(text), *(rng.randrange(min(len(text), 30_000)) for _ in range(8))]:
+            assert counts[k] == len(library.encode(text[:k], add_special_tokens=False).ids)
+    own.forget()
+    frame = spark.createDataFrame([(1, "one two"), (2, None), (3, " " * 9)], "doc_id long, text string")
+    for budget in (-3, 0):
+        assert {r.text for r in token_counts.truncated(frame, budget).collect()} == {""}
+
+
+def plainly_fitted(rows, labels, share, size, cost, epochs):
+    """Naive Bayes ratios and dual coordinate descent, one number at a time."""
+    counts = {0: [1.0] * size, 1: [1.0] * size}
+    for row, label in zip(rows, labels):
+        for j in row:
+            counts[label][j] += 1
+    ratio = [math.log(counts[1][j] / sum(counts[1])) - math.log(counts[0][j] / sum(counts[0])) for j in range(size)]
+    part = sum(labels) / len(labels)
+    weights, dual, order = [0.0] * (size + 1), [0.0] * len(rows), np.random.default_rng(1)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            y = 1 if labels[i] else -1
+            most = cost * (share / part if labels[i] else (1 - share) / (1 - part))
+            value = weights[size] + sum(weights[j] * ratio[j] for j in rows[i])
+            square = 1 + sum(ratio[j] ** 2 for j in rows[i])
+            new = min(max(dual[i] + (1 - y * value) / square, 0), most)
+            for j in rows[i]:
+                weights[j] += (new - dual[i]) * y * ratio[j]
+            weights[size] += (new - dual[i]) * y
+            dual[i] = new
+    return [w * r for w, r in zip(weights, [*ratio, 1])], dual
+
+
+def test_fit_against_plain_loops(monkeypatch):
+    rng, size = random.Random(3), 60
+    monkeypatch.setattr(quality, "SIZE", size)
+    labels = [int(rng.random() < 0.4) for _ in range(50)]
+    rows = [sorted({int(rng.triangular(0, size, size * 0.7 if y else size * 0.3)) for _ in range(12)}) for y in labels]
+    for share, epochs in ((0.4, 3), (0.7, 400)):
+        wanted, dual = plainly_fitted(rows, labels, share, size, 0.1, epochs)
+        got = quality.fit([np.array(r) for r in rows], np.array(labels), share, 0.1, epochs)
+        assert np.allclose(got, wanted, rtol=1e-9, atol=1e-12)
+    # At the end the margins fit the duals: beyond 1 where one is zero, within where it is at its bound.
+    part = sum(labels) / len(labels)
+    for row, y, a in zip(rows, labels, dual):
+        margin = (1 if y else -1) * (got[size] + sum(got[j] for j in row))
+        most = 0.1 * (0.7 / part if y else 0.3 / (1 - part))
+        assert margin > 1 - 1e-3 if a <= 0 else margin < 1 + 1e-3 if a >= most else abs(margin - 1) < 1e-3
+
+
 def test_warc_odd_pages(spark):
     big = "x\r\n\r\n" * 400
     rows = [(1, "http://a/ü\r\nb", big), (2, None, big), (2, "u", big), (None, "u", big), (3, "u", None), (4, "u", ""), (5, "u", "é"),
@@ -231,9 +287,59 @@ def test_licenses_in_odd_texts(spark, docs, no_docs):
     whole = spark.createDataFrame([(1, "Foo " + license_scan.TEXTS["mit-text"].upper()), (2, "permission is hereby")], "doc_id long, text string")
     found = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(whole).collect()}
     assert found == {1: ("mit-text", 1.0), 2: ("", 0.0)}
+    twice = spark.createDataFrame([(1, "mit license " * 3), (1, "apache license"), (1, "apache license")], "doc_id long, text string")
+    found = sorted((r.n_base, r.first_word, r.last_word, r.labels) for r in license_scan.license_scan(twice).collect())
+    assert found == [(1, 0, 0, "apache"), (1, 0, 0, "apache"), (3, 0, 4, "mit")]
     assert license_scan.license_scan(no_docs).count() == 0
 
 
+def found_licenses(words):
+    """Labels and best share by plain loops over a text's words."""
+    shares = {}
+    for label, base, due in license_scan.templates():
+        if base:
+            shares.update({label: 1.0 for p in range(len(words)) if words[p:p + len(due)] == due})
+            continue
+        places = {}
+        for p in range(len(words) - 3):
+            for q in range(len(due) - 3):
+                if words[p:p + 4] == due[q:q + 4]:
+                    places.setdefault(p - q, set()).update(
+                        q + i for i in range(-4, 8) if 0 <= q + i < len(due) and 0 <= p + i < len(words) and words[p + i] == due[q + i])
+        spans = []
+        for d in sorted(places):
+            if not spans or d - spans[-1][-1] > 3:
+                spans.append([])
+            spans[-1].append(d)
+        for span in spans:
+            at = [d + q for d in span for q in places[d]]
+            share = len(set().union(*(places[d] for d in span))) / len(due)
+            if share >= 0.5 and max(at) - min(at) + 1 <= 2 * len(due):
+                shares[label] = max(share, shares.get(label, 0))
+    return ",".join(sorted(shares)), max(shares.values(), default=0.0)
+
+
+def test_licenses_against_plain_loops(spark):
+    rng = random.Random(12)
+    due = [words for _, _, words in license_scan.templates()]
+    rows = []
+    for i in range(150):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            part = list(rng.choice(due))
+            for _ in range(rng.choice([0, 1, len(part) // 12, len(part) // 5])):
+                k, what = rng.randrange(len(part) + 1), rng.choice(["the", "software", "x", ""])
+                part[k:k + rng.randrange(3)] = [what] if what else []
+            begin, end = sorted((rng.choice([0, rng.randrange(len(part) + 1)]), rng.choice([len(part), rng.randrange(len(part) + 1)])))
+            text += ["y"] * rng.randrange(3) + part[begin:end] * rng.choice([1, 1, 2])
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in license_scan.license_scan(frame).collect()}
+    wanted = {i: found_licenses(text.split()) for i, text in rows}
+    assert got == {i: (labels, round(score, 9)) for i, (labels, score) in wanted.items()}
+    assert len({labels for labels, _ in wanted.values()}) > 12
+
+
 def test_licenses_stay_in_the_jvm(spark, sf_dir, capsys):
     queries.op9_license_scan(spark, sf_dir).explain()
     plan = capsys.readouterr().out
