@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-import re
+import string
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,26 +15,64 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from signalgrid.llm.common import lean, modest_batches, stored
 from signalgrid.llm.token_counts import byte_letters, vocabulary
-from signalgrid.llm.words import buffers, row_ranges
+from signalgrid.llm.words import buffers, mix, row_ranges
 
 WINDOW = 2_048
 END_ID = 1
-CACHED = 100_000
-LONGEST_WORD = 20
-WORDS_AT_ONCE, TEXT_BYTES = 4_096, 1_000_000
+CACHED, CACHED_IDS, CACHED_BYTES = 500_000, 4_000_000, 64
+LONGEST_WORD = 32
+WORDS_AT_ONCE, TEXT_BYTES = 4_096, 500_000
 LEAST_ROWS_A_BLOCK, MOST_ROWS_A_BLOCK, BLOCKS = 256, 200_000, 1_024
 
-# A word of plain or western letters with signs after it; all else goes through the library.
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-_ODD_BLANKS = re.compile("[\x1c-\x1f]")
+BLANK, LETTER, SIGN, DIGIT, ODD = range(5)
+# Keep so many first bytes of a word that is read as numbers of eight bytes.
+_MASKS = np.tril(np.full((LONGEST_WORD + 1, LONGEST_WORD), 255, np.uint8), -1).view("<u8")
+
+
+def byte_kinds(special: list[str]) -> np.ndarray:
+    """What a byte of UTF-8 is in a run of plain or western letters, signs and digits; all else is odd.
+
+    Apostrophes are odd, since some letters after them go with them, and so is what a special string begins with.
+    """
+    kind = np.full(256, ODD, np.uint8)
+    kind[list(b" \t\n\v\f\r")] = BLANK
+    kind[list(string.ascii_letters.encode())] = LETTER
+    kind[0xC3], kind[0x80:0xC0] = LETTER, LETTER  # after another byte than C3 the run is odd
+    kind[[0x97, 0xB7]] = ODD  # the signs of multiplication and division
+    kind[list(string.punctuation.encode())] = SIGN
+    kind[list(string.digits.encode())] = DIGIT
+    kind[[ord("'"), *(s.encode()[0] for s in special)]] = ODD
+    return kind
+
+
+def byte_folds() -> np.ndarray:
+    """Bytes of runs that are not odd, in lower case."""
+    fold = np.arange(256, dtype=np.uint8)
+    fold[ord("A"):ord("Z") + 1] += 32
+    fold[0x80:0x9F] += 32
+    return fold
+
+
+def stretches(data: np.ndarray, kinds: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Cut a text at blanks into parts of about ``most`` bytes; what has no blank stays whole."""
+    first, at = 0, most
+    while at < len(data):
+        blanks = np.flatnonzero(kinds[data[at:at + most]] == BLANK)
+        if len(blanks):
+            at += int(blanks[0])
+            yield data[first:at]
+            first = at
+        at += most
+    yield data[first:]
 
 
 class WordIds:
-    """Token ids of texts as little-endian bytes, the same as the tokenizers library gives.
+    """Token ids of texts, the same as the tokenizers library gives.
 
-    No token of this vocabulary crosses white space, so runs between white space are encoded
-    once and looked up after that. Merges of new plain words are applied to many words at a
-    time; other runs are encoded by the library itself.
+    No token of this vocabulary crosses white space, nor a border between letters, signs and
+    digits. Texts are cut there, a block at a time, and each word is encoded once and looked up after
+    that by its bytes. Merges of new words are applied to many words at a time; long words and
+    runs with odd bytes, which are not cut, are encoded by the library itself.
     """
 
     def __init__(self, path: str):
@@ -41,7 +81,8 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            spec = json.load(file)
+        model = spec["model"]
         vocab, letters, end = model["vocab"], byte_letters(), model["end_of_word_suffix"]
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.final = np.array([vocab[c + end] for c in letters], np.int32)
@@ -49,62 +90,144 @@ class WordIds:
         made = np.array([vocab[a + b] for a, b in model["merges"]], np.int32)
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.rank, self.made = pairs[order], order.astype(np.int32), made
-        # What was learned lately and before that; what is not used again goes with the older part.
-        self.runs: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.rare: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, without added special tokens; special strings in texts as by default."""
-        split = [None if _ODD_BLANKS.search(t) else t.split() for t in texts]
-        if len(self.runs) >= CACHED:
-            self.runs, self.older = {}, self.runs
-        known = self.runs
-        new = set().union(*(s for s in split if s)).difference(known)
-        again = new.intersection(self.older)
-        if again:
-            known.update((c, self.older[c]) for c in again)
-            new -= again
+        # When two bytes merge, inside a word and at its end.
+        self.inside, self.at_end = (
+            self._ranks(np.repeat(self.inner, 256), np.tile(second, 256)) for second in (self.inner, self.final))
+        self.kinds, self.folds = byte_kinds([t["content"] for t in spec["added_tokens"]]), byte_folds()
+        self._forget()
+
+    def _forget(self) -> None:
+        """What has been learned: row i has ids[starts[i]:starts[i] + counts[i]]; hashes are sorted, with their rows."""
+        self.ids, self.keys = np.zeros(0, np.uint32), [np.zeros(0, np.uint64)] * _MASKS.shape[1]
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.long: dict[bytes, int] = {}
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks of rows: the first row, ids of all of them, and where those of each begin and the last ones end.
+
+        There are no added special tokens; special strings in texts are handled as by default.
+        """
+        texts.validate(full=True)
+        data, at = buffers(texts)
+        for first, last in row_ranges(at, TEXT_BYTES):
+            if at[last] - at[first] <= 2 * TEXT_BYTES:
+                yield first, *self._block(data[at[first]:at[last]], at[first:last + 1] - at[first])
+            else:  # one long text
+                parts = stretches(data[at[first]:at[last]], self.kinds, TEXT_BYTES)
+                ids = np.concatenate([self._block(p, np.array([0, len(p)]))[0] for p in parts])
+                yield first, ids, np.array([0, len(ids)])
+
+    def _block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.counts) >= CACHED or len(self.ids) >= CACHED_IDS:
+            self._forget()
+        kind = self._kinds_by_run(data, at)
+        change = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        inner = at[(at > 0) & (at < len(data))]
+        change[inner - 1] = True
+        edge = kind != BLANK
+        edge[1:] &= change
+        begin = np.flatnonzero(edge)
+        edge = kind != BLANK
+        edge[:-1] &= change
+        size = np.flatnonzero(edge) + 1 - begin
+        # Numbers cannot tell a word that ends in zero bytes from one without them.
+        long = (size > LONGEST_WORD) | (data[begin + size - 1] == 0)
+        row = np.empty(len(begin), np.int64)
+        if long.any():
+            row[~long] = self._short(data, kind, begin[~long], size[~long])
+            row[long] = self._long(data, begin[long], size[long])
+        else:
+            row[:] = self._short(data, kind, begin, size)
+        count = self.counts[row]
+        ends = np.zeros(len(row) + 1, np.int64)
+        np.cumsum(count, out=ends[1:])
+        ids = self.ids[np.repeat(self.starts[row] - ends[:-1], count) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(begin, at)]
+
+    def _kinds_by_run(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Kinds of bytes; all of a run between blanks is odd if one byte is."""
+        kind = self.kinds[data]
+        if (kind == ODD).any():
+            begins = np.zeros(len(data), bool)  # of rows, blanks and what follows a blank
+            begins[at[at < len(data)]] = True
+            blank = kind == BLANK
+            begins |= blank
+            begins[1:] |= blank[:-1]
+            runs = np.flatnonzero(begins)
+            odd = np.maximum.reduceat(kind, runs) == ODD
+            kind[np.repeat(odd, np.diff(runs, append=len(data)))] = ODD
+        return kind
+
+    def _short(self, data: np.ndarray, kind: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Rows of words; those of equal hashes are told apart by their bytes."""
+        if not len(begin):
+            return np.zeros(0, np.int64)
+        folded = np.zeros(len(data) + LONGEST_WORD, np.uint8)
+        np.take(self.folds, data, out=folded[:len(data)])
+        np.copyto(folded[:len(data)], data, where=kind == ODD)
+        bytes_of = np.lib.stride_tricks.sliding_window_view(folded, LONGEST_WORD)
+        keys = [np.ascontiguousarray(k) for k in (bytes_of[begin].view("<u8") & _MASKS[size]).T]
+        hashes, more = keys[0].copy(), np.flatnonzero(size > 8)
+        rest = np.zeros(len(more), np.uint64)
+        for k in reversed(keys[1:]):
+            rest = mix(k[more] + rest)
+        hashes[more] += rest
+        order = np.argsort(hashes)
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for k in keys:
+            k = k[order]
+            new[1:] |= k[1:] != k[:-1]
+        first, word = order[new], np.empty(len(order), np.int64)
+        word[order] = np.cumsum(new) - 1
+        hashes, keys = hashes[first], [k[first] for k in keys]
+        row = np.full(len(first), -1, np.int64)
+        if len(self.rows):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.rows) - 1)
+            seen = self.rows[place]
+            known = np.logical_and.reduce([own[seen] == k for own, k in zip(self.keys, keys)])
+            row[known] = seen[known]
+        missing = np.flatnonzero(row < 0)
+        if len(missing):
+            hashes, keys = hashes[missing], [k[missing] for k in keys]
+            begin, size = begin[first[missing]], size[first[missing]]
+            odd = kind[begin] == ODD
+            if odd.any():
+                got = self._encode([data[a:a + n].tobytes() for a, n in zip(begin[odd].tolist(), size[odd].tolist())])
+                row[missing[odd]] = self._add(*got, [k[odd] for k in keys])
+            if not odd.all():
+                own = [k[~odd] for k in keys]
+                row[missing[~odd]] = self._add(*self._merge(np.stack(own, 1).view(np.uint8), size[~odd]), own)
+            place = np.searchsorted(self.hashes, hashes)
+            self.hashes = np.insert(self.hashes, place, hashes)
+            self.rows = np.insert(self.rows, place, row[missing].astype(np.int32))
+        return row[word]
+
+    def _long(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Rows of long words and runs; the longest are not kept for later blocks."""
+        runs = [data[a:a + n].tobytes() for a, n in zip(begin.tolist(), size.tolist())]
+        rows = {r: self.long[r] for r in set(runs) if r in self.long}
+        new = list(set(runs).difference(rows))
         if new:
-            self._learn(new)
-        return [self._whole(t) if s is None else b"".join([known[c] for c in s]) for t, s in zip(texts, split)]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, runs: set[str]) -> None:
-        if len(self.words) >= CACHED:
-            self.words, self.rare = {}, self.words
-        words, rare, waiting, fresh, odd = self.words, self.rare, [], set(), []
-        known = self.runs
-        for run in runs:
-            if run.isascii() and run.isalpha() and len(run) <= LONGEST_WORD:
-                word, signs = run.lower(), ""
-            else:
-                m = _LETTERS.fullmatch(run)
-                if m is None or len(run) > LONGEST_WORD or "'" in m[2]:
-                    odd.append(run)
-                    continue
-                word, signs = m[1].lower(), m[2]
-                if signs and signs not in words:
-                    words[signs] = self._whole(signs)
-            ids = words.get(word)
-            if ids is None:
-                ids = rare.get(word)
-                if ids is None:
-                    fresh.add(word)
-                    waiting.append((run, word, signs))
-                    continue
-                words[word] = ids
-            known[run] = ids + words[signs] if signs else ids
-        ordered = sorted(fresh, key=len)
-        for i in range(0, len(ordered), WORDS_AT_ONCE):
-            words.update(self._merge(ordered[i:i + WORDS_AT_ONCE]))
-        for run, word, signs in waiting:
-            known[run] = words[word] + words[signs] if signs else words[word]
-        for run, got in zip(odd, self.library.encode_batch(odd, add_special_tokens=False)):
-            known[run] = np.array(got.ids, "<u4").tobytes()
+            added = self._add(*self._encode(new), [np.zeros(len(new), np.uint64)] * len(self.keys)).tolist()
+            rows.update(zip(new, added))
+            self.long.update((r, i) for r, i in zip(new, added) if len(r) <= CACHED_BYTES)
+        return np.array([rows[r] for r in runs], np.int64)
+
+    def _encode(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids as the library gives them, where those of each run begin and how many they are."""
+        got = [e.ids for e in self.library.encode_batch([r.decode() for r in runs], add_special_tokens=False)]
+        counts = np.array([len(x) for x in got], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.cumsum(counts) - counts, counts
+
+    def _add(self, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+        first = len(self.counts)
+        self.starts = np.concatenate((self.starts, starts + len(self.ids)))
+        self.counts = np.concatenate((self.counts, counts))
+        self.ids = np.concatenate((self.ids, ids))
+        self.keys = [np.concatenate(k) for k in zip(self.keys, keys)]
+        return np.arange(first, len(self.counts))
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """When each pair merges; len(pairs) if never."""
@@ -112,18 +235,31 @@ class WordIds:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.rank[at], np.int32(len(self.pairs)))
 
-    def _merge(self, words: list[str]) -> dict[str, bytes]:
-        raw = [w.encode() for w in words]
-        size = np.array([len(r) for r in raw])
+    def _merge(self, words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, rows of bytes, where those of each begin and how many they are."""
+        order, parts, counts = np.argsort(size, kind="stable"), [], np.empty(len(size), np.int64)
+        for i in range(0, len(order), WORDS_AT_ONCE):
+            some = order[i:i + WORDS_AT_ONCE]
+            out = self._merge_some(words[some], size[some])
+            counts[some] = (out >= 0).sum(axis=1)
+            parts.append(out[out >= 0].astype(np.uint32))
+        starts = np.empty(len(size), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(parts), starts, counts
+
+    def _merge_some(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
         wide = int(size.max()) + 1
-        grid = np.frombuffer(b"".join(r.ljust(wide, b"\0") for r in raw), np.uint8).reshape(-1, wide)
-        rows, columns = np.arange(len(raw)), np.arange(wide)
+        grid = np.zeros((len(words), wide), np.uint8)
+        grid[:, :wide - 1] = words[:, :wide - 1]
+        rows, columns = np.arange(len(grid)), np.arange(wide)
         ids = np.where(columns < size[:, None], self.inner[grid], np.int32(-1))
         ids[rows, size - 1] = self.final[grid[rows, size - 1]]
         never = len(self.pairs)
         rank = np.full(ids.shape, never, np.int32)  # of the pair that begins here
-        inside = columns[:-1] < size[:, None] - 1
-        rank[:, :-1][inside] = self._ranks(ids[:, :-1][inside], ids[:, 1:][inside])
+        both = grid[:, :-1].astype(np.int64) << 8 | grid[:, 1:]
+        rank[:, :-1] = np.where(columns[:-1] < size[:, None] - 2, self.inside[both], never)
+        two = rows[size > 1]
+        rank[two, size[two] - 2] = self.at_end[both[two, size[two] - 2]]
         live, out = rows, ids.copy()
         while len(live):
             at = rank.argmin(axis=1)
@@ -145,10 +281,7 @@ class WordIds:
             before = np.maximum(at - 1, 0)
             fresh = self._ranks(ids[row, before], ids[row, at])
             rank[row, before] = np.where(at > 0, fresh, rank[row, before])
-        count = (out >= 0).sum(axis=1)
-        flat = out[out >= 0].astype("<u4").tobytes()
-        ends = (np.cumsum(count) * 4).tolist()
-        return {w: flat[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+        return out
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -164,7 +297,6 @@ def pieces(documents: DataFrame, name: str = "word_bpe_49k.json", window: int =
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     kinds = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
              "doc_tokens": pa.int64()} | ({"ids": pa.list_(pa.uint32())} if keep_ids else {})
-    end, wide = np.array([END_ID], "<u4").tobytes(), 4 * window
 
     @lean
     def task(batches):
@@ -173,17 +305,16 @@ def pieces(documents: DataFrame, name: str = "word_bpe_49k.json", window: int =
 
     def cut(own, batches):
         for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            _, at = buffers(batch["text"])
-            for first, last in row_ranges(at, TEXT_BYTES):
+            docs = batch["doc_id"].to_pylist()
+            for first, ids, at in own.texts(batch["text"]):
                 made: list[tuple] = []
-                texts = [t or "" for t in batch["text"].slice(first, last - first).to_pylist()]
-                for doc, data in zip(ids[first:last], own.texts(texts)):
-                    data += end
-                    for a in range(0, len(data), wide):
-                        piece = data[a:a + wide]
-                        row = (doc, a // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4)
-                        made.append((*row, np.frombuffer(piece, "<u4")) if keep_ids else row)
+                ids = np.insert(ids, at[1:], np.uint32(END_ID)).astype("<u4", copy=False)
+                at = (at + np.arange(len(at))).tolist()
+                for doc, start, stop in zip(docs[first:], at, at[1:]):
+                    for a in range(start, stop, window):
+                        piece = ids[a:min(a + window, stop)]
+                        row = (doc, a - start, len(piece), zlib.crc32(piece), stop - start)
+                        made.append((*row, piece) if keep_ids else row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), k) for c, k in zip(zip(*made), kinds.values())], names=list(kinds))
 

@@ -256,6 +256,35 @@ def test_packing(spark, docs, no_docs):
     assert packing.packed(no_docs).count() == 0
 
 
+def word_ids(own, texts):
+    return [ids[a:b].tolist() for _, ids, at in own.texts(pa.array(texts, pa.string())) for a, b in zip(at, at[1:])]
+
+
+def test_word_ids_of_odd_runs(monkeypatch):
+    own, rng = packing.WordIds(token_counts.vocabulary("word_bpe_49k.json")), random.Random(4)
+    parts = ["a", "B", "the", "tion", "don't", "'", "\u2019S", "É", "ß", "ÿ", "Ÿ", "×", "÷", "İ", "K", "e\u0301", "23", "٣", "½", "º",
+             "_", "--", "!?", "=" * 30, "<|", "|>", "<|endoftext|>", "日本", "Привет", "😀", "\x85", "\x1c", "\x1f", "\0", "\u2003",
+             " ", " ", "\n", "\t", "\v", "\f", "wordWord" * 3, "wordWord" * 3 + "s", "wordWording", "É" * 13]
+    texts = [None, "", "é\0 é \0 \0\0", *("".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(400)), "one  two " * 99, "x" * 999]
+    wanted = [own.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert word_ids(own, texts) == wanted == word_ids(own, texts)
+    monkeypatch.setattr(packing, "TEXT_BYTES", 50)  # long texts are cut at blanks
+    monkeypatch.setattr(packing, "CACHED", 20)
+    monkeypatch.setattr(packing, "mix", lambda x: x * np.uint64(0))  # words of equal first letters share a hash
+    assert word_ids(own, texts) == wanted
+
+
+def test_a_word_is_merged_once(monkeypatch):
+    own, merged = packing.WordIds(token_counts.vocabulary("word_bpe_49k.json")), []
+    merge = own._merge
+    monkeypatch.setattr(own, "_merge", lambda words, *rest: merged.append(len(words)) or merge(words, *rest))
+    words = ["".join(chr(97 + i // 26 ** k % 26) for k in range(4)) for i in range(120_000)]
+    for _ in range(3):
+        word_ids(own, [" ".join(words[i:i + 10_000]) for i in range(0, len(words), 10_000)])
+        word_ids(own, [", ".join(words[i:i + 10_000]).title() for i in range(0, len(words), 10_000)])
+    assert sum(merged) == len(words) + 1  # the comma
+
+
 def test_fillings_are_the_closest():
     rng = random.Random(3)
     for _ in range(200):
