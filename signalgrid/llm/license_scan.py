@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from signalgrid.llm.common import ascii_lower
 from signalgrid.session import local_table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 4
 PHRASE_GRAM = 2  # phrases are looked up by their first two words
 AROUND = 4
@@ -65,7 +65,16 @@ TEXTS = {
 
 def words_of(text: str | Column) -> Column:
     """Words of a whole text in order; A-Z are lower-cased, null is empty."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(ascii_lower(text), BETWEEN_WORDS), "")
+
+
+def with_words(documents: DataFrame, *columns: Column) -> DataFrame:
+    """The columns and ``words`` of ``text``, one row for each document.
+
+    The words leave a generator, so each text is cut once. As a plain column, they would be found
+    anew in every filter on them that the optimizer moves to the scan.
+    """
+    return documents.select(*columns, F.explode(F.array(words_of("text"))).alias("words"))
 
 
 def templates() -> list[tuple[str, bool, list[str]]]:
@@ -105,7 +114,7 @@ def license_scan(documents: DataFrame) -> DataFrame:
     Null text is empty. Rows are reported one by one; equal rows have equal results. A null
     doc_id is kept. Other columns are ignored.
     """
-    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), words_of("text").alias("words"))
+    rows = with_words(documents, F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"))
 
     def word(ahead: int) -> Column:
         return F.get("words", F.col("p") + ahead)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -375,6 +376,20 @@ def test_licenses_stay_in_the_jvm(spark, sf_dir, capsys):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "NestedLoop", "Cartesian"))
 
 
+def test_license_scan_cuts_each_text_once_a_scan(spark, sf_dir):
+    scan = license_scan.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plan = scan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 2 and len(re.findall(r"regexp_extract_all\(|split\(", plan)) == 2
+
+
+def test_words_are_runs_between_plain_signs(spark):
+    texts = [None, "", " \n\t", "a", "-a", "b-", "--", "a--B  c", "\x00x\x7fy", "a1_b{c}d@e`f[G]^h:i/0", "ß\u00a0ü 日本,x", "\U0001f600 x\U0001f600y", LONG]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.words for r in license_scan.with_words(rows, F.col("i")).collect()}
+    between = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    assert got == {i: between.findall((t or "").lower()) for i, t in enumerate(texts)}
+
+
 def test_language_model_against_counting(spark, docs, no_docs):
     got = language_model.scored(docs).collect()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
