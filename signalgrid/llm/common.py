@@ -57,6 +57,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A further column whose value is worked out once a row.
+
+    It leaves a generator; a plain column would be worked out anew in every filter on it that the
+    optimizer moves to the scan.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def broadcast_if_small(df: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger table is joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

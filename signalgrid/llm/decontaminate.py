@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalgrid.llm.common import broadcast_if_small, stored
-from signalgrid.llm.license_scan import words_of
+from signalgrid.llm.common import broadcast_if_small, stored, with_once
+from signalgrid.llm.license_scan import with_words
 
 SHINGLE = 5
 LEAST = 0.75
@@ -66,11 +67,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     their row once; null ids are kept. ``text_key`` is xxhash64(doc_id, text), which tells apart
     documents that share an id. Other columns are ignored.
     """
-    items = stored(benchmark.select(F.col("item_id").cast("long"), words_of("text").alias("words")).where(
+    items = stored(with_words(benchmark, F.col("item_id").cast("long")).where(
         F.size("words") > 0).withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]).select(
         "item", "item_id", "words", F.size("words").alias("size"),
         F.least(F.lit(SHINGLE), F.size("words")).alias("k")), "items")
-    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"), words_of("text").alias("words"))
+    texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    rows = with_words(texts, F.col("key"))
     kinds = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most 1 to 5
     parts = [_item_shingles(items, k) for k in kinds]
     found = None
@@ -81,10 +83,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         return documents.sparkSession.createDataFrame(
             [], "doc_id long, item_id long, similarity double, start_word long, n_words long, text_key long")
     windows = stored(found, "windows")
-    keys = broadcast_if_small(stored(windows.select("key").distinct(), "keys"))
-    texts = stored(rows.join(keys, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    # Of a text only the words from its first window to its last one travel further.
+    reach = windows.groupBy("key").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("width")).alias("end"))
+    asked = texts.join(broadcast_if_small(stored(reach, "keys")), "key")
+    cut = with_words(asked, F.col("doc_id"), F.col("key"), F.col("first"), F.col("end")).select(
+        "doc_id", "key", "first", F.expr("slice(words, first + 1, end - first)").alias("words"))
+    texts = stored(cut.dropDuplicates(["key"]), "texts")
     near = stored(_near(windows, texts, items), "near")
-    return _verified(near, texts, items, parts, kinds)
+    return _verified(near, texts, items, parts)
 
 
 def _item_shingles(items: DataFrame, k: int) -> DataFrame:
@@ -96,8 +102,10 @@ def _item_shingles(items: DataFrame, k: int) -> DataFrame:
 def _windows(rows: DataFrame, own: DataFrame, k: int) -> DataFrame:
     """Rows (key, size, start, width, k): windows with enough shingles of items of their size."""
     known = broadcast_if_small(stored(own.select("h", "size").distinct(), "shingles"))
-    placed = rows.where(F.size("words") >= k).select(
-        "key", F.size("words").alias("total"), F.posexplode(_shingles(F.col("words"), k)).alias("p", "h"))
+    # A place's run is hashed as it is met, so a text has no array of hashes beside its words.
+    run = F.xxhash64("word", *(F.get("words", F.col("p") + i) for i in range(1, k)))
+    placed = rows.select("key", F.size("words").alias("total"), "words", F.posexplode("words").alias("p", "word")).where(
+        F.col("p") <= F.col("total") - k).select("key", "total", "p", run.alias("h"))
     anchors = placed.join(known, "h").groupBy("key", "size", "total").agg(F.sort_array(F.collect_set("p")).alias("ps"))
     # A window has ``runs`` shingles and needs ``most`` of them in common with ``size - k + 1`` of the item.
     sized = anchors.withColumn("width", F.least("size", "total")).withColumn("runs", F.col("width") - k + 1).withColumn(
@@ -114,8 +122,8 @@ def _windows(rows: DataFrame, own: DataFrame, k: int) -> DataFrame:
 
 def _near(windows: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs (key, start, width, k, item) of fingerprints within the radius."""
-    words = windows.join(texts.select("key", "words"), "key").select(
-        "key", "size", "start", "width", "k", F.explode(F.expr("slice(words, start + 1, width)")).alias("word"))
+    words = windows.join(texts.select("key", "first", "words"), "key").select(
+        "key", "size", "start", "width", "k", F.explode(F.expr("slice(words, start - first + 1, width)")).alias("word"))
     prints = _fingerprints(words, ["key", "size", "start", "width", "k"])
     own = _fingerprints(items.select("item", "size", F.explode("words").alias("word")), ["item", "size"])
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("j")
@@ -128,19 +136,20 @@ def _near(windows: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
         "key", "start", "width", "k", "item").distinct()
 
 
-def _verified(near: DataFrame, texts: DataFrame, items: DataFrame, parts: list[DataFrame], kinds: list[int]) -> DataFrame:
-    found = None
-    for k, own in zip(kinds, parts):
-        runs = near.where(F.col("k") == k).join(texts, "key").select(
-            "key", "doc_id", "start", "width", "item", F.explode(F.expr(
-                f"transform(sequence(start + 1, start + width - {k} + 1), i -> xxhash64(slice(words, i, {k})))")).alias("h"))
-        counted = runs.groupBy("key", "doc_id", "start", "width", "item", "h").agg(F.count("*").alias("m"))
-        common = counted.join(own.select("item", "h", "n"), ["item", "h"]).groupBy(
-            "key", "doc_id", "start", "width", "item").agg(F.sum(F.least("m", "n")).alias("common")).withColumn("k", F.lit(k))
-        found = common if found is None else found.union(common)
-    full = found.join(items.select("item", "item_id", "size"), "item")
+def _verified(near: DataFrame, texts: DataFrame, items: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """The best window of each text and item by exact similarity; a pair is compared inside its row."""
+    own = reduce(DataFrame.union, parts).groupBy("item").agg(
+        F.collect_list("h").alias("due"), F.collect_list(F.when(F.col("n") > 1, F.struct("h", "n"))).alias("repeated"))
+    windows = near.select("key", "start", "width", "item").join(texts, "key").select(
+        "doc_id", "key", "start", "width", "item", F.expr("slice(words, start - first + 1, width)").alias("window"))
+    pairs = windows.join(items.select("item", "item_id", "size", "k").join(own, "item"), "item")
+    said = with_once(pairs, "said", F.expr("transform(sequence(1, width - k + 1), i -> xxhash64(slice(window, i, k)))"))
+    # A run counts once for both sides, and as often again as the side with fewer of it has it further.
+    counted = with_once(said, "common", F.expr(
+        "aggregate(repeated, size(array_intersect(said, due)), "
+        "(c, r) -> c + greatest(0, cast(least(r.n, size(said) - size(array_remove(said, r.h))) as int) - 1))"))
     every = F.col("width") - F.col("k") + 1 + F.col("size") - F.col("k") + 1
-    full = full.withColumn("similarity", F.col("common") / (every - F.col("common"))).where(F.col("similarity") >= LEAST)
+    full = counted.withColumn("similarity", F.col("common") / (every - F.col("common"))).where(F.col("similarity") >= LEAST)
     best = full.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct(
         "similarity", (-F.col("start")).alias("at"), "width")).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.at")).cast("long").alias("start_word"),

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from signalgrid.llm.common import ascii_lower
+from signalgrid.llm.common import ascii_lower, with_once
 from signalgrid.session import local_table
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,12 +69,8 @@ def words_of(text: str | Column) -> Column:
 
 
 def with_words(documents: DataFrame, *columns: Column) -> DataFrame:
-    """The columns and ``words`` of ``text``, one row for each document.
-
-    The words leave a generator, so each text is cut once. As a plain column, they would be found
-    anew in every filter on them that the optimizer moves to the scan.
-    """
-    return documents.select(*columns, F.explode(F.array(words_of("text"))).alias("words"))
+    """The columns and ``words`` of ``text``, one row for each document; each text is cut once."""
+    return with_once(documents.select(*columns, "text"), "words", words_of("text")).drop("text")
 
 
 def templates() -> list[tuple[str, bool, list[str]]]:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pyarrow.parquet as pq
 
+from signalgrid.llm import decontaminate
 from signalgrid.llm.decontaminate import contaminated
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -71,3 +72,26 @@ def test_edits_cases_and_odd_rows(spark):
 def test_empty_tables(spark):
     assert got(spark, [], [(1, "a b c")]) == {}
     assert got(spark, [(1, "a b c")], []) == {}
+
+
+def test_texts_are_cut_once_and_kept_as_far_as_windows_reach(spark, monkeypatch):
+    item = [f"w{i}x" for i in range(40)]
+    rest = [f"r{i}" for i in range(3000)]
+    edit = item[:30] + ["zz"] + item[31:]
+    docs = [(1, " ".join(rest + item + rest)), (2, " ".join(item + rest + edit)), (3, " ".join(rest)), (4, " ".join(rest + edit)),
+            (4, " ".join(rest + edit)), (None, " ".join(edit + rest)), (5, None), (5, " ".join(rest + item))]
+    items = [(7, " ".join(item)), (8, "a b c")]
+    kept, plans = {}, []
+
+    def noted(df, purpose, store=decontaminate.stored):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        kept[purpose] = store(df, purpose)
+        return kept[purpose]
+
+    monkeypatch.setattr(decontaminate, "stored", noted)
+    wanted = brute(docs, items)
+    assert len(wanted) == 5 and got(spark, docs, items) == wanted
+    sizes = sorted(len(r.words) for r in kept["texts"].collect())
+    assert len(sizes) == 5 and sizes[-2] < 80 and sizes[-1] == 3080
+    cuts = [(len(re.findall(r"regexp_extract_all\(|split\(", p)), p.count("LogicalRDD")) for p in plans]
+    assert sum(n for n, _ in cuts) == 4 and all(n <= scans for n, scans in cuts)  # the items, a scan for each of two kinds, the texts
