@@ -21,18 +21,20 @@ def _shingles(words: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
 
 
-def _fingerprints(words: DataFrame, keys: list[str]) -> DataFrame:
-    """SimHash of the rows' ``word`` column by key: a bit is set if most words' hashes have it set.
+def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """SimHash of each row's ``words`` array: a bit is set if most words' hashes have it set.
 
-    Two counters of 32 bits share a sum, so a window takes 32 sums and no array.
+    Two counters of 32 bits share a sum, so a row takes 32 sums, made inside the row.
     """
-    hashed = words.select(*keys, F.xxhash64("word").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(0x100000001))).alias(f"s{b}") for b in range(32)]
-    counted = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    hashed = rows.select(*keys, F.transform("words", lambda word: F.xxhash64(word)).alias("hashes"))
+    none = F.struct(*(F.lit(0).cast("long").alias(f"s{b}") for b in range(32)))
+    counted = with_once(hashed, "sums", F.aggregate("hashes", none, lambda sums, h: F.struct(*(
+        (sums[f"s{b}"] + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(0x100000001))).alias(f"s{b}") for b in range(32)))))
     bits = F.lit(0).cast("long")
     for b in range(32):
-        for half, place in ((F.col(f"s{b}").bitwiseAND(F.lit(0xFFFFFFFF)), b), (F.shiftrightunsigned(f"s{b}", 32), b + 32)):
-            bits = bits.bitwiseOR(F.shiftleft(F.when(half * 2 > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("long"), place))
+        s = F.col(f"sums.s{b}")
+        for half, place in ((s.bitwiseAND(F.lit(0xFFFFFFFF)), b), (F.shiftrightunsigned(s, 32), b + 32)):
+            bits = bits.bitwiseOR(F.shiftleft(F.when(half * 2 > F.size("hashes"), F.lit(1)).otherwise(F.lit(0)).cast("long"), place))
     return counted.select(*keys, bits.alias("fp"))
 
 
@@ -122,10 +124,10 @@ def _windows(rows: DataFrame, own: DataFrame, k: int) -> DataFrame:
 
 def _near(windows: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs (key, start, width, k, item) of fingerprints within the radius."""
-    words = windows.join(texts.select("key", "first", "words"), "key").select(
-        "key", "size", "start", "width", "k", F.explode(F.expr("slice(words, start - first + 1, width)")).alias("word"))
-    prints = _fingerprints(words, ["key", "size", "start", "width", "k"])
-    own = _fingerprints(items.select("item", "size", F.explode("words").alias("word")), ["item", "size"])
+    said = windows.join(texts.select("key", "first", "words"), "key").select(
+        "key", "size", "start", "width", "k", F.expr("slice(words, start - first + 1, width)").alias("words"))
+    prints = _fingerprints(said, ["key", "size", "start", "width", "k"])
+    own = _fingerprints(items, ["item", "size"])
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("j")
     filed = own.select("*", blocks).withColumn("mask", F.explode(F.lit(_masks()))).select(
         "item", "size", F.col("fp").alias("item_fp"), "j", _block("fp", F.col("j")).bitwiseXOR(F.col("mask")).alias("block"))
